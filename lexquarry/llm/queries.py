@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, packing, secrets, simhash
+from lexquarry.llm import linededup, packing, quality, secrets, simhash
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op4_line_dedup": linededup.op4,
+    "op7_quality_rules": quality.op7,
     "op8_secret_scans": secrets.op8,
     "op9_simhash_near_dedup": simhash.op9,
 }
