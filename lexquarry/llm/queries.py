@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, packing, quality, secrets, simhash
+from lexquarry.llm import linededup, packing, quality, secrets, simhash, suffix
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7,
     "op8_secret_scans": secrets.op8,
     "op9_simhash_near_dedup": simhash.op9,
+    "op10_suffix_array_dedup": suffix.op10,
 }
 
 SQL = {
