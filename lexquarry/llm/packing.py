@@ -8,9 +8,11 @@ piece. Ranks within a length are counted in salted groups, so a length that most
 
 from __future__ import annotations
 
+import base64
 import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,42 +27,41 @@ END_ID = 2
 RANK_GROUP = 50_000
 #: Bytes of text whose pieces are handed on at once.
 BATCH_BYTES = 4_000_000
-CACHE_ENTRIES = 200_000
-
-#: White space as the byte-level tokenizer's pattern sees it (fixed values of Unicode's White_Space).
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: Spans on whose borders the tokenizer's own pattern always breaks, so each can be encoded alone.
-SPANS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: A text with an unbroken run of more than this many characters goes to the slower library, whose time stays in bounds.
+LONG_RUN = re.compile(r"[^\s]{400}")
 SPECIAL = "<|endoftext|>"
-LONG_SPAN = 64
 
 PIECES = "piece int, start long, length long, ids binary"
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The files of one byte-level vocabulary: for `tokenizers`, and the same as ranks with the pattern that splits text."""
+
+    json: str
+    ranks: str
+    pattern: str
+
+
 class Encoder:
-    """Ids of whole texts as packed little-endian 32-bit integers; spans met before come from a bounded cache."""
+    """Ids of whole texts as packed little-endian 32-bit integers.
+
+    The ids are those of `tokenizers` for the JSON file. The same vocabulary in rank form gives equal ids several times
+    faster; texts that hold the special token's string, or very long runs, go through `tokenizers` itself.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: Vocabulary):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        spans = [[] if SPECIAL in t else SPANS.findall(t) for t in texts]
-        cache = self.cache
-        new = [s for s in {s for own in spans for s in own} if s not in cache]
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list({s for own in spans for s in own})
-        cache.update(zip(new, self._packed(new), strict=True))
-        out = [self._packed([t])[0] if SPECIAL in t else b"".join([cache[s] for s in own]) for t, own in zip(texts, spans, strict=True)]
-        for s in new:
-            if len(s) > LONG_SPAN:
-                del cache[s]
-        return out
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary.ranks).read_bytes().splitlines())}
+        self.exact = Tokenizer.from_file(vocabulary.json)
+        self.fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if SPECIAL in text or LONG_RUN.search(text):
+            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int]]:
@@ -70,28 +71,29 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id and PIECES of each document; a null text is an empty one, whose only id is end_id."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = Encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts, at = list(batch["doc_id"]), list(batch["text"]), 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < BATCH_BYTES):
-                    size += len(texts[upto])
-                    upto += 1
-                rows = []
-                for key, ids in zip(keys[at:upto], encoder.encode(texts[at:upto]), strict=True):
-                    ids += end
-                    rows += [(key, i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cut(ids, capacity))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-                out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-                yield out
-                at = upto
-
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+            rows, size = [], 0
+            for key, none, text in zip(batch["doc_id"], batch["none"], batch["text"], strict=True):
+                key, ids = None if none else key, encoder.encode(text) + end
+                rows += [(key, i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cut(ids, capacity))]
+                size += len(text)
+                if size >= BATCH_BYTES:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+        out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+        return out
+
+    doc_id = F.col("doc_id").cast("long")
+    own = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("none"), text_or_empty().alias("text"))
     return own.mapInPandas(pieces, f"doc_id long, {PIECES}")
 
 
@@ -199,30 +201,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every document's pieces with their ids, and each piece's place: doc_id, PIECES, sequence_id, offset.
 
     Null or empty text: one piece that holds end_id alone. Repeated rows are packed each for itself. A null doc_id is
     carried as it is. Columns other than doc_id and text are not used.
     """
-    return pack(materialize(tokenize(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(tokenize(docs, vocabulary, capacity, end_id), "pieces"), capacity)
 
 
-def digests(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """As pack_documents, with a checksum in place of the ids, which then needn't be moved."""
-    pieces = tokenize(docs, tokenizer, capacity, end_id).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = tokenize(docs, vocabulary, capacity, end_id).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(pieces, "pieces"), capacity)
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
+def byte_bpe() -> Vocabulary:
+    import public_tokenizers as public
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return Vocabulary(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), tokenizer_path())
-
-
-def crc32_of(ids: list[int]) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    return digests(table(spark, sf_dir, "documents"), byte_bpe())
