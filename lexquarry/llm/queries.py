@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, packing, quality, secrets, simhash, suffix
+from lexquarry.llm import linededup, mixing, packing, quality, secrets, simhash, suffix, urlfilter
 
 QUERIES = {
+    "op1_temperature_mixing": mixing.op1,
     "op2_best_fit_packing": packing.op2,
+    "op3_url_filters": urlfilter.op3,
     "op4_line_dedup": linededup.op4,
     "op7_quality_rules": quality.op7,
     "op8_secret_scans": secrets.op8,
@@ -14,5 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_temperature_mixing": mixing.SQL,
+    "op3_url_filters": urlfilter.SQL,
     "op4_line_dedup": linededup.SQL,
 }
