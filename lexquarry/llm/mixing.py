@@ -174,14 +174,14 @@ WITH RECURSIVE sized AS (
   FROM documents),
 totals AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM sized GROUP BY source),
 shares AS (SELECT *, tokens / (SELECT sum(tokens)::DOUBLE FROM totals) AS p FROM totals),
-target AS (SELECT -sum(p * ln(p)) AS natural, count(*) AS n FROM shares),
+target AS (SELECT -sum(p * ln(p)) AS plain, count(*) AS n FROM shares),
 entropy AS (
   SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
   UNION ALL
   SELECT step + 1, CASE WHEN good THEN (low + high) / 2 ELSE low END, CASE WHEN good THEN high ELSE (low + high) / 2 END
   FROM (SELECT step, low, high,
                (SELECT ln(sum(exp((low + high) / 2 * ln(p)))) - sum(exp((low + high) / 2 * ln(p)) * (low + high) / 2 * ln(p)) / sum(exp((low + high) / 2 * ln(p))) FROM shares)
-               >= (SELECT natural + {ENTROPY_LIFT} * (ln(n) - natural) FROM target) AS good
+               >= (SELECT plain + {ENTROPY_LIFT} * (ln(n) - plain) FROM target) AS good
         FROM entropy WHERE step < {LEVELS * PASSES})),
 by_entropy AS (SELECT CASE WHEN (SELECT n FROM target) = 1 THEN 1.0 ELSE low END AS a FROM entropy WHERE step = {LEVELS * PASSES}),
 reached AS (SELECT {BUDGET} * max(exp(a * ln(p)) / p) / sum(exp(a * ln(p))) AS epochs FROM shares, by_entropy),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, mixing, packing, quality, secrets, simhash, suffix, urlfilter
+from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, simhash, suffix, tokencount, urlfilter
 
 QUERIES = {
     "op1_temperature_mixing": mixing.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_url_filters": urlfilter.op3,
     "op4_line_dedup": linededup.op4,
+    "op5_media_columns": media.op5,
+    "op6_token_counts": tokencount.op6,
     "op7_quality_rules": quality.op7,
     "op8_secret_scans": secrets.op8,
     "op9_simhash_near_dedup": simhash.op9,
