@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -48,10 +48,13 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(begin)).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
+def fingerprints(text: Column, words: int = 3) -> Column:
+    @F.pandas_udf(LongType())
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(t, words) for t in batch], np.uint64).view(np.int64))
+
+    return of(text)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -189,13 +192,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (long) and component_id, the least doc_id that links reach; one row for each of docs.
 
     Null or empty text: fingerprint zero, linked like any other. A null doc_id gets its component's least doc_id, or
     null if there is none. Repeated rows come out as often as they went in.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), fingerprints(text_or_empty()).alias("fp"))
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), fingerprints(text_or_empty(), words).alias("fp"))
     own = materialize(own, "fingerprints")
     leads = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("lead")), "leads")
     of = components(group_links(leads.select("fp"), radius))
@@ -204,12 +207,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = 5) -> DataFrame:
     """docs without those that are near-duplicates of a document with a smaller doc_id; repeated rows stay once.
 
     Two different texts under one doc_id both stay if that doc_id is their component's least.
     """
-    found = near_duplicates(docs, radius)
+    found = near_duplicates(docs, radius, words)
     leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash")).distinct()
     stays = docs.join(leads, docs["doc_id"].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
     return stays.dropDuplicates(["doc_id", "text"])

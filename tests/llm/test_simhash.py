@@ -78,7 +78,7 @@ def test_near_duplicates(spark):
     least = {c: min((r[0] for r, x in zip(rows, comp) if x == c and r[0] is not None), default=None) for c in comp}
     got = sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in S.near_duplicates(docs).collect()), key=repr)
     assert got == sorted(((r[0], f, least[c]) for r, f, c in zip(rows, codes, comp)), key=repr)
-    kept = S.keep_one(docs)
+    kept = S.keep_one(docs, words=3)
     assert kept.columns == docs.columns and kept.count() == len(set(comp))
     assert S.near_duplicates(docs.where("false")).count() == 0
 
