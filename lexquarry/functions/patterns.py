@@ -14,6 +14,8 @@ ARTICLE = rf"(?iu)^{WS}*art(?:icle)?\.?{WS}*({DIGIT}+)(?:{WS}*[.-]?{WS}*(bis|ter
 INLINE = rf"(?iu)([.;:?!»\"]{WS}*)(art\.?{WS}*{DIGIT}+)"
 INLINE_START = rf"(?iu)^art\.?{WS}*{DIGIT}+"
 HEADING = rf"(?iu)^{WS}*(?:livre|titre|chapitre|section|(?:premiere|deuxieme|troisieme|quatrieme) partie)\b"
+#: Eight words at most; possessive, so long texts fail after the ninth.
+FEW_WORDS = rf"^{WS}*+(?:[^{WS[1:-1]}]++{WS}++){{0,7}}+[^{WS[1:-1]}]*+{WS}*+$"
 BULLET = rf"^{WS}*(?:{DIGIT}+[°).-]|-{WS}|[a-zA-Z]\))"
 REFERENCE = rf"(?iu)\bart(?:icle)?\.?{WS}*([0-9]+(?:{WS}*(?:bis|ter|quater))?)\b"
 TOKEN = rf"[{LATIN}']+"

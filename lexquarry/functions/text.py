@@ -113,10 +113,10 @@ def drop_reason(line: Column, line_no: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
+    """A heading's opening word, or few words nearly all in capitals; the cheap test comes first."""
     letters = F.regexp_replace(line, f"[^{P.LATIN}]", "")
     upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]", ""))
-    words = F.size(F.split(strip(line), f"{P.WS}+"))
-    shouted = (F.length(letters) >= 8) & (upper * 5 >= F.length(letters) * 4) & (words <= 8)
+    shouted = F.rlike(line, F.lit(P.FEW_WORDS)) & (F.length(letters) >= 8) & (upper * 5 >= F.length(letters) * 4)
     return F.rlike(line, F.lit(P.HEADING)) | shouted
 
 

@@ -14,8 +14,9 @@ from lexquarry.functions.quality import TierLimits, ocr_quality, rounded, tier,
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1), line."""
-    split = docs.select("doc_id", F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
+    """doc_id, line_no (from 1), line. Documents are dealt by doc_id here, once: the windows that follow need no other
+    exchange, and whole texts are fewer bytes than their lines."""
+    split = docs.select("doc_id", text).repartition("doc_id").select("doc_id", F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
     return split.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
@@ -47,7 +48,7 @@ def blocks(cleaned: DataFrame) -> DataFrame:
     def step(acc: Column, part: Column) -> Column:
         now, done, new = acc["now"], acc["done"], part["line"]
         ends = (now != "") & T.is_heading(now)
-        return F.struct(F.when(ends, new).otherwise(T.merge(now, new)).alias("now"), F.when(ends, F.array_append(done, now)).otherwise(done).alias("done"))
+        return F.when(ends, F.struct(new.alias("now"), F.array_append(done, now).alias("done"))).otherwise(F.struct(T.merge(now, new).alias("now"), done.alias("done")))
 
     def finish(acc: Column) -> Column:
         return F.filter(F.transform(F.array_append(acc["done"], acc["now"]), T.normalize_spaces), lambda b: b != "")
