@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,18 @@ SEED = 16
 #: Bytes of context in a shard, about.
 SHARD_BYTES = 4_000_000
 #: An anchor with more different contexts than this is resolved by sums over its strings' hashes, not in one shard.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 50_000
+#: Contexts among which a task looks for equal ones before it hands them on.
+BATCH_CONTEXTS = 200_000
 #: Bits of the filter of shared anchors, at most; with more anchors than fit, they are joined instead.
 FILTER_BITS = 1 << 27
 BITS_EACH = 12
+#: Bits of the filter that one task sets.
+FILTER_BLOCK = 1 << 20
+#: Symbols that are compared at once.
+WORD = 7
+#: Bits of an anchor's hash that are sent: if two anchors look alike, more bytes are compared, and no result changes.
+KEY = np.uint64((1 << 48) - 1)
 #: Bytes that one pass of hashing takes at once.
 PIECE = 1 << 20
 
@@ -106,6 +116,8 @@ def _induce(s: np.ndarray, is_s: np.ndarray, seeds: list[list[np.ndarray]], sigm
     larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
     for c in range(sigma):
         done = 0
+        if len(larger[c]) > 1:
+            larger[c] = [np.concatenate(larger[c])]
         while done < len(larger[c]):
             part = larger[c][done]
             done += 1
@@ -125,6 +137,8 @@ def _induce(s: np.ndarray, is_s: np.ndarray, seeds: list[list[np.ndarray]], sigm
     smaller[s[end]].append(np.array([end]))
     for c in range(sigma - 1, -1, -1):
         done = 0
+        if len(smaller[c]) > 1:
+            smaller[c] = [np.concatenate(smaller[c])]
         while done < len(smaller[c]):
             part = smaller[c][done]
             done += 1
@@ -203,14 +217,25 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """Permuted common prefixes: for each position the length, up to cap, that its suffix shares with the one before it in sa."""
-    n, phi = len(s), np.full(len(s), -1)
+    n, phi, out = len(s), np.full(len(s), -1), np.zeros(len(s), np.int64)
     phi[sa[1:]] = sa[:-1]
-    out, left = np.zeros(n, np.int32), np.flatnonzero(phi >= 0)
-    for j in range(cap):
-        ok = (left + j < n) & (phi[left] + j < n)
-        left = left[ok]
-        left = left[s[left + j] == s[phi[left] + j]]
-        out[left] = j + 1
+    # WORD symbols (of 9 bits) at a time, and then one at a time; the only 0 ends every match.
+    long = np.concatenate([s, np.zeros(cap + WORD, s.dtype)]).astype(np.uint64)
+    words = np.zeros(n + cap, np.uint64)
+    for k in range(WORD):
+        words = words << np.uint64(9) | long[k : k + n + cap]
+    left = np.flatnonzero(phi >= 0)
+    rest, reach = [], 0
+    while reach + WORD <= cap and len(left):
+        same = words[left + reach] == words[phi[left] + reach]
+        rest.append(left[~same])
+        left, reach = left[same], reach + WORD
+        out[left] = reach
+    left = np.concatenate([*rest, left])
+    while len(left):
+        left = left[out[left] < cap]
+        left = left[long[left + out[left]] == long[phi[left] + out[left]]]
+        out[left] += 1
     return out
 
 
@@ -244,7 +269,7 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
         for batch in batches:
             hashes, texts = [], []
             for text, t in zip(batch["text"], batch["t1"], strict=True):
-                h = np.unique(anchors(np.frombuffer(text.encode(), np.uint8), length, seed)[1])
+                h = np.unique(anchors(np.frombuffer(text.encode(), np.uint8), length, seed)[1] & KEY)
                 hashes.append(h)
                 texts.append(np.full(len(h), t, np.int64))
             if hashes:
@@ -255,7 +280,7 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def _filter_places(anchor: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for shift in (0, 18, 36):
+    for shift in (0, 10, 20):
         yield (anchor >> np.uint64(shift)) & np.uint64(bits - 1)
 
 
@@ -265,19 +290,28 @@ def anchor_filter(shared: DataFrame) -> Broadcast | None:
     if n * BITS_EACH > FILTER_BITS:
         return None
     bits = 1 << max(10, (n * BITS_EACH).bit_length())
-    places = F.array(*(F.shiftrightunsigned("anchor", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 18, 36)))
-    words = shared.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 31L))")).alias("set"))
-    got = words.toPandas()  # at most FILTER_BITS / 32 rows
+    block = min(bits, FILTER_BLOCK)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(block, np.uint8)
+        flags[pdf["place"].to_numpy() & (block - 1)] = 1
+        return pd.DataFrame({"block": [pdf["place"].iloc[0] // block], "bytes": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    places = F.array(*(F.shiftrightunsigned("anchor", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 10, 20)))
+    placed = shared.select(F.explode(places).alias("place"))
+    got = placed.groupBy(F.floor(F.col("place") / block)).applyInPandas(build, "block long, bytes binary").collect()  # FILTER_BITS / 8 bytes at most
     out = np.zeros(bits // 32, np.uint32)
-    out[got["word"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).astype(np.uint32)
+    for r in got:
+        out[r["block"] * block // 32 : (r["block"] + 1) * block // 32] = np.frombuffer(r["bytes"], "<u4")
     return shared.sparkSession.sparkContext.broadcast(out)
 
 
-CONTEXT = "anchor long, lead int, context binary, doc_id long, pos long"
+CONTEXT = "anchor long, c1 long, c2 long, context binary, doc_id long, start long, size int"
 
 
 def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
-    """CONTEXT of every shared anchor: the bytes that windows with it can reach, and where the anchor stands in them."""
+    """CONTEXT of every shared anchor in docs: the bytes that windows with it can reach, where they start, and their digest
+    c1, c2. Of equal contexts in a batch, only the one in the least document has the bytes with it."""
     sieve = anchor_filter(shared)
     own = docs.select("doc_id", "text")
     if sieve is None:  # the other way: which anchors each document shares comes from a join, not from a filter
@@ -285,12 +319,26 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> Data
     else:
         own = own.withColumn("places", F.lit(None).cast("array<long>"))
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["anchor", "digest", "context", "doc_id", "start", "size"])
+        first: dict[bytes, int] = {}
+        for i, (digest, doc_id) in enumerate(zip(out["digest"], out["doc_id"], strict=True)):
+            j = first.setdefault(digest, i)
+            if doc_id < rows[j][3]:
+                first[digest] = i
+        told = np.zeros(len(out), bool)
+        told[list(first.values())] = True
+        out["context"] = out["context"].where(told, None)
+        halves = np.frombuffer(b"".join(out.pop("digest")), "<i8").reshape(-1, 2)
+        return out.assign(c1=halves[:, 0], c2=halves[:, 1])
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows, size = [], 0
             for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
                 data = text.encode()
                 where, hashes = anchors(np.frombuffer(data, np.uint8), length, seed)
+                hashes &= KEY
                 if sieve is not None:
                     keep = np.ones(len(where), bool)
                     for p in _filter_places(hashes, 32 * len(sieve.value)):
@@ -299,12 +347,14 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> Data
                     keep = np.isin(where, places) if places is not None else np.zeros(len(where), bool)
                 for p, h in zip(where[keep].tolist(), hashes[keep].view(np.int64).tolist(), strict=True):
                     begin = max(0, p - (length - seed))
-                    rows.append((h, p - begin, data[begin : p + length], doc_id, p))
-                size += len(data)
-                if size >= 8_000_000:
-                    yield pd.DataFrame(rows, columns=["anchor", "lead", "context", "doc_id", "pos"])
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["anchor", "lead", "context", "doc_id", "pos"])
+                    context = data[begin : p + length]
+                    if len(context) >= length:
+                        rows.append((h, xxhash.xxh128_digest(context, p - begin), context, doc_id, begin, len(context)))
+                if len(rows) >= BATCH_CONTEXTS:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     return own.mapInPandas(emit, CONTEXT)
 
@@ -314,42 +364,47 @@ def _shared_places(docs: DataFrame, shared: DataFrame, length: int, seed: int) -
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 where, hashes = anchors(np.frombuffer(text.encode(), np.uint8), length, seed)
-                yield pd.DataFrame({"anchor": hashes.view(np.int64), "doc_id": np.full(len(where), doc_id, np.int64), "pos": where})
+                yield pd.DataFrame({"anchor": (hashes & KEY).view(np.int64), "doc_id": np.full(len(where), doc_id, np.int64), "pos": where})
 
     places = docs.select("doc_id", "text").mapInPandas(emit, "anchor long, doc_id long, pos long")
     return places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def resolve(distinct: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, covered) for contexts some of whose strings a smaller document holds: covered is array<struct<a,b>>,
-    places of the context. distinct: anchor, context, c1, c2, holder (the least document with the context)."""
-    sizes = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("size")).where("n > 1"), "anchors")
+def resolve(told: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, holder, covered) of each context: the least document that has it, and array<struct<a,b>> of the places in
+    it that smaller documents hold too, or null. told: anchor, c1, c2, context, holder; rows may repeat a context."""
+    sizes = told.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("size"))
+    sizes = materialize(sizes.where("n > 1"), "anchors")
     hot = sizes.where(F.col("n") > HOT_CONTEXTS).select("anchor")
     total = sizes.where(F.col("n") <= HOT_CONTEXTS).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
-    out = "c1 long, c2 long, covered array<struct<a:int,b:int>>"
+    out = "c1 long, c2 long, holder long, covered array<struct<a:int,b:int>>"
 
     def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        holders = pdf["holder"].to_numpy(np.int64)
-        rows = []
-        for c1, c2, own, least in zip(pdf["c1"], pdf["c2"], holders.tolist(), least_holders(list(pdf["context"]), holders, length), strict=True):
-            hit = np.flatnonzero(least < own)
-            if len(hit):
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                first, last = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-                rows.append((c1, c2, [{"a": int(x), "b": int(y) + length} for x, y in zip(first, last, strict=True)]))
-        return pd.DataFrame(rows, columns=["c1", "c2", "covered"])
-
-    several = distinct.join(sizes.where(F.col("n") <= HOT_CONTEXTS).select("anchor"), "anchor", "left_semi")
-    cold = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(in_shard, out)
+        one = pdf.sort_values("holder", kind="stable").drop_duplicates(["c1", "c2"])
+        several = one[one.duplicated("anchor", keep=False)]
+        holders = several["holder"].to_numpy(np.int64)
+        found = {}
+        if len(several):
+            for i, own, least in zip(several.index.tolist(), holders.tolist(), least_holders(list(several["context"]), holders, length), strict=True):
+                hit = np.flatnonzero(least < own)
+                if len(hit):
+                    cuts = np.flatnonzero(np.diff(hit) > 1)
+                    first, last = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
+                    found[i] = [{"a": int(x), "b": int(y) + length} for x, y in zip(first, last, strict=True)]
+        return one[["c1", "c2", "holder"]].assign(covered=[found.get(i) for i in one.index.tolist()])
+
     if not hot.head(1):
-        return cold
+        return told.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(in_shard, out)
+    cold = told.join(hot, "anchor", "left_anti").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(in_shard, out)
     # Strings of hot anchors, by hash: least holders are sums, which each task makes of its own rows first.
-    strings = distinct.join(hot, "anchor", "left_semi").select("c1", "c2", "holder", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("context") - length + 1), lambda i: F.substring("context", i, F.lit(length)))).alias("at", "string"))
+    warm = materialize(told.join(hot, "anchor", "left_semi").groupBy("c1", "c2", "context").agg(F.min("holder").alias("holder")), "hot-contexts")
+    strings = warm.select("c1", "c2", "holder", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("context") - length + 1), lambda i: F.substring("context", i, F.lit(length)))).alias("at", "string"))
     strings = materialize(strings.select("c1", "c2", "holder", "at", F.xxhash64("string").alias("h1"), F.xxhash64(F.lit("second"), "string").alias("h2")), "strings")
     least = strings.groupBy("h1", "h2").agg(F.min("holder").alias("least"))
     hit = strings.join(least, ["h1", "h2"]).where("least < holder")
-    return cold.unionByName(hit.groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).cast("int").alias("b"))).alias("covered")))
+    covered = hit.groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).cast("int").alias("b"))).alias("covered"))
+    return cold.unionByName(warm.select("c1", "c2", "holder").join(covered, ["c1", "c2"], "left"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -360,15 +415,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
     marked = ids.join(leads, ["t1", "t2"]).select("doc_id", "t1", "t2", (F.col("lead") < F.col("doc_id")).alias("whole"))
     shared = materialize(shared_anchors(own, length, seed), "shared-anchors")
-    found = contexts(own, shared, length, seed).where(F.length("context") >= length)
-    ctx = [F.xxhash64("anchor", "lead", "context").alias("c1"), F.xxhash64(F.lit("second"), "anchor", "lead", "context").alias("c2")]
-    found = materialize(found.select("*", *ctx), "contexts")
-    distinct = found.groupBy("anchor", "context", "c1", "c2").agg(F.min("doc_id").alias("holder"))
-    distinct = materialize(distinct, "distinct-contexts")
-    covered = materialize(resolve(distinct, length), "covered")
-    size = F.length("context")
-    known = found.select("c1", "c2", "doc_id", (F.col("pos") - F.col("lead")).alias("start"), size.alias("size"))
-    known = known.join(distinct.select("c1", "c2", "holder"), ["c1", "c2"]).join(covered, ["c1", "c2"], "left")
+    found = materialize(contexts(own, shared, length, seed), "contexts")
+    told = found.where("context is not null").select("anchor", "c1", "c2", "context", F.col("doc_id").alias("holder"))
+    known = found.select("c1", "c2", "doc_id", "start", "size").join(resolve(told, length), ["c1", "c2"])
     everything = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
     parts = F.when(F.col("holder") < F.col("doc_id"), everything).otherwise(F.col("covered"))
     spans = known.select("doc_id", "start", F.inline(parts)).select("doc_id", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
@@ -392,8 +441,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, wholes, lists in batches:
             rows = []
-            for text, whole, spans in zip(texts, wholes, lists, strict=True):
-                data, merged = text.encode(), []
+            for packed, whole, spans in zip(texts, wholes, lists, strict=True):
+                data, merged = zstandard.decompress(packed), []
                 if whole is not None and whole == True and len(data) >= length:  # noqa: E712 (a missing value may be NaN)
                     merged = [(0, len(data))]
                 elif spans is not None:
@@ -407,9 +456,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 rows.append((kept, len(data), len(data) - len(kept), len(merged), [{"a": a, "b": b} for a, b in merged]))
             yield pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
+    @F.pandas_udf("binary")
+    def shrink(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([zstandard.compress(t.encode(), 1) for t in texts], dtype=object)
+
+    # The join moves every text once: compressed, as both of its sides are read in Python.
+    packed = fresh(docs, "packed")
+    docs = docs.withColumn(packed, shrink(text_or_empty()))
+    own = [c for c in docs.columns if c != packed]
     same = (docs["doc_id"] == F.col(name["id"])) & (F.xxhash64(text_or_empty()) == F.col(name["t1"]))
     joined = docs.join(found, same, "left")
-    return joined.select(*(docs[c] for c in docs.columns), cut(F.coalesce(docs["text"], F.lit("")), F.col(name["whole"]), F.col(name["spans"])).alias(fresh(docs, "cut") if "cut" in {c.lower() for c in docs.columns} else "cut"))
+    done = fresh(docs, "cut") if "cut" in {c.lower() for c in own} else "cut"
+    return joined.select(*(docs[c] for c in own), cut(docs[packed], F.col(name["whole"]), F.col(name["spans"])).alias(done))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
