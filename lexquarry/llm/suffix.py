@@ -24,8 +24,8 @@ LENGTH = 50
 SEED = 16
 #: Bytes of context in a shard, about.
 SHARD_BYTES = 4_000_000
-#: An anchor with more different contexts than this is resolved by sums over its strings' hashes, not in one shard.
-HOT_CONTEXTS = 50_000
+#: An anchor that more texts than this hold is resolved by sums over its strings' hashes, not in one shard.
+HOT_TEXTS = 50_000
 #: Contexts among which a task looks for equal ones before it hands them on.
 BATCH_CONTEXTS = 200_000
 #: Bits of the filter of shared anchors, at most; with more anchors than fit, they are joined instead.
@@ -263,7 +263,7 @@ def _text_id() -> list[Column]:
 
 
 def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """anchor: the hashes that occur in two different texts."""
+    """anchor, n: the hashes that occur in two different texts, and in how many texts (copies counted) they do."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -276,7 +276,7 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "t": np.concatenate(texts)})
 
     found = docs.select("text", F.xxhash64("text").alias("t1")).mapInPandas(emit, "anchor long, t long")
-    return found.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("anchor")
+    return found.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", "n")
 
 
 def _filter_places(anchor: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -306,12 +306,12 @@ def anchor_filter(shared: DataFrame) -> Broadcast | None:
     return shared.sparkSession.sparkContext.broadcast(out)
 
 
-CONTEXT = "anchor long, c1 long, c2 long, context binary, doc_id long, start long, size int"
+CONTEXT = "anchor long, lead int, context binary, doc_id long, start long, more binary"
 
 
 def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
-    """CONTEXT of every shared anchor in docs: the bytes that windows with it can reach, where they start, and their digest
-    c1, c2. Of equal contexts in a batch, only the one in the least document has the bytes with it."""
+    """CONTEXT of the shared anchors in docs: the bytes that windows with one can reach, where it stands in them, and who
+    holds them. Of equal contexts in a batch there is one row: with the least document, and the others' packed in more."""
     sieve = anchor_filter(shared)
     own = docs.select("doc_id", "text")
     if sieve is None:  # the other way: which anchors each document shares comes from a join, not from a filter
@@ -319,21 +319,15 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> Data
     else:
         own = own.withColumn("places", F.lit(None).cast("array<long>"))
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["anchor", "digest", "context", "doc_id", "start", "size"])
-        first: dict[bytes, int] = {}
-        for i, (digest, doc_id) in enumerate(zip(out["digest"], out["doc_id"], strict=True)):
-            j = first.setdefault(digest, i)
-            if doc_id < rows[j][3]:
-                first[digest] = i
-        told = np.zeros(len(out), bool)
-        told[list(first.values())] = True
-        out["context"] = out["context"].where(told, None)
-        halves = np.frombuffer(b"".join(out.pop("digest")), "<i8").reshape(-1, 2)
-        return out.assign(c1=halves[:, 0], c2=halves[:, 1])
+    def frame(held: dict[tuple, list[tuple[int, int]]]) -> pd.DataFrame:
+        rows = []
+        for (anchor, lead, context), places in held.items():
+            places.sort()
+            rows.append((anchor, lead, context, *places[0], np.array(places[1:], "<i8").tobytes() if len(places) > 1 else None))
+        return pd.DataFrame(rows, columns=["anchor", "lead", "context", "doc_id", "start", "more"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+        held: dict[tuple, list[tuple[int, int]]] = {}
         for batch in batches:
             for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
                 data = text.encode()
@@ -349,12 +343,12 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> Data
                     begin = max(0, p - (length - seed))
                     context = data[begin : p + length]
                     if len(context) >= length:
-                        rows.append((h, xxhash.xxh128_digest(context, p - begin), context, doc_id, begin, len(context)))
-                if len(rows) >= BATCH_CONTEXTS:
-                    yield frame(rows)
-                    rows = []
-        if rows:
-            yield frame(rows)
+                        held.setdefault((h, p - begin, context), []).append((doc_id, begin))
+                if len(held) >= BATCH_CONTEXTS:
+                    yield frame(held)
+                    held = {}
+        if held:
+            yield frame(held)
 
     return own.mapInPandas(emit, CONTEXT)
 
@@ -370,41 +364,73 @@ def _shared_places(docs: DataFrame, shared: DataFrame, length: int, seed: int) -
     return places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def resolve(told: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, holder, covered) of each context: the least document that has it, and array<struct<a,b>> of the places in
-    it that smaller documents hold too, or null. told: anchor, c1, c2, context, holder; rows may repeat a context."""
-    sizes = told.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("size"))
-    sizes = materialize(sizes.where("n > 1"), "anchors")
-    hot = sizes.where(F.col("n") > HOT_CONTEXTS).select("anchor")
-    total = sizes.where(F.col("n") <= HOT_CONTEXTS).agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    out = "c1 long, c2 long, holder long, covered array<struct<a:int,b:int>>"
+SPAN = "doc_id long, a long, b long"
+
+
+def resolve(told: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
+    """SPAN: bytes of documents that smaller documents hold too, as rows of CONTEXT in told show them."""
+    hot = shared.where(F.col("n") > HOT_TEXTS).select("anchor")
+    total = shared.where(F.col("n") <= HOT_TEXTS).agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-int(total) * (2 * length - seed) // SHARD_BYTES))
 
     def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.sort_values("holder", kind="stable").drop_duplicates(["c1", "c2"])
-        several = one[one.duplicated("anchor", keep=False)]
-        holders = several["holder"].to_numpy(np.int64)
-        found = {}
+        docs, begins, ends = [], [], []
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        key = list(zip(pdf["anchor"].tolist(), pdf["lead"].tolist(), pdf["context"], strict=True))
+        number = {k: i for i, k in enumerate(dict.fromkeys(key))}
+        which = [number[k] for k in key]
+        distinct = pdf[~pd.Series(which, index=pdf.index).duplicated()]
+        holders = distinct["doc_id"].to_numpy(np.int64)
+        several = np.flatnonzero(distinct.duplicated("anchor", keep=False).to_numpy())
+        hits: dict[int, np.ndarray] = {}
         if len(several):
-            for i, own, least in zip(several.index.tolist(), holders.tolist(), least_holders(list(several["context"]), holders, length), strict=True):
-                hit = np.flatnonzero(least < own)
+            context = distinct["context"].tolist()
+            for i, least in zip(several.tolist(), least_holders([context[i] for i in several], holders[several], length), strict=True):
+                hit = np.flatnonzero(least < holders[i])
                 if len(hit):
+                    hits[i] = hit
+        for i, doc_id, start, more, size in zip(which, pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["more"], map(len, pdf["context"]), strict=True):
+            own = [(doc_id, start)] if more is None else [(doc_id, start), *np.frombuffer(more, "<i8").reshape(-1, 2).tolist()]
+            for d, s in own:
+                if d > holders[i]:
+                    runs = [(0, size)]
+                elif i in hits:
+                    hit = hits[i]
                     cuts = np.flatnonzero(np.diff(hit) > 1)
-                    first, last = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-                    found[i] = [{"a": int(x), "b": int(y) + length} for x, y in zip(first, last, strict=True)]
-        return one[["c1", "c2", "holder"]].assign(covered=[found.get(i) for i in one.index.tolist()])
-
+                    runs = list(zip(hit[np.concatenate([[0], cuts + 1])].tolist(), (hit[np.concatenate([cuts, [len(hit) - 1]])] + length).tolist(), strict=True))
+                else:
+                    continue
+                for a, b in runs:
+                    docs.append(d)
+                    begins.append(s + a)
+                    ends.append(s + b)
+        return pd.DataFrame({"doc_id": docs, "a": begins, "b": ends}, dtype="int64")
+
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     if not hot.head(1):
-        return told.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(in_shard, out)
-    cold = told.join(hot, "anchor", "left_anti").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(in_shard, out)
+        return told.groupBy(shard).applyInPandas(in_shard, SPAN)
+    told = materialize(told, "contexts")
+    cold = told.join(hot, "anchor", "left_anti").groupBy(shard).applyInPandas(in_shard, SPAN)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for context, doc_id, start, more in zip(pdf["context"], pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["more"], strict=True):
+                rows += [(context, doc_id, start), *((context, d, s) for d, s in (() if more is None else np.frombuffer(more, "<i8").reshape(-1, 2).tolist()))]
+            yield pd.DataFrame(rows, columns=["context", "doc_id", "start"])
+
     # Strings of hot anchors, by hash: least holders are sums, which each task makes of its own rows first.
-    warm = materialize(told.join(hot, "anchor", "left_semi").groupBy("c1", "c2", "context").agg(F.min("holder").alias("holder")), "hot-contexts")
-    strings = warm.select("c1", "c2", "holder", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("context") - length + 1), lambda i: F.substring("context", i, F.lit(length)))).alias("at", "string"))
+    digest = [F.xxhash64("context").alias("c1"), F.xxhash64(F.lit("second"), "context").alias("c2")]
+    warm = told.join(hot, "anchor", "left_semi")
+    held = warm.groupBy("context").agg(F.min("doc_id").alias("holder")).select("*", *digest)
+    windows = F.transform(F.sequence(F.lit(1), F.length("context") - length + 1), lambda i: F.substring("context", i, F.lit(length)))
+    strings = held.select("c1", "c2", "holder", F.posexplode(windows).alias("at", "string"))
     strings = materialize(strings.select("c1", "c2", "holder", "at", F.xxhash64("string").alias("h1"), F.xxhash64(F.lit("second"), "string").alias("h2")), "strings")
     least = strings.groupBy("h1", "h2").agg(F.min("holder").alias("least"))
-    hit = strings.join(least, ["h1", "h2"]).where("least < holder")
-    covered = hit.groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).cast("int").alias("b"))).alias("covered"))
-    return cold.unionByName(warm.select("c1", "c2", "holder").join(covered, ["c1", "c2"], "left"))
+    known = strings.join(least, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list(F.struct("at", "least")).alias("windows"))
+    each = warm.mapInPandas(unpack, "context binary, doc_id long, start long").select("doc_id", "start", *digest)
+    hit = each.join(known, ["c1", "c2"]).select("doc_id", "start", F.inline("windows")).where("least < doc_id")
+    return cold.unionByName(hit.select("doc_id", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + length).alias("b")))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -415,12 +441,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
     marked = ids.join(leads, ["t1", "t2"]).select("doc_id", "t1", "t2", (F.col("lead") < F.col("doc_id")).alias("whole"))
     shared = materialize(shared_anchors(own, length, seed), "shared-anchors")
-    found = materialize(contexts(own, shared, length, seed), "contexts")
-    told = found.where("context is not null").select("anchor", "c1", "c2", "context", F.col("doc_id").alias("holder"))
-    known = found.select("c1", "c2", "doc_id", "start", "size").join(resolve(told, length), ["c1", "c2"])
-    everything = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
-    parts = F.when(F.col("holder") < F.col("doc_id"), everything).otherwise(F.col("covered"))
-    spans = known.select("doc_id", "start", F.inline(parts)).select("doc_id", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
+    found = resolve(contexts(own, shared, length, seed), shared, length, seed)
+    spans = found.select("doc_id", F.struct("a", "b").alias("span"))
     spans = spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     return marked.join(spans, "doc_id", "left")
 

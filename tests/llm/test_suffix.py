@@ -78,7 +78,7 @@ def corpus(rng):
 @pytest.mark.parametrize("way", ["shards", "hot", "joined"])
 def test_against_brute_force(spark, monkeypatch, way):
     if way == "hot":
-        monkeypatch.setattr(S, "HOT_CONTEXTS", 2)
+        monkeypatch.setattr(S, "HOT_TEXTS", 2)
     if way == "joined":
         monkeypatch.setattr(S, "FILTER_BITS", 0)
     rows = corpus(random.Random(11))
