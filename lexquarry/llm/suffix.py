@@ -8,6 +8,7 @@ then knows the least document that holds it. Equal texts are told by their hash
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -373,6 +374,16 @@ def resolve(told: DataFrame, shared: DataFrame, length: int, seed: int) -> DataF
     total = shared.where(F.col("n") <= HOT_TEXTS).agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) * (2 * length - seed) // SHARD_BYTES))
 
+    half = -(-(length - seed) // 2)
+
+    def kin(anchor: list[int], lead: list[int], context: list[bytes]) -> list[bool]:
+        """Which contexts may share a string with another: half of a string's other bytes stand on one side of its anchor,
+        so the anchor and the bytes next to it on that side must be shared."""
+        left = [(h, c[a - half : a + seed]) if a >= half else None for h, a, c in zip(anchor, lead, context, strict=True)]
+        right = [(h, c[a : a + seed + half]) if len(c) >= a + seed + half else None for h, a, c in zip(anchor, lead, context, strict=True)]
+        lefts, rights = Counter(left), Counter(right)
+        return [bool(x and lefts[x] > 1 or y and rights[y] > 1) for x, y in zip(left, right, strict=True)]
+
     def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, begins, ends = [], [], []
         pdf = pdf.sort_values("doc_id", kind="stable")
@@ -381,7 +392,7 @@ def resolve(told: DataFrame, shared: DataFrame, length: int, seed: int) -> DataF
         which = [number[k] for k in key]
         distinct = pdf[~pd.Series(which, index=pdf.index).duplicated()]
         holders = distinct["doc_id"].to_numpy(np.int64)
-        several = np.flatnonzero(distinct.duplicated("anchor", keep=False).to_numpy())
+        several = np.flatnonzero(kin(distinct["anchor"].tolist(), distinct["lead"].tolist(), distinct["context"].tolist()))
         hits: dict[int, np.ndarray] = {}
         if len(several):
             context = distinct["context"].tolist()
@@ -485,9 +496,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
     # The join moves every text once: compressed, as both of its sides are read in Python.
     packed = fresh(docs, "packed")
-    docs = docs.withColumn(packed, shrink(text_or_empty()))
-    own = [c for c in docs.columns if c != packed]
-    same = (docs["doc_id"] == F.col(name["id"])) & (F.xxhash64(text_or_empty()) == F.col(name["t1"]))
+    hashed, own = fresh(docs, "hash"), docs.columns
+    docs = docs.withColumn(packed, shrink(text_or_empty())).withColumn(hashed, F.xxhash64(text_or_empty()))
+    same = (docs["doc_id"] == F.col(name["id"])) & (docs[hashed] == F.col(name["t1"]))
     joined = docs.join(found, same, "left")
     done = fresh(docs, "cut") if "cut" in {c.lower() for c in own} else "cut"
     return joined.select(*(docs[c] for c in own), cut(docs[packed], F.col(name["whole"]), F.col(name["spans"])).alias(done))
