@@ -207,15 +207,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> Da
     return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def only_leads(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their component's (found: doc_id, text_hash, component_id), once each."""
+    leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash")).distinct()
+    stays = docs.join(leads, docs["doc_id"].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"])
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = 5) -> DataFrame:
     """docs without those that are near-duplicates of a document with a smaller doc_id; repeated rows stay once.
 
     Two different texts under one doc_id both stay if that doc_id is their component's least.
     """
-    found = near_duplicates(docs, radius, words)
-    leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash")).distinct()
-    stays = docs.join(leads, docs["doc_id"].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    return only_leads(docs, near_duplicates(docs, radius, words))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
