@@ -30,7 +30,7 @@ CHUNK = 1_000_000
 #: Seen n-grams always leave this much to unseen ones, so no probability is zero.
 LEAST_DISCOUNT = 0.01
 #: A document is rejected if its mean surprise is so many (robust) deviations, and BAND_SLACK nats, off its language's median.
-BAND_DEVIATIONS = 8.0
+BAND_DEVIATIONS = 5.0
 BAND_SLACK = 0.01
 #: Steps of surprise, per nat, in which medians are counted.
 STEPS = 1000

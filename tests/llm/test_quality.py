@@ -84,3 +84,18 @@ def test_judge(spark):
     kept = Q.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 102
     assert Q.judge(docs.where("false")).count() == 0
+
+
+def test_band_rejects_junk(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=200)), "en") for i in range(300)]
+    rows += [(1000 + n, " ".join(rng.choices(words, k=200 - n) + ["".join(rng.choices("zqxjkv", k=5)) for _ in range(n)]), "en") for n in range(10, 120, 4)]
+    out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    middle = np.median([r["surprise"] for r in out])
+    deviation = 1.4826 * np.median([abs(r["surprise"] - middle) for r in out])
+    off = {r["doc_id"]: (abs(r["surprise"] - middle) - Q.BAND_SLACK) / deviation for r in out}
+    assert not any(r["base_failed"] for r in out) and all(r["kept"] for r in out if r["doc_id"] < 1000)
+    rejected = {r["doc_id"] for r in out if not r["kept"]}
+    assert rejected >= {i for i, x in off.items() if x > 5.3}
+    assert any(5.3 < off[i] < 7.5 for i in rejected)
