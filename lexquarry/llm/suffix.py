@@ -1,21 +1,23 @@
 """Removal of repeated passages by suffix arrays built by induced sorting.
 
-Every LENGTH-byte string holds an anchor: its SEED-byte substring of least hash. Anchors that two different texts share
-are found first, by sums over hashes; only the bytes around those go on. They are sharded by anchor, each shard's
-suffixes are sorted by induced sorting, and permuted common prefixes of LENGTH bytes join equal strings, each of which
-then knows the least document that holds it. Equal texts are told by their hash and never compared.
+Every LENGTH-byte string holds an anchor: the leftmost of its SEED-byte substrings of least hash. Which anchors two
+different texts share is found first, from packed hashes alone; only the bytes around those go on. They are sharded by
+anchor, each shard's suffixes are sorted by induced sorting, and permuted common prefixes of LENGTH bytes join equal
+strings, each of which then knows the least document that holds it. An anchor that very many texts hold is spread over
+several shards, whose least holders are compared in one more sum. Texts are told apart by hashes of 128 bits.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,81 +25,79 @@ from lexquarry.llm.common import fresh, materialize, table, text_or_empty
 
 LENGTH = 50
 SEED = 16
-#: Bytes of context in a shard, about.
-SHARD_BYTES = 4_000_000
-#: An anchor that more texts than this hold is resolved by sums over its strings' hashes, not in one shard.
-HOT_TEXTS = 50_000
-#: Contexts among which a task looks for equal ones before it hands them on.
-BATCH_CONTEXTS = 200_000
-#: Bits of the filter of shared anchors, at most; with more anchors than fit, they are joined instead.
-FILTER_BITS = 1 << 27
-BITS_EACH = 12
-#: Bits of the filter that one task sets.
-FILTER_BLOCK = 1 << 20
+#: Bytes of text whose anchors meet in one bucket, about, and bytes of context in one shard.
+BUCKET_TEXT = 32_000_000
+SHARD_BYTES = 2_000_000
+#: The contexts of an anchor are dealt over one more shard for each so many texts that hold it.
+SALT_TEXTS = 20_000
+#: Bytes of text that a task works on at once (or one longer text), and that one pass of hashing takes.
+GROUP_BYTES = 8_000_000
+PIECE = 1 << 17
+#: Low bits of a seed's rank that hold its place in the piece, so that of equal hashes the leftmost is least.
+PLACE_BITS = np.uint64(20)
 #: Symbols that are compared at once.
 WORD = 7
-#: Bits of an anchor's hash that are sent: if two anchors look alike, more bytes are compared, and no result changes.
-KEY = np.uint64((1 << 48) - 1)
-#: Bytes that one pass of hashing takes at once.
-PIECE = 1 << 20
 
-#: Odd multipliers of the seed hash (any will do).
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+#: Odd multipliers of the hashes (any will do).
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 def seed_hashes(data: np.ndarray, size: int = SEED) -> np.ndarray:
-    """A 64-bit hash of every size-byte substring, made by doubling."""
-    power, length, out, done, level = data.astype(np.uint64) + np.uint64(1), 1, None, 0, 0
-    while size:
-        if size & 1:
-            if out is None:
-                out = power
-            else:
-                tail = power[done:]
-                head = out[: len(tail)]
-                out = head * _MIX[level % 6] ^ (tail + (head >> np.uint64(29)))
-            done += length
-        size >>= 1
-        if size:
-            tail = power[length:]
-            head = power[: len(tail)]
-            power = head * _MIX[level % 6] ^ (tail + (head >> np.uint64(31)))
-            length *= 2
-        level += 1
-    out = (out ^ (out >> np.uint64(32))) * _MIX[3]
-    return out ^ (out >> np.uint64(32))
-
-
-def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the least seeds of all windows of length bytes; equal hashes in one window all count."""
-    found_at, found = [], []
-    for at in range(0, max(1, len(data) - length + 1), PIECE):
+    """A 64-bit hash of every size-byte substring, from words of eight bytes that overlap; size is eight at least."""
+    n, out = len(data) - size + 1, None
+    for at in (*range(0, size - 8, 8), size - 8):
+        word = np.ndarray((n,), "<u8", data, offset=at, strides=(1,)) * _MIX[0]
+        if out is not None:
+            out ^= out >> np.uint64(29)
+            out *= _MIX[1]
+            word += out
+        out = word
+    out ^= out >> np.uint64(32)
+    out *= _MIX[2]
+    out ^= out >> np.uint64(29)
+    return out
+
+
+@dataclass
+class Anchored:
+    """Runs of windows with a common anchor: first window, bytes that the windows reach over, anchor's place, hash, text."""
+
+    start: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    hash: np.ndarray
+    owner: np.ndarray
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED) -> Anchored:
+    """Runs of all windows of length bytes in the texts that stand in data one after the other and stop at ends."""
+    data, width = np.ascontiguousarray(data), length - seed + 1
+    whole = np.ones(len(data), bool)  # windows that don't reach into the next text
+    across = (ends[:, None] - np.arange(1, length)).ravel()
+    whole[across[across >= np.repeat(np.concatenate([[0], ends[:-1]]), length - 1)]] = False
+    parts: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(data) - length + 1, PIECE):
         part = data[at : at + PIECE + length - 1]
-        if len(part) < length:
-            break
         h = seed_hashes(part, seed)
-        width = length - seed + 1
-        low, reach = h, 1
+        low, reach = h >> PLACE_BITS << PLACE_BITS | np.arange(len(h), dtype=np.uint64), 1
         while 2 * reach <= width:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
         if reach < width:
             low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
-        # A seed is an anchor if some window that holds it has it as its least: the largest of those minima is its own.
-        high = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-        reach = 1
-        while 2 * reach <= width:
-            high = np.maximum(high[:-reach], high[reach:])
-            reach *= 2
-        if reach < width:
-            high = np.maximum(high[: len(high) - (width - reach)], high[width - reach :])
-        hit = np.flatnonzero(h == high)
-        found_at.append(hit + at)
-        found.append(h[hit])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    where, first = np.unique(np.concatenate(found_at), return_index=True)
-    return where, np.concatenate(found)[first]
+        own = whole[at : at + len(low)]
+        first = own.copy()
+        first[1:] &= (low[1:] != low[:-1]) | ~own[:-1]
+        last = own.copy()
+        last[:-1] &= (low[1:] != low[:-1]) | ~own[1:]
+        begin = np.flatnonzero(first)
+        place = (low[begin] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        parts.append((begin + at, np.flatnonzero(last) - begin + length, place + at, h[place]))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Anchored(none, none, none, none.astype(np.uint64), none)
+    begin, size, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Anchored(begin, size, place, h, np.searchsorted(ends, begin, "right"))
 
 
 def _runs(where: np.ndarray, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -259,216 +259,272 @@ def least_holders(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH)
     return [by_place[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-def _text_id() -> list[Column]:
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+def text_groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of that many bytes at most, or of one row."""
+    at = 0
+    while at < len(sizes):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
+        yield at, upto
+        at = upto
 
 
-def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """anchor, n: the hashes that occur in two different texts, and in how many texts (copies counted) they do."""
+def _bytes(x: np.ndarray, kind: str = "<i8") -> bytes:
+    return x.astype(kind, copy=False).tobytes()
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes, texts = [], []
-            for text, t in zip(batch["text"], batch["t1"], strict=True):
-                h = np.unique(anchors(np.frombuffer(text.encode(), np.uint8), length, seed)[1] & KEY)
-                hashes.append(h)
-                texts.append(np.full(len(h), t, np.int64))
-            if hashes:
-                yield pd.DataFrame({"anchor": np.concatenate(hashes).view(np.int64), "t": np.concatenate(texts)})
-
-    found = docs.select("text", F.xxhash64("text").alias("t1")).mapInPandas(emit, "anchor long, t long")
-    return found.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", "n")
-
-
-def _filter_places(anchor: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for shift in (0, 10, 20):
-        yield (anchor >> np.uint64(shift)) & np.uint64(bits - 1)
-
-
-def anchor_filter(shared: DataFrame) -> Broadcast | None:
-    """A Bloom filter of at most FILTER_BITS, built by Spark; None if the anchors are too many for it."""
-    n = shared.count()
-    if n * BITS_EACH > FILTER_BITS:
-        return None
-    bits = 1 << max(10, (n * BITS_EACH).bit_length())
-    block = min(bits, FILTER_BLOCK)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(block, np.uint8)
-        flags[pdf["place"].to_numpy() & (block - 1)] = 1
-        return pd.DataFrame({"block": [pdf["place"].iloc[0] // block], "bytes": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    places = F.array(*(F.shiftrightunsigned("anchor", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 10, 20)))
-    placed = shared.select(F.explode(places).alias("place"))
-    got = placed.groupBy(F.floor(F.col("place") / block)).applyInPandas(build, "block long, bytes binary").collect()  # FILTER_BITS / 8 bytes at most
-    out = np.zeros(bits // 32, np.uint32)
-    for r in got:
-        out[r["block"] * block // 32 : (r["block"] + 1) * block // 32] = np.frombuffer(r["bytes"], "<u4")
-    return shared.sparkSession.sparkContext.broadcast(out)
-
-
-CONTEXT = "anchor long, lead int, context binary, doc_id long, start long, more binary"
-
-
-def contexts(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
-    """CONTEXT of the shared anchors in docs: the bytes that windows with one can reach, where it stands in them, and who
-    holds them. Of equal contexts in a batch there is one row: with the least document, and the others' packed in more."""
-    sieve = anchor_filter(shared)
-    own = docs.select("doc_id", "text")
-    if sieve is None:  # the other way: which anchors each document shares comes from a join, not from a filter
-        own = own.join(_shared_places(docs, shared, length, seed), "doc_id", "left")
-    else:
-        own = own.withColumn("places", F.lit(None).cast("array<long>"))
-
-    def frame(held: dict[tuple, list[tuple[int, int]]]) -> pd.DataFrame:
-        rows = []
-        for (anchor, lead, context), places in held.items():
-            places.sort()
-            rows.append((anchor, lead, context, *places[0], np.array(places[1:], "<i8").tobytes() if len(places) > 1 else None))
-        return pd.DataFrame(rows, columns=["anchor", "lead", "context", "doc_id", "start", "more"])
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[tuple[int, int]]] = {}
-        for batch in batches:
-            for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-                data = text.encode()
-                where, hashes = anchors(np.frombuffer(data, np.uint8), length, seed)
-                hashes &= KEY
-                if sieve is not None:
-                    keep = np.ones(len(where), bool)
-                    for p in _filter_places(hashes, 32 * len(sieve.value)):
-                        keep &= (sieve.value[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & 1 == 1
-                else:
-                    keep = np.isin(where, places) if places is not None else np.zeros(len(where), bool)
-                for p, h in zip(where[keep].tolist(), hashes[keep].view(np.int64).tolist(), strict=True):
-                    begin = max(0, p - (length - seed))
-                    context = data[begin : p + length]
-                    if len(context) >= length:
-                        held.setdefault((h, p - begin, context), []).append((doc_id, begin))
-                if len(held) >= BATCH_CONTEXTS:
-                    yield frame(held)
-                    held = {}
-        if held:
-            yield frame(held)
-
-    return own.mapInPandas(emit, CONTEXT)
-
-
-def _shared_places(docs: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                where, hashes = anchors(np.frombuffer(text.encode(), np.uint8), length, seed)
-                yield pd.DataFrame({"anchor": (hashes & KEY).view(np.int64), "doc_id": np.full(len(where), doc_id, np.int64), "pos": where})
 
-    places = docs.select("doc_id", "text").mapInPandas(emit, "anchor long, doc_id long, pos long")
-    return places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+def _numbers(parts, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
 
 
-SPAN = "doc_id long, a long, b long"
+def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def resolve(told: DataFrame, shared: DataFrame, length: int, seed: int) -> DataFrame:
-    """SPAN: bytes of documents that smaller documents hold too, as rows of CONTEXT in told show them."""
-    hot = shared.where(F.col("n") > HOT_TEXTS).select("anchor")
-    total = shared.where(F.col("n") <= HOT_TEXTS).agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-int(total) * (2 * length - seed) // SHARD_BYTES))
+def batch_of(schema: str, columns) -> pa.RecordBatch:
+    names, kinds = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    arrow = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _spans_of(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = [*_cuts(sorted_keys).tolist(), len(sorted_keys)]
+    return zip(edges[:-1], edges[1:], strict=True)
 
-    half = -(-(length - seed) // 2)
 
-    def kin(anchor: list[int], lead: list[int], context: list[bytes]) -> list[bool]:
-        """Which contexts may share a string with another: half of a string's other bytes stand on one side of its anchor,
-        so the anchor and the bytes next to it on that side must be shared."""
-        left = [(h, c[a - half : a + seed]) if a >= half else None for h, a, c in zip(anchor, lead, context, strict=True)]
-        right = [(h, c[a : a + seed + half]) if len(c) >= a + seed + half else None for h, a, c in zip(anchor, lead, context, strict=True)]
-        lefts, rights = Counter(left), Counter(right)
-        return [bool(x and lefts[x] > 1 or y and rights[y] > 1) for x, y in zip(left, right, strict=True)]
-
-    def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, begins, ends = [], [], []
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        key = list(zip(pdf["anchor"].tolist(), pdf["lead"].tolist(), pdf["context"], strict=True))
-        number = {k: i for i, k in enumerate(dict.fromkeys(key))}
-        which = [number[k] for k in key]
-        distinct = pdf[~pd.Series(which, index=pdf.index).duplicated()]
-        holders = distinct["doc_id"].to_numpy(np.int64)
-        several = np.flatnonzero(kin(distinct["anchor"].tolist(), distinct["lead"].tolist(), distinct["context"].tolist()))
-        hits: dict[int, np.ndarray] = {}
-        if len(several):
-            context = distinct["context"].tolist()
-            for i, least in zip(several.tolist(), least_holders([context[i] for i in several], holders[several], length), strict=True):
-                hit = np.flatnonzero(least < holders[i])
-                if len(hit):
-                    hits[i] = hit
-        for i, doc_id, start, more, size in zip(which, pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["more"], map(len, pdf["context"]), strict=True):
-            own = [(doc_id, start)] if more is None else [(doc_id, start), *np.frombuffer(more, "<i8").reshape(-1, 2).tolist()]
-            for d, s in own:
-                if d > holders[i]:
-                    runs = [(0, size)]
-                elif i in hits:
-                    hit = hits[i]
-                    cuts = np.flatnonzero(np.diff(hit) > 1)
-                    runs = list(zip(hit[np.concatenate([[0], cuts + 1])].tolist(), (hit[np.concatenate([cuts, [len(hit) - 1]])] + length).tolist(), strict=True))
-                else:
+#: kind 0: anchors and the texts that hold them. 1: anchors that several texts of one group hold, and how many do; 2: those texts.
+ASKED = "bucket int, kind int, anchors binary, texts binary"
+TOLD = "text long, anchor long, salts int"
+
+
+def asked_anchors(docs: DataFrame, buckets: int, length: int, seed: int) -> DataFrame:
+    """ASKED: the anchors of docs (text, t1), packed by bucket. What a task can settle itself is not asked."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            _, offsets, values = column.buffers()
+            bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            data, ids = np.frombuffer(values or b"", np.uint8), batch.column(1).to_numpy()
+            for a, b in text_groups(np.diff(bounds), GROUP_BYTES):
+                found = anchors(data[bounds[a] : bounds[b]], bounds[a + 1 : b + 1] - bounds[a], length, seed)
+                rows = list(packed(found.hash.view(np.int64), ids[a:b][found.owner]))
+                if rows:
+                    yield batch_of(ASKED, zip(*rows, strict=True))
+
+    def packed(anchor: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        order = np.argsort(anchor, kind="stable")
+        h, t = anchor[order], text[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+        order, h, t = order[new], h[new], t[new]
+        cut = _cuts(h)
+        if not len(cut):
+            return
+        count = np.diff(np.append(cut, len(h)))
+        several = np.minimum.reduceat(t, cut) != np.maximum.reduceat(t, cut)
+        known = np.repeat(several, count)
+        if known.any():
+            yield -1 - int(h[0]) % buckets, 2, _bytes(h[known]), _bytes(t[known])
+        alone = np.sort(order[~known])  # as they stand in the texts: equal neighbours are sent compressed
+        for kind, own, told in ((0, anchor[alone], text[alone]), (1, h[cut[several]], count[several])):
+            bucket = (own.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            deal = np.argsort(bucket, kind="stable")
+            own, told, bucket = own[deal], told[deal], bucket[deal]
+            for x, y in _spans_of(bucket):
+                yield int(bucket[x]), kind, _bytes(own[x:y]), _bytes(told[x:y])
+
+    return docs.select("text", "t1").mapInArrow(emit, ASKED)
+
+
+def shared_anchors(docs: DataFrame, buckets: int, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """TOLD: a row for each anchor of a text (by its hash t1) that a different text holds too. Rows with salts above 0
+    are of anchors, not texts: over so many shards their contexts are dealt."""
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = {k: pdf[pdf["kind"] == k] for k in range(3)}
+        anchor = _numbers([*part[0]["anchors"], *part[1]["anchors"]])
+        text, counts = _numbers(part[0]["texts"]), _numbers(part[1]["texts"])
+        order = np.argsort(anchor, kind="stable")
+        h, one = anchor[order], order < len(text)
+        cut = _cuts(h)
+        out_text, out_anchor, out_salts = [_numbers(part[2]["texts"])], [_numbers(part[2]["anchors"])], [np.zeros(sum(map(len, part[2]["texts"])) // 8, np.int32)]
+        if len(cut):
+            t = np.concatenate([text, np.zeros(len(counts), np.int64)])[order]
+            n = np.add.reduceat(np.concatenate([np.ones(len(text), np.int64), counts])[order], cut)
+            shared = (np.minimum.reduceat(t, cut) != np.maximum.reduceat(t, cut)) | ~np.logical_and.reduceat(one, cut)
+            tell = np.repeat(shared, np.diff(np.append(cut, len(h)))) & one
+            hot = np.flatnonzero(shared & (n > SALT_TEXTS))
+            out_text += [t[tell], np.zeros(len(hot), np.int64)]
+            out_anchor += [h[tell], h[cut[hot]]]
+            out_salts += [np.zeros(int(tell.sum()), np.int32), -(-n[hot] // SALT_TEXTS)]
+        return pd.DataFrame({"text": np.concatenate(out_text), "anchor": np.concatenate(out_anchor), "salts": np.concatenate(out_salts).astype(np.int32)})
+
+    return asked_anchors(docs, buckets, length, seed).groupBy("bucket").applyInPandas(settle, TOLD)
+
+
+#: A group's contexts for one shard: document, text hash, start in the text, size, anchor's place, salts, and the bytes.
+CONTEXTS = "shard int, n int, packed binary"
+_FIELDS = (("doc_id", "<i8"), ("t1", "<i8"), ("start", "<i4"), ("size", "u1"), ("lead", "u1"), ("split", "u1"))
+
+
+def contexts(texts: DataFrame, shards: int, length: int, seed: int) -> DataFrame:
+    """CONTEXTS of texts: doc_id, t1, packed (the text), and found, the anchors of the text that others share."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            doc_ids, ids, packed, lists = (batch.column(c) for c in ("doc_id", "t1", "packed", "found"))
+            doc_ids, ids, bounds = doc_ids.to_numpy(), ids.to_numpy(), lists.offsets.to_numpy()
+            inner = lists.values
+            anchor, salts = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+            sizes = np.array([zstandard.frame_content_size(packed[i].as_py()) for i in range(len(packed))], np.int64)
+            for a, b in text_groups(sizes, GROUP_BYTES):
+                data = np.frombuffer(b"".join(unpack.decompress(packed[i].as_py()) for i in range(a, b)), np.uint8)
+                ends = np.cumsum(sizes[a:b])
+                at = anchors(data, ends, length, seed)
+                asked = keyed(anchor[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])))
+                order = np.argsort(asked)
+                asked, many = asked[order], salts[bounds[a] : bounds[b]][order]
+                own = keyed(at.hash.view(np.int64), at.owner)
+                where = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
+                hit = np.flatnonzero(asked[where] == own)
+                if not len(hit):
                     continue
-                for a, b in runs:
-                    docs.append(d)
-                    begins.append(s + a)
-                    ends.append(s + b)
-        return pd.DataFrame({"doc_id": docs, "a": begins, "b": ends}, dtype="int64")
-
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    if not hot.head(1):
-        return told.groupBy(shard).applyInPandas(in_shard, SPAN)
-    told = materialize(told, "contexts")
-    cold = told.join(hot, "anchor", "left_anti").groupBy(shard).applyInPandas(in_shard, SPAN)
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for context, doc_id, start, more in zip(pdf["context"], pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["more"], strict=True):
-                rows += [(context, doc_id, start), *((context, d, s) for d, s in (() if more is None else np.frombuffer(more, "<i8").reshape(-1, 2).tolist()))]
-            yield pd.DataFrame(rows, columns=["context", "doc_id", "start"])
-
-    # Strings of hot anchors, by hash: least holders are sums, which each task makes of its own rows first.
-    digest = [F.xxhash64("context").alias("c1"), F.xxhash64(F.lit("second"), "context").alias("c2")]
-    warm = told.join(hot, "anchor", "left_semi")
-    held = warm.groupBy("context").agg(F.min("doc_id").alias("holder")).select("*", *digest)
-    windows = F.transform(F.sequence(F.lit(1), F.length("context") - length + 1), lambda i: F.substring("context", i, F.lit(length)))
-    strings = held.select("c1", "c2", "holder", F.posexplode(windows).alias("at", "string"))
-    strings = materialize(strings.select("c1", "c2", "holder", "at", F.xxhash64("string").alias("h1"), F.xxhash64(F.lit("second"), "string").alias("h2")), "strings")
-    least = strings.groupBy("h1", "h2").agg(F.min("holder").alias("least"))
-    known = strings.join(least, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list(F.struct("at", "least")).alias("windows"))
-    each = warm.mapInPandas(unpack, "context binary, doc_id long, start long").select("doc_id", "start", *digest)
-    hit = each.join(known, ["c1", "c2"]).select("doc_id", "start", F.inline("windows")).where("least < doc_id")
-    return cold.unionByName(hit.select("doc_id", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + length).alias("b")))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, text ids t1 and t2, whole (a smaller document has the same text), spans (array<struct<a,b>>, bytes that
-    smaller documents also hold; they may overlap). One row for each different (doc_id, text) without null doc_id."""
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    ids = materialize(own.select("doc_id", *_text_id()).distinct(), "texts")
-    leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
-    marked = ids.join(leads, ["t1", "t2"]).select("doc_id", "t1", "t2", (F.col("lead") < F.col("doc_id")).alias("whole"))
-    shared = materialize(shared_anchors(own, length, seed), "shared-anchors")
-    found = resolve(contexts(own, shared, length, seed), shared, length, seed)
-    spans = found.select("doc_id", F.struct("a", "b").alias("span"))
-    spans = spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    return marked.join(spans, "doc_id", "left")
+                n, text, start, size = many[where[hit]].astype(np.int64), ids[a:b][at.owner[hit]], at.start[hit], at.size[hit]
+                salt = np.where(n > 1, (text.view(np.uint64) % n.astype(np.uint64)).astype(np.int64), 0)
+                shard = (mixed(at.hash[hit] + salt.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                fields = (doc_ids[a:b][at.owner[hit]], text, start - (ends - sizes[a:b])[at.owner[hit]], size, at.place[hit] - start, n > 1)
+                yield from rows(shard, fields, data, start, size)
+
+    def rows(shard, fields, data, start, size) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(shard, kind="stable")
+        shard, start, size = shard[order], start[order], size[order]
+        fields = [f[order] for f in fields]
+        pack, out = zstandard.ZstdCompressor(1), ([], [], [])
+        for x, y in _spans_of(shard):
+            upto = np.cumsum(size[x:y])
+            body = data[np.repeat(start[x:y] - upto + size[x:y], size[x:y]) + np.arange(upto[-1])]
+            blob = b"".join([*(_bytes(f[x:y], k) for f, (_, k) in zip(fields, _FIELDS, strict=True)), body.tobytes()])
+            for column, value in zip(out, (int(shard[x]), y - x, pack.compress(blob)), strict=True):
+                column.append(value)
+        yield batch_of(CONTEXTS, out)
+
+    def keyed(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return anchor.view(np.uint64) ^ mixed(row.astype(np.uint64) + np.uint64(1))
+
+    return texts.select("doc_id", "t1", "packed", "found").mapInArrow(emit, CONTEXTS)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def kin(context: list[bytes], lead: list[int], length: int, seed: int) -> np.ndarray:
+    """Which contexts may share a string with another: half of a string's other bytes stand on one side of its anchor,
+    so the anchor and the bytes next to it on that side must be shared."""
+    half = -(-(length - seed) // 2)
+    left = [c[a - half : a + seed] if a >= half else None for c, a in zip(context, lead, strict=True)]
+    right = [c[a : a + seed + half] if len(c) >= a + seed + half else None for c, a in zip(context, lead, strict=True)]
+    lefts, rights = Counter(left), Counter(right)
+    return np.flatnonzero([(x is not None and lefts[x] > 1) or (y is not None and rights[y] > 1) for x, y in zip(left, right, strict=True)])
+
+
+#: Bytes a to b of a document: sure to go, or, if not sure, only if a smaller document also tells of the string g1, g2.
+FOUND = "g1 long, g2 long, sure boolean, doc_id long, t1 long, a int, b int"
+
+
+def shard_spans(pdf: pd.DataFrame, length: int, seed: int) -> pd.DataFrame:
+    """FOUND of one shard's CONTEXTS."""
+    parts: dict[str, list[bytes]] = {name: [] for name, _ in _FIELDS}
+    bodies = []
+    for n, packed in zip(pdf["n"].tolist(), pdf["packed"], strict=True):
+        blob, at = zstandard.decompress(packed), 0
+        for name, kind in _FIELDS:
+            wide = n * np.dtype(kind).itemsize
+            parts[name].append(blob[at : at + wide])
+            at += wide
+        bodies.append(blob[at:])
+    f = {name: _numbers(parts[name], kind).astype(np.int64) for name, kind in _FIELDS}
+    body, upto = b"".join(bodies), np.cumsum(f["size"])
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(body[e - s : e], len(number)) for s, e in zip(f["size"].tolist(), upto.tolist(), strict=True)], np.int64)
+    distinct, first = list(number), np.unique(which, return_index=True)[1]
+    holders = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(holders, which, f["doc_id"])
+    several = kin(distinct, f["lead"][first].tolist(), length, seed)
+    least = dict(zip(several.tolist(), least_holders([distinct[i] for i in several], holders[several], length) if len(several) else [], strict=True))
+    own = f["doc_id"] == holders[which]
+    rest = np.flatnonzero(~own)  # equal contexts in larger documents go as a whole
+    out = [(f["doc_id"][rest], f["t1"][rest], f["start"][rest], f["start"][rest] + f["size"][rest], f["doc_id"][rest], f["t1"][rest], np.ones(len(rest), bool))]
+    lasting: list[tuple] = []
+    for e in np.flatnonzero(own).tolist():
+        i, doc_id, t1, start = which[e], int(f["doc_id"][e]), int(f["t1"][e]), int(f["start"][e])
+        gone = least[i] < doc_id if i in least else np.zeros(len(distinct[i]) - length + 1, bool)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+        lasting += [(doc_id, t1, start + a, start + b + length - 1, doc_id, t1, True) for a, b in edges.reshape(-1, 2).tolist()]
+        if f["split"][e]:  # other shards have texts with this anchor
+            for j in np.flatnonzero(~gone).tolist():
+                d = xxhash.xxh128_digest(distinct[i][j : j + length])
+                lasting.append((doc_id, t1, start + j, start + j + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), False))
+    if lasting:
+        out.append(tuple(np.array(x) for x in zip(*lasting, strict=True)))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pd.DataFrame(dict(zip(("doc_id", "t1", "a", "b", "g1", "g2", "sure"), columns, strict=True)))[["g1", "g2", "sure", "doc_id", "t1", "a", "b"]]
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """doc_id, t1 and spans, the bytes that go (they may overlap), from FOUND. A string's group has a row for each shard."""
+    span = F.struct("a", "b").alias("span")
+    grouped = found.groupBy("g1", "g2", "sure").agg(F.min("doc_id").alias("least"), F.collect_list(F.struct("doc_id", "t1", span)).alias("x"))
+    whole = F.array(F.struct(F.col("x")[0]["doc_id"].alias("doc_id"), F.col("x")[0]["t1"].alias("t1"), F.col("x.span").alias("spans")))
+    each = F.transform(F.filter("x", lambda r: r["doc_id"] > F.col("least")), lambda r: F.struct(r["doc_id"].alias("doc_id"), r["t1"].alias("t1"), F.array(r["span"]).alias("spans")))
+    by_doc = grouped.select(F.inline(F.when(F.col("sure"), whole).otherwise(each)))
+    return by_doc.groupBy("doc_id", "t1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """docs and a struct `cut`: kept (binary, the bytes that stay), n_bytes, n_removed, n_spans, spans (what went).
+    """docs and a struct `cut` (renamed if taken): kept (binary, the bytes that stay), n_bytes, n_removed, n_spans, spans
+    (what went).
 
     A byte goes if it is in a string of length bytes that also starts in a document with a smaller doc_id. Strings are
-    those of the input. Null or empty text: nothing to remove. A row that repeats another, doc_id and all, is treated
-    like it; neither counts as smaller. Rows without doc_id are left alone and do not count. Two different texts under
-    one doc_id are judged each by its own places only if their text differs; a null doc_id never matches.
+    those of the input. Null or empty text: nothing to remove. A row that repeats another, doc_id and text, is treated
+    like it. Different texts under one doc_id are judged each by itself, against smaller doc_ids only. Rows without
+    doc_id are left alone and do not count.
     """
-    name = {c: fresh(docs, c) for c in ("id", "t1", "t2", "whole", "spans")}
-    found = repeats(docs, length, seed)
-    found = found.where(F.col("whole") | F.col("spans").isNotNull()).select(*(F.col(c if c != "id" else "doc_id").alias(n) for c, n in name.items()))
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    ids = materialize(own.select("doc_id", *text_key(F.col("text")), F.octet_length("text").alias("size")).distinct(), "texts")
+    leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
+    size = ids.agg(F.sum("size")).first()[0] or 0
+    told = materialize(shared_anchors(own.select("text", F.xxhash64("text").alias("t1")), -(-size // BUCKET_TEXT) or 1, length, seed), "shared-anchors")
+    spread = told.where("salts > 0").select("anchor", F.col("salts").alias("many"))
+    dealt = told.where("salts = 0").join(spread, "anchor", "left").select("text", F.struct("anchor", F.coalesce("many", F.lit(1)).alias("salts")).alias("one"))
+    found = dealt.groupBy("text").agg(F.collect_list("one").alias("found"))
+
+    @F.pandas_udf("binary")
+    def shrink(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([zstandard.compress(t.encode(), 1) for t in texts], dtype=object)
+
+    # Texts are dealt by document once, compressed, for both joins. Rows without doc_id get a hash that none of the others has.
+    name = {c: fresh(docs, c) for c in ("key", "hash", "packed")}
+    text, missing = text_or_empty(), F.col("doc_id").isNull()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(name["key"])
+    hashed = F.when(missing, F.xxhash64(F.lit("none"), text)).otherwise(F.xxhash64(text)).alias(name["hash"])
+    base = docs.select("*", key, hashed, shrink(text).alias(name["packed"]))
+    wanted = leads.join(found, leads["t1"] == found["text"]).select("lead", "t1", "found")
+    texts = base.join(wanted, (F.col(name["key"]) == wanted["lead"]) & (F.col(name["hash"]) == wanted["t1"]))
+    texts = texts.select(F.col(name["key"]).alias("doc_id"), "t1", F.col(name["packed"]).alias("packed"), "found")
+    shards = max(1, -(-told.count() * (3 * length // 2) // SHARD_BYTES))
+    in_shards = contexts(texts, shards, length, seed).groupBy("shard").applyInPandas(lambda pdf: shard_spans(pdf, length, seed), FOUND)
+    copies = ids.join(leads, ["t1", "t2"]).where("lead < doc_id").select("doc_id", "t1", F.lit(True).alias("whole"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    gone = spans(in_shards).select("doc_id", "t1", F.lit(False).alias("whole"), "spans").unionByName(copies)
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -476,7 +532,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             rows = []
             for packed, whole, spans in zip(texts, wholes, lists, strict=True):
                 data, merged = zstandard.decompress(packed), []
-                if whole is not None and whole == True and len(data) >= length:  # noqa: E712 (a missing value may be NaN)
+                if whole and len(data) >= length:
                     merged = [(0, len(data))]
                 elif spans is not None:
                     for a, b in sorted((s["a"], s["b"]) for s in spans):
@@ -489,19 +545,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 rows.append((kept, len(data), len(data) - len(kept), len(merged), [{"a": a, "b": b} for a, b in merged]))
             yield pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
-    @F.pandas_udf("binary")
-    def shrink(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([zstandard.compress(t.encode(), 1) for t in texts], dtype=object)
-
-    # The join moves every text once: compressed, as both of its sides are read in Python.
-    packed = fresh(docs, "packed")
-    hashed, own = fresh(docs, "hash"), docs.columns
-    docs = docs.withColumn(packed, shrink(text_or_empty())).withColumn(hashed, F.xxhash64(text_or_empty()))
-    same = (docs["doc_id"] == F.col(name["id"])) & (docs[hashed] == F.col(name["t1"]))
-    joined = docs.join(found, same, "left")
-    done = fresh(docs, "cut") if "cut" in {c.lower() for c in own} else "cut"
-    return joined.select(*(docs[c] for c in own), cut(docs[packed], F.col(name["whole"]), F.col(name["spans"])).alias(done))
+    joined = base.join(gone.select(*(F.col(c).alias(f"gone_{c}") for c in gone.columns)), (F.col(name["key"]) == F.col("gone_doc_id")) & (F.col(name["hash"]) == F.col("gone_t1")), "left")
+    done = fresh(docs, "cut") if "cut" in {c.lower() for c in docs.columns} else "cut"
+    return joined.select(*(base[c] for c in docs.columns), cut(base[name["packed"]], F.coalesce("gone_whole", F.lit(False)), F.col("gone_spans")).alias(done))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -27,15 +27,20 @@ def test_suffix_array(seed):
 
 def test_anchors_cover_every_window(monkeypatch):
     rng = np.random.default_rng(1)
-    for n in (0, 49, 50, 51, 400, 3000):
-        data = rng.integers(97, 100, n).astype(np.uint8)
-        where, hashes = S.anchors(data)
-        for i in range(n - 49):
-            assert ((where >= i) & (where + S.SEED <= i + 50)).any()
-        monkeypatch.setattr(S, "PIECE", 100)
-        again = S.anchors(data)
-        assert again[0].tolist() == where.tolist() and again[1].tolist() == hashes.tolist()
-        monkeypatch.undo()
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 49, 50, 51, 400, 0, 3000, 17)]
+    data, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    windows = {(int(e) - len(t) + i) for t, e in zip(texts, ends, strict=True) for i in range(len(t) - 49)}
+    by_string = {}
+    for piece in (S.PIECE, 100):
+        monkeypatch.setattr(S, "PIECE", piece)
+        found, seen = S.anchors(data, ends), set()
+        for start, size, place, h, owner in zip(found.start.tolist(), found.size.tolist(), found.place.tolist(), found.hash.tolist(), found.owner.tolist(), strict=True):
+            for w in range(start, start + size - 49):
+                assert w not in seen and ends[owner] - len(texts[owner]) <= w <= ends[owner] - 50
+                assert w <= place <= w + 50 - S.SEED
+                seen.add(w)
+                assert by_string.setdefault(data[w : w + 50].tobytes(), (place - w, h)) == (place - w, h)
+        assert seen == windows
 
 
 def brute(rows, length):
@@ -75,14 +80,17 @@ def corpus(rng):
     return rows + [(1, None), (2, ""), (None, passages[0]), (None, None), rows[0], (3, passages[1][:49]), (4, "z" * 20000), (5, "z" * 49 + "\0" + "z" * 60)]
 
 
-@pytest.mark.parametrize("way", ["shards", "hot", "joined"])
-def test_against_brute_force(spark, monkeypatch, way):
-    if way == "hot":
-        monkeypatch.setattr(S, "HOT_TEXTS", 2)
-    if way == "joined":
-        monkeypatch.setattr(S, "FILTER_BITS", 0)
+@pytest.mark.parametrize("salt_texts", [20_000, 2])
+def test_against_brute_force(spark, monkeypatch, salt_texts):
+    monkeypatch.setattr(S, "SALT_TEXTS", salt_texts)
+    monkeypatch.setattr(S, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(S, "BUCKET_TEXT", 5000)
+    monkeypatch.setattr(S, "SHARD_BYTES", 20_000)
     rows = corpus(random.Random(11))
+    rows += [(50, rows[5][1]), (50, rows[9][1] + rows[5][1]), (50, "nothing in common with the others, whatever they are " * 2)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, id int")
+    told = S.shared_anchors(docs.where("text is not null").selectExpr("text", "xxhash64(text) AS t1"), 3)
+    assert (told.where("salts > 0").count() > 20) == (salt_texts == 2)
     out = S.remove_repeats(docs)
     got = sorted(((r["doc_id"], r["cut"]["n_bytes"], r["cut"]["n_removed"], r["cut"]["n_spans"], hashlib.sha256(r["cut"]["kept"]).hexdigest()) for r in out.collect()), key=repr)
     want = brute(rows, 50)
