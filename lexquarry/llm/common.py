@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as white space in the operators' contracts: [\x20\x09-\x0D].
@@ -45,6 +48,17 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shrunk(text: Column) -> Column:
+    """The text's UTF-8 bytes, compressed: for texts that are moved and then read in Python."""
+
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([zstandard.compress(t.encode(), 1) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

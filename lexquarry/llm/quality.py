@@ -1,32 +1,36 @@
 """Quality rules: counting rules, and perplexity bands of a modified Kneser-Ney n-gram model.
 
-The model is over character classes (letters without accents, digits, space, marks, ...): ALPHABET of them to the power
-of ORDER bounds its size whatever the corpus, so it may be sent to every task, while its counts are over all of the
-corpus. Spark sums the counts; the model is kept as sorted arrays of hashed n-grams and probed by binary search, each
-n-gram that a batch holds once.
+The model is over UTF-16 code units, one for each language: an n-gram of four is exactly 64 bits, whatever the script,
+and contexts and lower orders are parts of those bits. Spark counts n-grams and lower orders and works out their
+probabilities as tables that grow with the corpus. No task and no driver holds the model: documents are dealt into
+groups, the n-grams of a group are joined with the table, and come back as the group's own sorted hash arrays, which
+its texts probe by binary search. Texts without surprise pass; bands on both sides reject the others by language.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import fresh, materialize, table, text_or_empty
+from lexquarry.llm.common import fresh, materialize, shrunk, table, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-ORDER = 4
-ALPHABET = 32
-SPACE, DIGIT, MARK, SYMBOL, OTHER, EDGE = range(26, 32)
+#: Code units in an n-gram, and bits of one. A text begins after ORDER - 1 times EDGE.
+ORDER, UNIT = 4, 16
+EDGE = 0xFFFF
 #: Symbols that are scored or counted at once.
 CHUNK = 1_000_000
+#: Symbols of the documents in a group, about.
+GROUP_SYMBOLS = 24_000_000
 #: Seen n-grams always leave this much to unseen ones, so no probability is zero.
 LEAST_DISCOUNT = 0.01
 #: A document is rejected if its mean surprise is so many (robust) deviations, and BAND_SLACK nats, off its language's median.
@@ -39,53 +43,28 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _class_of(c: str) -> int:
-    letter = unicodedata.normalize("NFD", c)[0].lower()
-    if "a" <= letter <= "z":
-        return ord(letter) - 97
-    if c.isspace():
-        return SPACE
-    if c.isdigit():
-        return DIGIT
-    if c in ".,;:!?'\"()-":
-        return MARK
-    return SYMBOL if c.isascii() else OTHER
-
-
-CLASSES = np.array([_class_of(chr(i)) for i in range(0x250)] + [OTHER], np.uint8)
-
-
-def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return CLASSES[np.minimum(points, len(CLASSES) - 1)]
-
-
 def segments(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(document numbers, starts, n-gram keys): keys of some documents, or parts of one, of about CHUNK symbols."""
+    """(document numbers, starts, n-grams as 64-bit keys) of some documents, or parts of one, of about CHUNK symbols."""
     held, owners, size = [], [], 0
 
     def out():
-        s = np.concatenate(held).astype(np.int32)
-        keys = s[: -ORDER + 1].copy()
+        s = np.concatenate(held).astype(np.uint64)
+        keys = s[: len(s) - ORDER + 1].copy()
         for i in range(1, ORDER):
-            keys = keys * ALPHABET + s[i : len(s) - ORDER + 1 + i]
-        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+            keys = keys << np.uint64(UNIT) | s[i : len(s) - ORDER + 1 + i]
+        sizes = np.array([len(h) for h in held])
         # n-grams that reach over into the next part are not its own.
         real = np.ones(len(keys), bool)
-        for i in range(1, ORDER):
-            real[starts[1:] - i] = False
-        return owners, starts, np.where(real, keys, -1)
+        real[(np.cumsum(sizes)[:-1, None] - np.arange(1, ORDER)).ravel()] = False
+        return owners, np.concatenate([[0], np.cumsum(sizes - ORDER + 1)[:-1]]), keys[real].view(np.int64)
 
     for n, text in enumerate(texts):
-        own = symbols(text)
-        own = np.concatenate([np.full(ORDER - 1, EDGE, np.uint8), own])
-        for at in range(0, max(1, len(own) - ORDER + 1), CHUNK):
-            part = own[at : at + CHUNK + ORDER - 1]
-            if len(part) < ORDER:
-                continue
-            held.append(part)
+        own = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+        own = np.concatenate([np.full(ORDER - 1, EDGE, np.uint16), own])
+        for at in range(0, len(own) - ORDER + 1, CHUNK):
+            held.append(own[at : at + CHUNK + ORDER - 1])
             owners.append(n)
-            size += len(part)
+            size += len(held[-1])
             if size >= CHUNK:
                 yield out()
                 held, owners, size = [], [], 0
@@ -93,32 +72,79 @@ def segments(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarr
         yield out()
 
 
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of texts in order, and how often each occurs."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _, _, own in segments(texts):
+        more, n = np.unique(own, return_counts=True)
+        keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
+def _by_lang(pdf: pd.DataFrame, texts: list[str]) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    langs = pdf["lang"].to_numpy()
+    for lang in dict.fromkeys(langs):
+        rows = np.flatnonzero(langs == lang)
+        yield lang, rows, [texts[i] for i in rows]
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(key, n) of every n-gram in docs.text; each task sums its own before they are shuffled."""
+    """lang, key, n of every n-gram in docs (lang, text); tasks sum their own before they are shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(ALPHABET**ORDER, np.int64)
         for batch in batches:
-            for _, _, keys in segments(list(batch["text"])):
-                total += np.bincount(keys[keys >= 0], minlength=len(total))
-        key = np.flatnonzero(total)
-        yield pd.DataFrame({"key": key.astype(np.int64), "n": total[key]})
+            for lang, _, texts in _by_lang(batch, batch["text"].tolist()):
+                keys, n = ngrams(texts)
+                yield pd.DataFrame({"lang": [lang] * len(keys), "key": keys, "n": n})
+
+    return docs.select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """lang and d1, d2, d3: modified Kneser-Ney discounts for counts of one, two, and more (column n of level)."""
+    counted = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)))
+    some = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
-    parts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+    def of(i: int, otherwise: float) -> Column:  # where counts of counts are too few to estimate from
+        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        return F.when(some, F.least(F.greatest(d, F.lit(LEAST_DISCOUNT)), F.lit(float(i)))).otherwise(otherwise).alias(f"d{i}")
 
+    return counted.select("lang", of(1, 0.5), of(2, 0.75), of(3, 0.9))
 
-def mixed(order: int, keys: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of n-grams of one order (a bijective mix, so different n-grams never meet)."""
-    x = keys.astype(np.uint64) + (np.uint64(order) << np.uint64(56))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """lang, key, logp of every n-gram in counts (lang, key, n).
+
+    Below the top order, counts are of the different units that come before. A context has no more n-grams than there
+    are code units, so no window grows with the corpus.
+    """
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):
+        rest = F.col("key").bitwiseAND(F.lit((1 << UNIT * order) - 1).cast("long")).alias("key")
+        levels[order] = materialize(levels[order + 1].groupBy("lang", rest).agg(F.count("*").alias("n")), "ngrams")
+    every = [discounts(level).withColumn("order", F.lit(order)) for order, level in levels.items()]
+    told = materialize(functools.reduce(DataFrame.unionByName, every).coalesce(1), "discounts")  # ORDER rows a language
+    lower = None
+    for order in range(1, ORDER + 1):
+        off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = levels[order].join(told.where(F.col("order") == order), "lang").select("lang", "key", "n", off.alias("off"))
+        context = Window.partitionBy("lang", F.shiftrightunsigned("key", UNIT) if order > 1 else F.lit(0))
+        total = F.sum("n").over(context)
+        share, left = (F.col("n") - F.col("off")) / total, F.sum("off").over(context) / total
+        if lower is None:  # below single units all are alike
+            lower = rows.select("lang", "key", (share + left / F.count("*").over(context)).alias("p"))
+            continue
+        rest = F.col("key").bitwiseAND(F.lit((1 << UNIT * (order - 1)) - 1).cast("long"))
+        rows = rows.select("lang", "key", rest.alias("rest"), share.alias("share"), left.alias("left"))
+        lower = rows.join(lower.withColumnRenamed("key", "rest"), ["lang", "rest"]).select("lang", "key", (F.col("share") + F.col("left") * F.col("p")).alias("p"))
+    return lower.select("lang", "key", F.log("p").alias("logp"))
 
 
 @dataclass
 class SortedHashArray:
-    """64-bit hashes in order, and their values."""
+    """64-bit keys in order, and their values."""
 
     keys: np.ndarray
     values: np.ndarray
@@ -126,84 +152,23 @@ class SortedHashArray:
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> SortedHashArray:
         order = np.argsort(keys)
-        return cls(keys[order], values[order].astype(np.float32))
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value) of each key."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.values[at]
-
-
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and more."""
-    n = [int(np.count_nonzero(counts == i)) for i in range(1, 5)]
-    if not all(n):
-        return 0.5, 0.75, 0.9  # too few counts of counts to estimate from
-    y = n[0] / (n[0] + 2 * n[1])
-    return tuple(min(max(i - (i + 1) * y * n[i] / n[i - 1], LEAST_DISCOUNT), float(i)) for i in (1, 2, 3))
-
+        return cls(keys[order], values[order])
 
-@dataclass
-class Model:
-    """Log probabilities of the n-grams seen, and log weights for backing off from contexts, by order."""
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; all of them are held."""
+        at = np.searchsorted(self.keys, keys)
+        if len(keys) and (at.max() >= len(self.keys) or (self.keys[at] != keys).any()):
+            raise KeyError("n-gram without a probability")
+        return self.values[at]
 
-    seen: list[SortedHashArray]
-    weights: list[SortedHashArray]
 
-    @classmethod
-    def fit(cls, keys: np.ndarray, counts: np.ndarray) -> Model:
-        top = np.zeros(ALPHABET**ORDER, np.int64)
-        top[keys] = counts
-        by_order = [top]
-        for order in range(ORDER - 1, 0, -1):  # below the top: how many different symbols come before
-            by_order.insert(0, np.count_nonzero(by_order[0].reshape(ALPHABET, ALPHABET**order), axis=0))
-        lower, seen, weights = np.full(ALPHABET, 1 / ALPHABET), [], []
-        for order, flat in enumerate(by_order, 1):
-            count = flat.reshape(-1, ALPHABET)
-            one, two, more = discounts(flat)
-            off = np.select([count == 0, count == 1, count == 2], [0.0, one, two], more)
-            total = count.sum(axis=1, keepdims=True)
-            some = np.maximum(total, 1)
-            weight = np.where(total > 0, off.sum(axis=1, keepdims=True) / some, 1.0)
-            prob = (count - off) / some + weight * np.tile(lower.reshape(-1, ALPHABET), (len(count) // max(1, lower.size // ALPHABET), 1))
-            key = np.arange(ALPHABET) if order == 1 else np.flatnonzero(flat)
-            seen.append(SortedHashArray.of(mixed(order, key), np.log(prob.ravel()[key])))
-            context = np.flatnonzero(total[:, 0])
-            weights.append(SortedHashArray.of(mixed(order, context), np.log(np.maximum(weight[context, 0], 1e-12))))
-            lower = prob
-        return cls(seen, weights)
-
-    def logp(self, keys: np.ndarray) -> np.ndarray:
-        """Of n-grams of the top order."""
-        out, left = np.zeros(len(keys), np.float64), np.arange(len(keys))
-        for order in range(ORDER, 0, -1):
-            part = keys[left] % ALPHABET**order
-            found, value = self.seen[order - 1].get(mixed(order, part))
-            out[left[found]] += value[found]
-            left, part = left[~found], part[~found]
-            known, weight = self.weights[order - 1].get(mixed(order, part // ALPHABET))
-            out[left] += np.where(known, weight, 0.0)
-        return out
-
-    def surprise(self, texts: list[str]) -> np.ndarray:
-        """Mean negative log probability of each text's symbols; NaN for an empty text."""
-        sums, sizes = np.zeros(len(texts)), np.zeros(len(texts))
-        table = np.zeros(ALPHABET**ORDER + 1)  # the last one stands for key -1
-        for owners, starts, keys in segments(texts):
-            held = np.flatnonzero(np.bincount(keys[keys >= 0], minlength=len(table)))
-            table[held] = self.logp(held)
-            np.add.at(sums, owners, np.add.reduceat(table[keys], starts))
-            np.add.at(sizes, owners, np.add.reduceat((keys >= 0).astype(np.float64), starts))
-        with np.errstate(invalid="ignore"):
-            return -sums / sizes
-
-
-def train(docs: DataFrame) -> Model:
-    """The model of docs.text. What comes to the driver has ALPHABET ** ORDER rows at most."""
-    counts = count_ngrams(docs).toPandas()
-    return Model.fit(counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+def surprise(texts: list[str], model: SortedHashArray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log probability of each text, and of how many symbols."""
+    sums, sizes = np.zeros(len(texts)), np.zeros(len(texts))
+    for owners, starts, keys in segments(texts):
+        np.add.at(sums, owners, np.add.reduceat(model.get(keys), starts))
+        np.add.at(sizes, owners, np.diff(np.append(starts, len(keys))))
+    return -sums, sizes
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -227,23 +192,46 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-def score(model: Model, spark) -> Column:
-    """A function of the text: a struct of BASE, base_failed and surprise."""
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf(f"{BASE}, base_failed boolean, surprise double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = pd.DataFrame([base_counts(t) for t in texts], columns=[c.split()[0] for c in BASE.split(", ")], dtype="int64")
-            out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-            out["surprise"] = sent.value.surprise(list(texts))
-            yield out
-
-    return of
-
-
-def bands(scored: DataFrame) -> DataFrame:
-    """lang, low, high: each language's band of surprise, from the medians of all its documents that pass the base rules."""
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, lang, BASE, base_failed, surprise (nats a symbol) and word_surprise (log of nats a word) of docs
+    (doc_id, lang, text); null where there is nothing to divide by."""
+    counts = materialize(count_ngrams(docs), "ngrams")
+    symbols = counts.agg(F.sum("n")).first()[0] or 0
+    model = materialize(kneser_ney(counts).sortWithinPartitions("lang", "key"), "model")
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-symbols // GROUP_SYMBOLS) or 1)).cast("int")
+    known = F.coalesce("doc_id", F.lit(0)).alias("doc_id")  # a long with nulls would not stay one in pandas
+    dealt = docs.select(group.alias("group"), known, F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("text_hash"), "lang", shrunk(F.col("text")).alias("packed"))
+
+    def texts_of(pdf: pd.DataFrame) -> list[str]:
+        return [zstandard.decompress(p).decode() for p in pdf["packed"]]
+
+    def asked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(lang, ngrams(texts)[0]) for lang, _, texts in _by_lang(pdf, texts_of(pdf))]
+        return pd.DataFrame({"group": key[0], "lang": np.repeat([x for x, _ in parts], [len(k) for _, k in parts]), "key": np.concatenate([k for _, k in parts])})
+
+    def scored(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        texts, names = texts_of(pdf), [c.split()[0] for c in BASE.split(", ")]
+        out = pd.DataFrame([base_counts(t) for t in texts], columns=names, dtype="int64")
+        out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
+        own = {lang: SortedHashArray.of(g["key"].to_numpy(), g["logp"].to_numpy()) for lang, g in told.groupby("lang")}
+        nats, sizes = np.zeros(len(texts)), np.zeros(len(texts))
+        for lang, rows, part in _by_lang(pdf, texts):
+            nats[rows], sizes[rows] = surprise(part, own.get(lang, SortedHashArray(np.zeros(0, np.int64), np.zeros(0))))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out["surprise"], out["word_surprise"] = np.where(sizes > 0, nats / sizes, np.nan), np.log(np.where(out["n_words"] > 0, nats / out["n_words"], np.nan))
+        return pd.concat([pdf[["doc_id", "none", "text_hash", "lang"]].reset_index(drop=True), out], axis=1)
+
+    grams = dealt.groupBy("group").applyInPandas(asked, "group int, lang string, key long")
+    told = grams.join(model, ["lang", "key"]).select("group", "lang", "key", "logp")
+    out = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInPandas(scored, f"doc_id long, none boolean, text_hash long, lang string, {BASE}, base_failed boolean, surprise double, word_surprise double")
+    return out.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
+
+
+def bands(scored: DataFrame, measure: str) -> DataFrame:
+    """lang, low, high: each language's band of this measure, from its median over all documents that pass the base rules.
+
+    Medians are read off counts by steps: a few thousand rows a language, however many documents it has.
+    """
 
     def median(df: DataFrame, step: str) -> DataFrame:
         by = Window.partitionBy("lang")
@@ -251,27 +239,30 @@ def bands(scored: DataFrame) -> DataFrame:
         marked = df.groupBy("lang", step).agg(F.sum("n").alias("n")).withColumn("upto", upto).withColumn("total", F.sum("n").over(by))
         return marked.where(F.col("upto") * 2 >= F.col("total")).groupBy("lang").agg(F.min(step).alias(f"mid_{step}"))
 
-    passed = scored.where(~F.col("base_failed") & ~F.isnan("surprise"))
-    steps = passed.groupBy("lang", F.round(F.col("surprise") * STEPS).cast("long").alias("step")).agg(F.count("*").alias("n"))
-    steps = materialize(steps, "surprise")  # a few thousand rows a language
+    passed = scored.where(~F.col("base_failed") & F.col(measure).isNotNull())
+    steps = passed.groupBy("lang", F.round(F.col(measure) * STEPS).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    steps = materialize(steps, "surprise")
     middle = median(steps, "step")
     off = steps.join(middle, "lang").withColumn("off", F.abs(F.col("step") - F.col("mid_step")))
     reach = F.col("mid_off") * 1.4826 * BAND_DEVIATIONS / STEPS + BAND_SLACK
-    return middle.join(median(off, "off"), "lang").select("lang", (F.col("mid_step") / STEPS - reach).alias("low"), (F.col("mid_step") / STEPS + reach).alias("high"))
+    found = middle.join(median(off, "off"), "lang").select("lang", (F.col("mid_step") / STEPS - reach).alias("low"), (F.col("mid_step") / STEPS + reach).alias("high"))
+    return materialize(found.coalesce(1), "bands")  # a row a language: Spark sees its size when it chooses the join
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, text_hash, lang, BASE, base_failed, surprise, perplexity, kept.
+    """A row per document: doc_id, text_hash, lang, BASE, base_failed, surprise, word_surprise, perplexity (a symbol), kept.
 
-    Null or empty text: no words, so the base rules fail. A null lang is a language of its own. Rows that repeat are
-    judged alike. The model is of the same documents, all of them.
+    A document stays if it passes the base rules, and both its perplexity a symbol and its perplexity a word are in its
+    language's bands: marks that are strewn between words lower the one and raise the other. Null or empty text: no
+    words, so the base rules fail. A null lang is a language of its own. Rows that repeat are judged alike. The model is
+    of the same documents, all of them.
     """
-    spark = docs.sparkSession
-    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), lang.alias("lang"), score(train(docs), spark)(text_or_empty()).alias("s"))
-    scored = materialize(own.select("doc_id", "text_hash", "lang", "s.*"), "scored")
-    judged = scored.join(bands(scored), "lang", "left")
-    inside = F.coalesce(F.col("surprise").between(F.col("low"), F.col("high")), F.lit(True))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    scored = materialize(score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("text"))), "scored")
+    judged, inside = scored, F.lit(True)
+    for measure in ("surprise", "word_surprise"):
+        judged = judged.join(bands(scored, measure).select("lang", F.col("low").alias(f"{measure}_low"), F.col("high").alias(f"{measure}_high")), "lang", "left")
+        inside &= F.coalesce(F.col(measure).between(F.col(f"{measure}_low"), F.col(f"{measure}_high")), F.lit(True))
     return judged.select(*scored.columns, F.exp("surprise").alias("perplexity"), (~F.col("base_failed") & inside).alias("kept"))
 
 
@@ -279,7 +270,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     row, text_hash = fresh(docs, "doc"), fresh(docs, "hash")
     good = judge(docs).where("kept").select(F.col("doc_id").alias(row), F.col("text_hash").alias(text_hash)).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col(row)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left_semi")
+    return docs.join(good, docs["doc_id"].eqNullSafe(F.col(row)) & (F.xxhash64(text_or_empty()) == F.col(text_hash)), "left_semi")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
