@@ -66,3 +66,8 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def unclashed(df: DataFrame, name: str) -> str:
+    """name itself, or a fresh name if df has a column of that name."""
+    return fresh(df, name) if name.lower() in {c.lower() for c in df.columns} else name

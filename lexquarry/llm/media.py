@@ -7,8 +7,10 @@ confirmed matches further in are carved out as embedded media. A magic number al
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import table, text_or_empty
+from lexquarry.llm.common import table, text_or_empty, unclashed
 
 UNIT = 64
 RATE = 8000
@@ -38,6 +40,26 @@ SIGNATURES = [
 ]
 
 
+#: What the files of a format end with; without one, no start of such a file needs a look.
+TRAILERS = {"application/pdf": b"%%EOF", "application/zip": b"PK\x05\x06"}
+
+
+class Marks:
+    """Where the marks of a value stand. Each kind is looked for once a value, however many starts ask for it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.places = data, {}
+        self.dead: set[tuple] = set()  # places from which a walk has failed, so no other need come by
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or -1."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(mark, self.data, re.DOTALL)]
+        found = self.places[mark]
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
 def wav(samples: bytes, rate: int = RATE) -> bytes:
     """Mono 8-bit PCM."""
     odd = len(samples) % 2
@@ -72,12 +94,12 @@ def wav_parts(data: bytes, at: int = 0) -> tuple[int, tuple, int, int] | None:
     return end - at, fmt, *samples
 
 
-def _wav(data: bytes, at: int) -> int | None:
+def _wav(data: bytes, at: int, marks: Marks) -> int | None:
     found = wav_parts(data, at)
     return found and found[0]
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, marks: Marks) -> int | None:
     i, first = at + 8, True
     while i + 12 <= len(data):
         size = int.from_bytes(data[i : i + 4], "big")
@@ -90,7 +112,7 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, marks: Marks) -> int | None:
     def colours(flags: int) -> int:
         return 3 << ((flags & 7) + 1) if flags & 128 else 0
 
@@ -113,29 +135,30 @@ def _gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
-    i, scans = at + 2, 0
-    while i + 4 <= len(data) and data[i] == 0xFF:
-        mark = data[i + 1]
+def _jpeg(data: bytes, at: int, marks: Marks) -> int | None:
+    i, scans, walked = at + 2, False, []
+    while i + 4 <= len(data) and data[i] == 0xFF and ("jpeg", i, scans) not in marks.dead:
+        walked.append(("jpeg", i, scans))
+        mark, size = data[i + 1], int.from_bytes(data[i + 2 : i + 4], "big")
         if mark == 0xD9:
-            return i + 2 - at if scans else None
+            break
         if mark == 0xFF:
             i += 1
             continue
-        size = int.from_bytes(data[i + 2 : i + 4], "big")
         if size < 2 or not 0xC0 <= mark <= 0xFE:
-            return None
+            break
         i += 2 + size
         if mark == 0xDA:  # entropy-coded bytes run up to the next mark that is neither stuffed nor a restart
-            scans += 1
-            while 0 <= (i := data.find(b"\xff", i)) and i + 1 < len(data) and (data[i + 1] == 0 or 0xD0 <= data[i + 1] <= 0xD7):
-                i += 2
-            if i < 0:
-                return None
-    return i + 2 - at if scans and data[i : i + 2] == b"\xff\xd9" else None
+            scans = True
+            if (i := marks.next(b"\xff(?=[^\x00\xd0-\xd7])", i)) < 0:
+                break
+    if scans and i >= 0 and data[i : i + 2] == b"\xff\xd9":
+        return i + 2 - at
+    marks.dead.update(walked)
+    return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, marks: Marks) -> int | None:
     if at + 54 > len(data):
         return None
     size, reserved, offset, header = struct.unpack_from("<IIII", data, at + 2)
@@ -144,20 +167,22 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if ok and at + size <= len(data) and offset + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data[at + 5 : at + 8].replace(b".", b"").isdigit() and data.find(b"startxref", at, end) >= 0 else None
+def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
+    if not data[at + 5 : at + 8].replace(b".", b"").isdigit():
+        return None
+    end = marks.next(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and 0 <= marks.next(b"startxref", at) <= end - 9 else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(data: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(data) and data[at + start : at + start + 4] == b"PK\x01\x02" else None
 
 
-def _flac(data: bytes, at: int) -> int | None:
+def _flac(data: bytes, at: int, marks: Marks) -> int | None:
     i = at + 4
     while i + 4 <= len(data):
         last, size = data[i], int.from_bytes(data[i + 1 : i + 4], "big")
@@ -169,7 +194,7 @@ def _flac(data: bytes, at: int) -> int | None:
     return None
 
 
-def _mp4(data: bytes, at: int) -> int | None:
+def _mp4(data: bytes, at: int, marks: Marks) -> int | None:
     i, seen = at, set()
     while i + 8 <= len(data):
         size, kind = int.from_bytes(data[i : i + 4], "big"), data[i + 4 : i + 8]
@@ -197,12 +222,13 @@ def _automaton():
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of the confirmed media in data, from the left and without overlaps, but for what a file at
     the start holds within itself, which is listed too."""
-    out, free = [], 0
-    hits = sorted((end + 1 - size, kind) for end, (size, kind) in _automaton().iter(data.decode("latin-1")))
-    for start, kind in hits:
+    out, free, marks = [], 0, Marks(data)
+    looked = {kind for kind in VALIDATORS if kind not in TRAILERS or TRAILERS[kind] in data}
+    hits = ((end + 1 - size, kind) for end, (size, kind) in _automaton().iter(data.decode("latin-1")) if kind in looked)
+    for start, kind in sorted(hits):
         if start < 0 or start < free:
             continue
-        length = VALIDATORS[kind](data, start)
+        length = VALIDATORS[kind](data, start, marks)
         if length:
             out.append((kind, start, length))
             free = start + length if start else 0
@@ -241,7 +267,7 @@ def store(text: Column) -> Column:
 
 
 def inspect(media: DataFrame, data: str = "media", declared: str | None = None) -> DataFrame:
-    """media with a struct `sniffed`: declared, detected, corrected (they differ), payload, embedded, feature.
+    """media with a struct `sniffed` (renamed if taken): declared, detected, corrected (they differ), payload, embedded, feature.
 
     Null data: empty bytes, of unknown type. Equal bytes give equal values; nothing else is looked at, so repeated rows,
     null keys and extra columns make no difference.
@@ -257,8 +283,9 @@ def inspect(media: DataFrame, data: str = "media", declared: str | None = None)
             yield pd.DataFrame(rows, columns=["detected", "payload", "embedded", "feature"])
 
     told = F.col(declared) if declared else F.lit(None).cast("string")
-    seen = media.withColumn("sniffed", of(F.coalesce(F.col(data), F.lit(b""))))
-    return seen.withColumn("sniffed", F.struct(told.alias("declared"), (~told.eqNullSafe(F.col("sniffed.detected"))).alias("corrected"), "sniffed.*"))
+    name = unclashed(media, "sniffed")
+    seen = media.withColumn(name, of(F.coalesce(F.col(data), F.lit(b""))))
+    return seen.withColumn(name, F.struct(told.alias("declared"), (~told.eqNullSafe(F.col(f"{name}.detected"))).alias("corrected"), f"{name}.*"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

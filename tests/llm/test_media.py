@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -49,6 +50,38 @@ def test_formats_are_confirmed_carved_and_rejected_when_broken():
     assert M.sniff(b"BM RIFF GIF89a %PDF- PK\x03\x04 ftyp") == []
 
 
+def test_time_is_linear():
+    for unit in (b"%PDF-1.4 ", b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"BM", b"GIF89a", b"\x89PNG\r\n\x1a\n", b"fLaC", b"RIFF", b"ftyp"):
+        for end in (b"", b"%%EOFPK\x05\x06" + b"\0" * 18):
+            data = unit * ((5_000_000 if unit[:1] in b"%P" else 1_000_000) // len(unit)) + end
+            began = time.process_time()
+            M.sniff(data)
+            assert time.process_time() - began < 5, unit  # quadratic: minutes
+
+
+def brute_feature(data):
+    """Of a wave file of 8-bit samples, by the standard library, and by trying every place for every format."""
+    with wave.open(io.BytesIO(data)) as w:
+        samples, head = w.readframes(w.getnframes()), f"audio/wav;rate={w.getframerate()};bits={8 * w.getsampwidth()};frames={w.getnframes()}"
+    inside, free = [], 1
+    for at in range(1, len(data)):
+        for magic, offset, kind in M.SIGNATURES:
+            start = at - offset
+            if start >= free and data[at : at + len(magic)] == magic and (n := M.VALIDATORS[kind](data, start, M.Marks(data))):
+                inside.append(f"{kind}@{start}+{n}")
+                free = start + n
+    return f"{head};peak={max(samples, default=0)};sum={sum(samples)};embedded={','.join(inside) or 'none'}"
+
+
+def test_feature():
+    rng = random.Random(3)
+    parts = [d for k, d in files().items() if k not in ("audio/flac", "video/mp4")] + [b"PK\x03\x04", b"%PDF-1", b"%%EOF", b"\xff\xd8\xff", b"words", b"GIF89a"]
+    for _ in range(60):
+        body = M.padded(b" ".join(rng.choice(parts) for _ in range(rng.randint(0, 5))))
+        kind, payload, _, feature = M.features(M.wav(body))
+        assert (kind, payload, feature) == ("audio/wav", body, brute_feature(M.wav(body)))
+
+
 def test_wav_is_read_by_the_standard_library():
     for data in (b"", b"a", b"\x00\xff" * 50):
         with wave.open(io.BytesIO(M.wav(data))) as w:
