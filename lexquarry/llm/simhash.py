@@ -1,29 +1,31 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints are made per document. Equal fingerprints are one row from then on. Two fingerprints within RADIUS bits
-agree on all but RADIUS of BLOCKS blocks, so rows that agree on some choice of the other blocks meet in a group; as a
-group's members differ in the left-out blocks alone, no group has more than 2**22 of them, whatever the input. Within a
-group the index finds links and gives a spanning forest of them, never all pairs. Components are then contracted by
-alternating large and small stars over DataFrames.
+Fingerprints are made per document. Equal fingerprints are one row from then on. They are sorted by Gray rank and cut
+into shards of neighbours; what the members of a shard have in common, a masked bit pattern, is a node of the index's
+upper part, which is a row a shard. A fingerprint goes to a shard only if its differences from the nodes above it,
+added up on the way down, are within RADIUS; there it goes on down the shard's own nodes. Links give a spanning forest
+of each shard and an edge for each component of a shard that a visitor meets, never all pairs. Components are then
+contracted by alternating large and small stars over DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexquarry.llm.common import materialize, table, text_or_empty
+from lexquarry.llm.common import fresh, materialize, table, text_or_empty
 
 RADIUS = 2
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Children of a node, and fingerprints of a shard, about. The upper part has a row of 16 bytes for each shard.
 WIDTH = 16
+SHARD = 65_536
 SEED = 42
 #: Query and node pairs that a search holds at once.
 FRONTIER = 1_000_000
@@ -65,11 +67,15 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints in Gray order; each node above them holds the bits on which its WIDTH children agree."""
+    """Codes in Gray order; each node above them holds the bits on which its WIDTH children agree.
 
-    def __init__(self, codes: np.ndarray):
+    agree: of each code the bits that count (it may be a node itself); all of them if not given.
+    """
+
+    def __init__(self, codes: np.ndarray, agree: np.ndarray | None = None):
         self.order = np.argsort(gray_rank(codes), kind="stable")
-        pattern, agree = codes[self.order], np.full(len(codes), ~np.uint64(0))
+        pattern = codes[self.order]
+        agree = np.full(len(codes), ~np.uint64(0)) if agree is None else agree[self.order]
         self.levels = [(pattern, agree)]
         while len(pattern) > WIDTH:
             first = np.arange(0, len(pattern), WIDTH)
@@ -90,15 +96,18 @@ class GrayIndex:
             out.append(np.where((low == high) & (low >= 0), low, -1))
         return out
 
-    def search(self, queries: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(query, leaf) pairs within radius and of different labels, and the largest frontier; all as Gray positions."""
-        codes, marks = self.levels[0][0][queries], self.uniform(labels)
+    def search(self, codes: np.ndarray, radius: int, labels: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(number of code, leaf) for codes within radius, and the largest frontier; leaves as Gray positions. With labels,
+        leaves that have the code's own label are left out."""
+        marks = None if labels is None else self.uniform(labels)
         n = len(self.levels[-1][0])
-        q, node, acc = np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries)), np.zeros(n * len(queries), np.int64)
+        q, node, acc = np.repeat(np.arange(len(codes)), n), np.tile(np.arange(n), len(codes)), np.zeros(n * len(codes), np.int64)
         peak = 0
         for level in range(len(self.levels) - 1, -1, -1):
             acc = acc + np.bitwise_count((codes[q] ^ self.levels[level][0][node]) & self.own[level][node])
-            stay = (acc <= radius) & (marks[level][node] != labels[queries[q]])
+            stay = acc <= radius
+            if marks is not None:
+                stay &= marks[level][node] != own[q]
             q, node, acc = q[stay], node[stay], acc[stay]
             if level:
                 wide = np.minimum(WIDTH, len(self.levels[level - 1][0]) - node * WIDTH)
@@ -106,7 +115,15 @@ class GrayIndex:
                 node = start + np.arange(len(start))
                 q, acc = np.repeat(q, wide), np.repeat(acc, wide)
             peak = max(peak, len(q))
-        return queries[q], node, peak
+        return q, node, peak
+
+    def chunks(self, n: int) -> Iterator[tuple[int, int]]:
+        """Ranges of n codes whose searches stay near FRONTIER; send() takes the frontier of the last one."""
+        at, size = 0, max(1, FRONTIER // (8 * WIDTH * WIDTH))
+        while at < n:
+            peak = yield at, min(n, at + size)
+            at += size
+            size = min(2 * size, 65_536) if (peak or 0) < FRONTIER // 2 else max(1, size // 2)
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,43 +148,111 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[labels]
 
 
-def forest(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of these different codes the position of the code that stands for its component."""
-    if len(codes) == 2:
-        near = int(codes[0] ^ codes[1]).bit_count() <= radius
-        return np.array([0, 0 if near else 1])
-    index, n = GrayIndex(codes), len(codes)
-    labels, at, chunk = np.arange(n), 0, max(1, min(n, FRONTIER // (8 * n)))
-    while at < n:
-        a, b, peak = index.search(np.arange(at, min(n, at + chunk)), radius, labels)
-        labels = joined(labels, a, b)
-        at += chunk
-        chunk = min(2 * chunk, 65_536) if peak < FRONTIER // 2 else max(1, chunk // 2)
-    out = np.empty(n, np.int64)
-    out[index.order] = index.order[labels]
-    return out
-
-
-def group_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between different fingerprints (column fp) that connect whatever links within radius connect."""
-    shifts = np.cumsum((0, *BLOCKS[:-1])).tolist()
-    masks = [sum(((1 << BLOCKS[i]) - 1) << shifts[i] for i in keep) for keep in combinations(range(len(BLOCKS)), len(BLOCKS) - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)))
-    groups = codes.select("fp", F.explode(keys).alias("k")).groupBy("k.part", "k.key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
+class Shard:
+    """Different codes, their index, and of each (in Gray order) the one that stands for its component among them."""
+
+    def __init__(self, codes: np.ndarray, radius: int = RADIUS):
+        self.index, self.radius = GrayIndex(codes), radius
+        self.codes, self.labels = self.index.levels[0][0], np.arange(len(codes))
+        ranges = self.index.chunks(len(codes))
+        span = next(ranges, None)
+        while span:
+            q = np.arange(*span)
+            a, b, peak = self.index.search(self.codes[q], radius, self.labels, self.labels[q])
+            self.labels = joined(self.labels, q[a], b)
+            span = _advance(ranges, peak)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that connect what links within the shard connect."""
+        linked = np.flatnonzero(self.labels != np.arange(len(self.labels)))
+        return self.codes[linked], self.codes[self.labels[linked]]
+
+    def visit(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge for each of these codes and each component that it links with."""
+        ends: list[tuple[np.ndarray, np.ndarray]] = [(codes[:0], codes[:0])]
+        ranges = self.index.chunks(len(codes))
+        span = next(ranges, None)
+        while span:
+            part = codes[slice(*span)]
+            q, leaf, peak = self.index.search(part, self.radius)
+            met = np.unique(np.stack([q, self.labels[leaf]], axis=1), axis=0)
+            ends.append((part[met[:, 0]], self.codes[met[:, 1]]))
+            span = _advance(ranges, peak)
+        return tuple(np.concatenate(x) for x in zip(*ends, strict=True))
+
+
+def _advance(ranges, peak: int):
+    try:
+        return ranges.send(peak)
+    except StopIteration:
+        return None
+
+
+def gray_order(fp: Column) -> Column:
+    """The Gray rank as a long that orders as the unsigned number would."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between different fingerprints (column fp) that connect whatever links within radius connect."""
+    count = -(-codes.count() // SHARD) or 1
+    ranged = codes.repartitionByRange(count, gray_order(F.col("fp"))).select("fp", F.spark_partition_id().alias("shard"))
+    ranged = materialize(ranged, "gray-order")
+    nodes = ranged.groupBy("shard").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("shard").toPandas()  # a row a shard
+    names = nodes["shard"].to_numpy(np.int64)
+    whole, some = (nodes[c].to_numpy(np.int64).view(np.uint64) for c in ("all", "any"))
+    upper = GrayIndex(whole, ~(whole ^ some))
+    names = names[upper.order]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each later shard that a fingerprint may have links in, and, as a member, to its own."""
         for batch in batches:
-            a, b = [], []
-            for fps in batch["fps"]:
-                own = np.asarray(fps, np.int64)
-                lead = forest(own.view(np.uint64), radius)
-                linked = lead != np.arange(len(own))
-                a.append(own[linked])
-                b.append(own[lead[linked]])
-            yield pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+            fp, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield _batch(("shard", home), ("visits", np.zeros(len(fp), bool)), ("fp", fp))
+            ranges = upper.chunks(len(fp))
+            span = next(ranges, None)
+            while span:
+                part, own = fp[slice(*span)], home[slice(*span)]
+                q, node, peak = upper.search(part.view(np.uint64), radius)
+                later = names[node] > own[q]
+                yield _batch(("shard", names[node[later]]), ("visits", np.ones(int(later.sum()), bool)), ("fp", part[q[later]]))
+                span = _advance(ranges, peak)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shard after shard: members come first, and visitors stream by."""
+        now, members, shard = None, [], None
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return _batch(("a", a.view(np.int64)), ("b", b.view(np.int64)))
 
-    return groups.select("fps").mapInPandas(edges, "a long, b long")
+        for batch in batches:
+            names, visits, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if names[x] != now:
+                    if now is not None and shard is None:
+                        yield edges(*Shard(np.concatenate(members), radius).forest())
+                    now, members, shard = names[x], [], None
+                codes, come = fp[x:y].view(np.uint64), visits[x:y]
+                members.append(codes[~come])
+                if come.any():
+                    if shard is None:
+                        shard = Shard(np.concatenate(members), radius)
+                        yield edges(*shard.forest())
+                    yield edges(*shard.visit(codes[come]))
+        if now is not None and shard is None:
+            yield edges(*Shard(np.concatenate(members), radius).forest())
+
+    routed = ranged.select("fp", F.col("shard").cast("long").alias("shard")).mapInArrow(route, "shard long, visits boolean, fp long")
+    return routed.repartition("shard").sortWithinPartitions("shard", "visits").mapInArrow(meet, "a long, b long")
+
+
+def _batch(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for _, x in columns], [name for name, _ in columns])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,7 +286,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> Da
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), fingerprints(text_or_empty(), words).alias("fp"))
     own = materialize(own, "fingerprints")
     leads = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("lead")), "leads")
-    of = components(group_links(leads.select("fp"), radius))
+    of = components(links(leads.select("fp"), radius))
     rooted = leads.join(of, leads["fp"] == of["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
     return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
@@ -209,8 +294,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> Da
 
 def only_leads(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their component's (found: doc_id, text_hash, component_id), once each."""
-    leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash")).distinct()
-    stays = docs.join(leads, docs["doc_id"].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
+    lead, text_hash = fresh(docs, "lead"), fresh(docs, "hash")
+    leads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(lead), F.col("text_hash").alias(text_hash)).distinct()
+    stays = docs.join(leads, docs["doc_id"].eqNullSafe(F.col(lead)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left_semi")
     return stays.dropDuplicates(["doc_id", "text"])
 
 

@@ -40,13 +40,52 @@ def near_codes(rng, n):
     return rng.sample(sorted(out), n)
 
 
+def united(n, edges, codes):
+    at = {c: i for i, c in enumerate(codes)}
+    labels = list(range(n))
+    for a, b in edges:
+        x, y = labels[at[a]], labels[at[b]]
+        labels = [min(x, y) if z in (x, y) else z for z in labels]
+    return classes(labels)
+
+
 @pytest.mark.parametrize("seed", range(12))
-def test_forest_has_the_components_of_brute_force(seed, monkeypatch):
+def test_shards_have_the_links_of_brute_force(seed, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(S, "FRONTIER", rng.choice([100, 10_000, 1_000_000]))
     codes = near_codes(rng, rng.choice([2, 3, 16, 17, 300]))
-    got = S.forest(np.array(codes, np.uint64))
-    assert classes(got.tolist()) == classes(brute_components(codes, 2))
+    shard = S.Shard(np.array(codes, np.uint64))
+    own = list(zip(*(x.tolist() for x in shard.forest()), strict=True))
+    assert united(len(codes), own, codes) == classes(brute_components(codes, 2)) and len(own) < len(codes)
+    new = [c for c in near_codes(rng, 40) + [c ^ 5 for c in codes[:9]] if c not in codes]
+    new = list(dict.fromkeys(new))
+    met = list(zip(*(x.tolist() for x in shard.visit(np.array(new, np.uint64))), strict=True))
+    for c in new:
+        near = [x for x in codes if (x ^ c).bit_count() <= 2]
+        label = dict(zip(shard.codes.tolist(), shard.labels.tolist(), strict=True))
+        assert sorted(label[b] for a, b in met if a == c) == sorted({label[x] for x in near})
+
+
+def test_upper_nodes_let_nothing_through_that_is_far_and_nothing_near_out():
+    rng = random.Random(2)
+    codes = np.array(sorted(near_codes(rng, 2000), key=lambda c: S.gray_rank(np.array([c], np.uint64))[0]), np.uint64)
+    parts = np.split(codes, 100)
+    whole, some = (np.array([f.reduce(p) for p in parts]) for f in (np.bitwise_and, np.bitwise_or))
+    upper = S.GrayIndex(whole, ~(whole ^ some))
+    q, node, _ = upper.search(codes, 2)
+    got = set(zip(q.tolist(), upper.order[node].tolist(), strict=True))
+    assert got == {(i, j) for i, c in enumerate(codes) for j in range(100) if int((c ^ whole[j]) & ~(whole[j] ^ some[j])).bit_count() <= 2}
+    assert all((i, j) in got for i, c in enumerate(codes) for j in range(100) if any(int(c ^ x).bit_count() <= 2 for x in parts[j]))
+    assert len(got) < len(codes) * 50
+
+
+@pytest.mark.parametrize("shard", [1, 40, 100_000])
+def test_links_over_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(S, "SHARD", shard)
+    codes = near_codes(random.Random(shard), 120 if shard == 1 else 400)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    got = S.links(spark.createDataFrame([(c,) for c in signed], "fp long")).collect()
+    assert united(len(codes), [(r["a"] % 2**64, r["b"] % 2**64) for r in got], codes) == classes(brute_components(codes, 2))
 
 
 def brute_fingerprint(text):
@@ -72,7 +111,7 @@ def test_near_duplicates(spark):
             words[rng.randrange(len(words))] = "edit"
         rows.append((1000 - i, " ".join(words), "s", 1))
     rows += [(3, None, "s", 1), (2, "", None, 1), (None, "alone in here", "s", 1), (None, "", "s", 1), rows[0]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, root int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, _lead int")
     codes = [brute_fingerprint(t or "") for _, t, _, _ in rows]
     comp = brute_components(codes, 2)
     least = {c: min((r[0] for r, x in zip(rows, comp) if x == c and r[0] is not None), default=None) for c in comp}
