@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import fresh, materialize, table, text_or_empty
+from lexquarry.llm.common import fresh, materialize, shrunk, table, text_or_empty
 
 LENGTH = 50
 SEED = 16
@@ -503,24 +503,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
     size = ids.agg(F.sum("size")).first()[0] or 0
     told = materialize(shared_anchors(own.select("text", F.xxhash64("text").alias("t1")), -(-size // BUCKET_TEXT) or 1, length, seed), "shared-anchors")
-    spread = told.where("salts > 0").select("anchor", F.col("salts").alias("many"))
+    # Written by itself, so that Spark knows its size when it chooses the join.
+    spread = materialize(told.where("salts > 0").select("anchor", F.col("salts").alias("many")).coalesce(1), "salts")
     dealt = told.where("salts = 0").join(spread, "anchor", "left").select("text", F.struct("anchor", F.coalesce("many", F.lit(1)).alias("salts")).alias("one"))
     found = dealt.groupBy("text").agg(F.collect_list("one").alias("found"))
 
-    @F.pandas_udf("binary")
-    def shrink(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([zstandard.compress(t.encode(), 1) for t in texts], dtype=object)
-
     # Texts are dealt by document once, compressed, for both joins. Rows without doc_id get a hash that none of the others has.
     name = {c: fresh(docs, c) for c in ("key", "hash", "packed")}
     text, missing = text_or_empty(), F.col("doc_id").isNull()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(name["key"])
     hashed = F.when(missing, F.xxhash64(F.lit("none"), text)).otherwise(F.xxhash64(text)).alias(name["hash"])
-    base = docs.select("*", key, hashed, shrink(text).alias(name["packed"]))
+    base = docs.select("*", key, hashed, shrunk(text).alias(name["packed"]))
     wanted = leads.join(found, leads["t1"] == found["text"]).select("lead", "t1", "found")
     texts = base.join(wanted, (F.col(name["key"]) == wanted["lead"]) & (F.col(name["hash"]) == wanted["t1"]))
-    texts = texts.select(F.col(name["key"]).alias("doc_id"), "t1", F.col(name["packed"]).alias("packed"), "found")
+    # The same columns of base as in the last join, where only doc_id is asked for, so that one exchange serves both.
+    texts = texts.select(base["doc_id"].cast("long").alias("doc_id"), "t1", F.col(name["packed"]).alias("packed"), "found")
     shards = max(1, -(-told.count() * (3 * length // 2) // SHARD_BYTES))
     in_shards = contexts(texts, shards, length, seed).groupBy("shard").applyInPandas(lambda pdf: shard_spans(pdf, length, seed), FOUND)
     copies = ids.join(leads, ["t1", "t2"]).where("lead < doc_id").select("doc_id", "t1", F.lit(True).alias("whole"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
