@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lexquarry.llm import packing as P
@@ -45,6 +46,9 @@ def test_ids_are_those_of_the_json_file():
     rng = random.Random(3)
     alphabet = list("ab'sé1 \n\t\r!?.  ") + ["\xa0", "\x85", "\u3000", "\x1c", "日", "🎉", "l'll", "<|endoftext|>", "  \n", "'re", "\u0300", "½", "_", "\u200d"]
     texts = ["", " ", "a  b", " x", "x ", "\n\n a", "x" * 5000] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist()]
+    texts += [f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i + 1)}1" for i in range(0x110000 - 1) if not 0xD7FF <= i <= 0xDFFF and (i < 0x3400 or i % 29 == 0)]
+    texts += ["".join(rng.choices(own, k=60_000)) for own in ("a", "etaoin", "= ", "日本語", "\n")]
     for text in texts:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
