@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import BLANKS, fresh, materialize, table, text_or_empty
+from lexquarry.llm.common import BLANKS, fresh, materialize, table, text_or_empty, unclashed
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -75,8 +75,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     joined = docs.join(lost, F.col("doc_id") == F.col(fresh(docs, "id")), "left")
     done = joined.withColumn(result, rebuild(text_or_empty(text_col), F.col(keys)))
-    counts = [n for n in ("n_lines", "n_dropped") if n not in {c.lower() for c in docs.columns}]
-    return done.select(*(F.col(result)["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns), *(F.col(result)[n].alias(n) for n in counts))
+    return done.select(*(F.col(result)["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns), *(F.col(result)[n].alias(unclashed(docs, n)) for n in ("n_lines", "n_dropped")))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, _, texts in _by_lang(batch, batch["text"].tolist()):
                 keys, n = ngrams(texts)
-                yield pd.DataFrame({"lang": [lang] * len(keys), "key": keys, "n": n})
+                yield pd.DataFrame({"lang": np.full(len(keys), lang, object), "key": keys, "n": n})
 
     return docs.select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 

@@ -517,7 +517,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     wanted = leads.join(found, leads["t1"] == found["text"]).select("lead", "t1", "found")
     texts = base.join(wanted, (F.col(name["key"]) == wanted["lead"]) & (F.col(name["hash"]) == wanted["t1"]))
     # The same columns of base as in the last join, where only doc_id is asked for, so that one exchange serves both.
-    texts = texts.select(base["doc_id"].cast("long").alias("doc_id"), "t1", F.col(name["packed"]).alias("packed"), "found")
+    texts = texts.select(base["doc_id"].cast("long").alias("doc_id"), wanted["t1"], base[name["packed"]].alias("packed"), wanted["found"])
     shards = max(1, -(-told.count() * (3 * length // 2) // SHARD_BYTES))
     in_shards = contexts(texts, shards, length, seed).groupBy("shard").applyInPandas(lambda pdf: shard_spans(pdf, length, seed), FOUND)
     copies = ids.join(leads, ["t1", "t2"]).where("lead < doc_id").select("doc_id", "t1", F.lit(True).alias("whole"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
