@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
 def show(state: dict, debug: bool) -> str:
     lines = [state["answer"]]
     if debug:
-        lines += [f"confidence: {state['confidence']}", f"tiers: {state['tier_path']}", f"warnings: {state['warnings'] or 'none'}"]
+        lines += [f"confidence: {state['confidence']}", f"tiers: {state['tier_path']}", f"warnings: {' '.join(state['warnings']) or 'none'}"]
     return "\n".join(lines)
 
 
@@ -50,8 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "prepare":
         limits = TierLimits(args.tier_a_threshold, args.tier_c_threshold, args.max_low_block_ratio, args.critical_repeat_threshold, args.suspicious_threshold)
         run = CorpusPipeline(files.read_texts(spark, args.input), replace(config, tiers=limits))
-        run.write(args.output_dir)
-        print(run.report().toJSON().first())
+        run.write(args.output_dir, source=args.input)
+        print(run.report(args.input, args.output_dir).toJSON().first())
+        run.release()
     elif args.command == "index":
         build_index(load_search(spark, replace(config, use_vectors=False))[0].articles, config, args.force)
     else:

@@ -8,6 +8,15 @@ from dataclasses import dataclass, field, fields, replace
 from lexquarry.functions.quality import TierLimits
 from lexquarry.operators.search import SearchLimits
 
+def read_dotenv(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, without quotes around values; comments and other lines are skipped. No file: nothing."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = (line.removeprefix("export ").partition("=") for line in map(str.strip, f) if line and not line.startswith("#"))
+        return {name.strip(): value.strip().strip("'\"") for name, sign, value in pairs if sign}
+
+
 YES = {"1", "true", "yes", "on"}
 
 
@@ -18,6 +27,8 @@ class EngineConfig:
     metric: str = "ip"
     dimension: int = 1024
     embedder: str = "offline"
+    model: str = "hashed-words"
+    embed_attempts: int = 15
     generator: str = "offline"
     temperature: float = 0.2
     use_vectors: bool = True
@@ -31,8 +42,8 @@ class EngineConfig:
     @classmethod
     def from_env(cls, environ: dict[str, str] | None = None, prefix: str = "LEXQUARRY_") -> EngineConfig:
         """Each plain field from PREFIX + its name in capitals, limits from TIERS_ and SEARCH_ before theirs; empty values
-        keep the default."""
-        environ = os.environ if environ is None else environ
+        keep the default. Without a mapping: the process's variables, and below them those of a .env file."""
+        environ = read_dotenv() | os.environ if environ is None else environ
 
         def read(kind, start: str):
             base, found = kind(), {}

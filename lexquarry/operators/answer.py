@@ -33,14 +33,20 @@ def verify_citations(drafts: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def source_lines(selected: DataFrame, cited: DataFrame) -> DataFrame:
-    """query_id, final_rank, source of the selected articles that are cited (cited: comma-joined numbers). Of articles with
-    one number the last counts."""
-    wanted = cited.select("query_id", F.explode(F.split("cited", ", ")).alias("number"))
+    """query_id, pos, final_rank, article_number, source of the selected articles that are cited (cited: comma-joined
+    numbers), by their place in the citations. Of articles with one number the last counts."""
+    wanted = cited.select("query_id", F.posexplode(F.split("cited", ", ")).alias("pos", "number"))
     numbered = selected.withColumn("number", T.plain_number(F.col("article_number")))
     last = Window.partitionBy("query_id", "number").orderBy(F.desc("final_rank"))
-    kept = numbered.withColumn("nth", F.row_number().over(last)).where("nth = 1").join(wanted, ["query_id", "number"], "left_semi")
+    kept = numbered.withColumn("nth", F.row_number().over(last)).where("nth = 1").join(wanted, ["query_id", "number"])
     line = F.concat(F.lit("- Art. "), "article_number", F.lit(" (tier "), "tier", F.lit(", score "), F.col("fused").cast("string"), F.lit(")"))
-    return kept.select("query_id", "final_rank", line.alias("source"))
+    return kept.select("query_id", F.col("pos").cast("long").alias("pos"), "final_rank", "article_number", line.alias("source"))
+
+
+def cited_articles(sources: DataFrame) -> DataFrame:
+    """query_id, cited_articles (Art. and the number as the article has it) and sources, the lines as one text."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("Art. "), "article_number").alias("name"), "source")))
+    return sources.groupBy("query_id").agg(ordered.alias("x")).select("query_id", F.col("x.name").alias("cited_articles"), F.array_join("x.source", "\n").alias("sources"))
 
 
 def history(turns: DataFrame, keep: int = 12) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from lexquarry.functions import patterns as P
 from lexquarry.functions import text as T
 from lexquarry.functions.quality import TierLimits, ocr_quality, rounded, tier, tier_reason
+from lexquarry.operators.numbering import numbered
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1), line. Documents are dealt by doc_id here, once: the windows that follow need no other
-    exchange, and whole texts are fewer bytes than their lines."""
-    split = docs.select("doc_id", text).repartition("doc_id").select("doc_id", F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
+    """doc_id, line_no (from 1), line. No line looks at another, so nothing is exchanged."""
+    split = docs.select("doc_id", text).select("doc_id", F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
     return split.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
@@ -158,9 +158,7 @@ def tier_counts(graded: DataFrame) -> DataFrame:
 
 def head_fraction(rows: DataFrame, by: str, order: str, fraction: float = 0.8) -> DataFrame:
     """The first part of each group, in order; the number kept is rounded down."""
-    own = Window.partitionBy(by)
-    ranked = rows.withColumn("rank", F.row_number().over(own.orderBy(order)).cast("long")).withColumn("_n", F.count("*").over(own))
-    return ranked.where(F.col("rank") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_n")
+    return numbered(rows, by, order).where(F.col("rank") <= F.floor(F.col("total") * F.lit(fraction))).drop("total")
 
 
 def cleaned_text(unique: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ once per query. Gates are aggregates per query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,51 +26,60 @@ class SearchLimits:
     min_docs: int = 2
     no_fallback: float = 0.2
     vector_candidates: int = 20
-    #: Queries that are sent to all tasks at once; more are answered in blocks of this many.
-    query_block: int = 10_000
+    #: Queries, and letters in them, that are sent to all tasks at once; beyond that they are joined by exchange.
+    query_block: int = 1000
+    query_letters: int = 4_000_000
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Adds reference, allow_low and expanded. queries: query_id, query, allow (asked for tier C)."""
+    """Adds reference, allow_low and expanded. queries: query_id, query, allow (asked for tier C), and, if there is one,
+    retrieval, the query as it was rewritten: it is searched for, while the query itself is looked at for all else."""
     q = F.col("query")
-    return queries.select("query_id", "query", T.article_reference(q).alias("reference"), (F.coalesce(F.col("allow"), F.lit(False)) | T.asks_low_confidence(q)).alias("allow_low"), T.expand_query(q).alias("expanded"))
+    sought = F.coalesce("retrieval", "query") if "retrieval" in queries.columns else q
+    return queries.select("query_id", "query", T.article_reference(q).alias("reference"), (F.coalesce(F.col("allow"), F.lit(False)) | T.asks_low_confidence(q)).alias("allow_low"), T.expand_query(sought).alias("expanded"))
 
 
-def token_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    return rows.select(key, F.explode(T.tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+def sender(parsed: DataFrame, limits: SearchLimits = SearchLimits()) -> Callable[[DataFrame], DataFrame]:
+    """How to hand what comes of the queries to a join: to every task if they are few and short, else as Spark sees fit."""
+    n, letters = parsed.agg(F.count("*"), F.sum(F.length("expanded"))).first()
+    return F.broadcast if n <= limits.query_block and (letters or 0) <= limits.query_letters else lambda df: df
 
 
-def lexical(parsed: DataFrame, articles: DataFrame) -> DataFrame:
-    """query_id, ord, lexical for the pairs that share a token: a join on tokens, counts summed before it."""
-    asked = token_counts(parsed, "query_id", F.col("expanded")).withColumnRenamed("n", "qn")
-    held = token_counts(articles, "ord", F.col("text"))
-    sizes = articles.select("ord", F.size(T.tokens(F.col("text"))).alias("size"))
-    wanted = parsed.select("query_id", F.size(T.tokens(F.col("expanded"))).alias("qsize"))
-    common = held.join(F.broadcast(asked), "token").groupBy("query_id", "ord").agg(F.sum(F.least("n", "qn")).alias("common"))
-    return common.join(sizes, "ord").join(F.broadcast(wanted), "query_id").select("query_id", "ord", S.overlap(F.col("common"), F.col("qsize"), F.col("size")).alias("lexical"))
+def lexical(parsed: DataFrame, articles: DataFrame, send: Callable | None = None) -> DataFrame:
+    """query_id, ord, lexical for the pairs that share a token: a join on tokens, and counts of what it lets through."""
+    send = send or sender(parsed)
+    asked = parsed.select("query_id", T.tokens(F.col("expanded")).alias("words")).select("query_id", F.size("words").alias("qsize"), F.explode_outer("words").alias("token"))
+    asked = asked.groupBy("query_id", "qsize", "token").agg(F.count("*").alias("qn"))
+    held = articles.select("ord", T.tokens(F.col("text")).alias("words")).select("ord", F.size("words").alias("size"), F.explode_outer("words").alias("token"))
+    met = held.join(send(asked), "token").groupBy("query_id", "ord", "qsize", "size", "token", "qn").agg(F.count("*").alias("n"))
+    common = met.groupBy("query_id", "ord", "qsize", "size").agg(F.sum(F.least("n", "qn")).alias("common"))
+    return common.select("query_id", "ord", S.overlap(F.col("common"), F.col("qsize"), F.col("size")).alias("lexical"))
 
 
-def trigram_scores(parsed: DataFrame, articles: DataFrame) -> DataFrame:
-    """query_id, ord, trigram for the pairs that share a trigram: an equi-join of windows, as for tokens."""
+def trigram_scores(parsed: DataFrame, articles: DataFrame, send: Callable | None = None) -> DataFrame:
+    """query_id, ord, trigram for the pairs that share a trigram: an equi-join of windows, as for tokens. A row's number of
+    trigrams comes along, so nothing is counted twice."""
+    send = send or sender(parsed)
 
-    def grams(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    def grams(rows: DataFrame, key: str, text: Column, size: str) -> DataFrame:
         # Each step is a column of its own: within a lambda it would be made anew for each window.
         clean = rows.select(key, T.normalize_text(text).alias("clean")).select(key, F.length("clean").alias("n"), T.letters(F.col("clean")).alias("chars"))
-        return clean.select(key, F.explode(T.trigrams(F.col("chars"), F.col("n"))).alias("gram"))
+        # explode_outer: for explode, Spark would put a filter on the array's size below, and make the array there as well.
+        each = clean.select(key, T.trigrams(F.col("chars"), F.col("n")).alias("grams"))
+        return each.select(key, F.size("grams").alias(size), F.explode_outer("grams").alias("gram"))
 
-    held, asked = grams(articles, "ord", F.col("text")), grams(parsed, "query_id", F.col("expanded"))
-    sizes = held.groupBy("ord").agg(F.count("*").alias("n"))
-    wanted = asked.groupBy("query_id").agg(F.count("*").alias("qn"))
-    common = held.join(F.broadcast(asked), "gram").groupBy("query_id", "ord").agg(F.count("*").alias("common"))
-    return common.join(sizes, "ord").join(F.broadcast(wanted), "query_id").select("query_id", "ord", S.jaccard(F.col("common"), F.col("qn"), F.col("n")).alias("trigram"))
+    held, asked = grams(articles, "ord", F.col("text"), "n"), grams(parsed, "query_id", F.col("expanded"), "qn")
+    common = held.join(send(asked), "gram").groupBy("query_id", "ord", "qn", "n").agg(F.count("*").alias("common"))
+    return common.select("query_id", "ord", S.jaccard(F.col("common"), F.col("qn"), F.col("n")).alias("trigram"))
 
 
 def candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Scores of the queries and articles that have anything in common, rounded to 5 places. articles: ord, id, article_number, tier, quality, text.
     vectors: query_id, ord, vector (absent pairs count 0)."""
-    trigram, lexical_ = trigram_scores(parsed, articles), lexical(parsed, articles)
+    send = sender(parsed)
+    trigram, lexical_ = trigram_scores(parsed, articles, send), lexical(parsed, articles, send)
     told = articles.select("ord", "id", "article_number", "tier", "quality", T.plain_number(F.col("article_number")).alias("number"))
-    asked = F.broadcast(parsed.select("query_id", "reference"))
+    asked = send(parsed.select("query_id", "reference"))
     cited = told.join(asked, F.col("number") == F.col("reference")).select("query_id", "ord", F.lit(1.0).alias("exact"))
     # A pair without any evidence scores 0, which no limit lets through, so only pairs with some are made.
     pairs = trigram.join(lexical_, ["query_id", "ord"], "full_outer").join(cited, ["query_id", "ord"], "full_outer")
@@ -86,11 +96,12 @@ def candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None
 
 def top_by_tier(scored: DataFrame, limits: SearchLimits = SearchLimits()) -> DataFrame:
     """Each tier's best; where a reference is hit exactly, only the hits, whatever their score."""
+    # Exact hits come first, so the cut keeps them all before rows are exchanged, and the first row tells if there are any.
+    kept = scored.where((F.col("fused") >= limits.min_score) | (F.col("exact") > 0))
     own = Window.partitionBy("query_id", "tier")
-    hit = scored.withColumn("hit", F.max("exact").over(own) > 0)
-    kept = hit.where((F.col("hit") & (F.col("exact") > 0)) | (~F.col("hit") & ((F.col("fused") >= limits.min_score) | (F.col("exact") > 0))))
-    rank = F.row_number().over(own.orderBy(F.desc("fused"), "ord"))
-    return kept.drop("hit").withColumn("rank", rank.cast("long")).where(F.col("rank") <= limits.top_k)
+    rank = F.row_number().over(own.orderBy(F.desc(F.col("exact") > 0), F.desc("fused"), "ord"))
+    best = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limits.top_k)
+    return best.withColumn("hit", F.max("exact").over(own) > 0).where(~F.col("hit") | (F.col("exact") > 0)).drop("hit")
 
 
 def gates(parsed: DataFrame, top: DataFrame, limits: SearchLimits = SearchLimits()) -> DataFrame:
@@ -112,7 +123,7 @@ def gates(parsed: DataFrame, top: DataFrame, limits: SearchLimits = SearchLimits
 
 def merged(top: DataFrame, gate: DataFrame, limits: SearchLimits = SearchLimits()) -> DataFrame:
     """The gated tiers as one list: the best row of an id, in order of score; ties keep the place where an id first came."""
-    used = top.join(F.broadcast(gate), "query_id").where((F.col("tier") == "A") | ((F.col("tier") == "B") & F.col("use_b")) | ((F.col("tier") == "C") & F.col("use_c")))
+    used = top.join(gate, "query_id").where((F.col("tier") == "A") | ((F.col("tier") == "B") & F.col("use_b")) | ((F.col("tier") == "C") & F.col("use_c")))
     place = F.struct("tier", "rank")
     same = Window.partitionBy("query_id", "id")
     best = used.withColumn("first", F.min(place).over(same)).withColumn("nth", F.row_number().over(same.orderBy(F.desc("fused"), "tier", "rank"))).where("nth = 1")
@@ -121,13 +132,15 @@ def merged(top: DataFrame, gate: DataFrame, limits: SearchLimits = SearchLimits(
     return out.select("query_id", "final_rank", "ord", "id", "article_number", "tier", "fused")
 
 
-def outcome(parsed: DataFrame, selected: DataFrame) -> DataFrame:
-    """query_id, tier_path, needs_clarification, confidence, warnings."""
+def outcome(parsed: DataFrame, selected: DataFrame, notes: DataFrame | None = None, startup: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, tier_path, needs_clarification, confidence, warnings (an array: what was said at startup, then notes on
+    the query, query_id and note, then those on tiers)."""
     told = selected.groupBy("query_id").agg(F.sort_array(F.collect_set("tier")).alias("path"))
     every = parsed.select("query_id").join(told, "query_id", "left")
+    every = every.withColumn("note", F.lit(None).cast("string")) if notes is None else every.join(notes.select("query_id", "note"), "query_id", "left")
     path = F.coalesce("path", F.array().cast("array<string>"))
     has = lambda t: F.array_contains(path, t)
     none = F.size(path) == 0
     confidence = F.when(none | has("C"), "LOW").when(has("B"), "MEDIUM").otherwise("HIGH")
-    warnings = F.array_compact(F.array(F.when(has("B"), P.WARN_B), F.when(has("C"), P.WARN_C), F.when(none, P.WARN_NONE)))
-    return every.select("query_id", F.array_join(path, ">").alias("tier_path"), none.alias("needs_clarification"), confidence.alias("confidence"), F.array_join(warnings, " ").alias("warnings"))
+    warnings = F.array_compact(F.array(*map(F.lit, startup), F.col("note"), F.when(has("B"), P.WARN_B), F.when(has("C"), P.WARN_C), F.when(none, P.WARN_NONE)))
+    return every.select("query_id", F.array_join(path, ">").alias("tier_path"), none.alias("needs_clarification"), confidence.alias("confidence"), warnings.alias("warnings"))

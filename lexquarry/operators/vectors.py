@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import scoring as S
 from lexquarry.functions import text as T
+from lexquarry.operators.numbering import numbered
+
+
+#: Query vectors that are sent to a task at once.
+QUERY_BLOCK = 1000
 
 
 def raw_scores(queries: DataFrame, vectors: DataFrame, metric: str = "ip") -> DataFrame:
-    """query_id, ord, raw: inner products of unit vectors (ip) or squared distances (l2). A block of queries is sent to
-    every task; the caller bounds it."""
+    """query_id, ord, raw: inner products of unit vectors (ip) or squared distances (l2), of every query with every vector.
+    Queries go to the tasks in blocks of QUERY_BLOCK at most, about: none grows with the number of queries."""
     unit = S.normalized if metric == "ip" else lambda v: v.cast("array<double>")
     asked = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     held = vectors.select("ord", unit(F.col("embedding")).alias("v"))
     raw = S.inner(F.col("q"), F.col("v")) if metric == "ip" else S.squared_distance(F.col("q"), F.col("v"))
-    return held.join(F.broadcast(asked)).select("query_id", "ord", raw.alias("raw"))
+    blocks = -(-asked.count() // QUERY_BLOCK) or 1
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scores = (held.join(F.broadcast(asked.where(part == i))).select("query_id", "ord", raw.alias("raw")) for i in range(blocks))
+    return functools.reduce(DataFrame.unionByName, scores)
 
 
 def nearest(scores: DataFrame, k: int, metric: str = "ip", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -62,5 +72,5 @@ def manifest_check(stored: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int = 40) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(nth / max(1, size)).cast("long"))
+    ranked = numbered(rows, by, order)
+    return ranked.select(*rows.columns, F.floor((F.col("rank") - 1) / max(1, size)).cast("long").alias("batch"))

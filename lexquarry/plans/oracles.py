@@ -181,21 +181,28 @@ INDEXED = """SELECT doc_id AS ord, 'art-' || (doc_id % 300 + 1) || CASE WHEN doc
   (doc_id % 300 + 1) || CASE WHEN doc_id % 7 = 0 THEN ' bis' ELSE '' END AS article_number,
   CASE WHEN doc_id % 10 < 6 THEN 'A' WHEN doc_id % 10 < 9 THEN 'B' ELSE 'C' END AS tier,
   CAST(doc_id % 101 AS DOUBLE) / 100 AS quality, coalesce(text, '') AS text FROM documents"""
-ASKED = """SELECT conv_id * 1000 + turn AS query_id, turn,
-  CASE WHEN turn % 4 = 1 THEN text || ' Art. ' || (conv_id % 300 + 8 + turn) WHEN turn % 4 = 2 THEN text || ' law penalty uncertain'
-    WHEN turn % 4 = 3 THEN 'zq xj' ELSE text END AS query, turn % 3 = 0 AS allow
-  FROM conversations WHERE conv_id % 100 = 0"""
+#: Every passage of the benchmark as a query, in forms that lead down each way: whole or cut short, with an article's number,
+#: with words that allow tier C, or meaningless; every third has a vector.
+ASKED = """SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN item_id END AS vec,
+  CASE WHEN item_id % 8 = 1 THEN text || ' Art. ' || (item_id % 300 + 8) WHEN item_id % 8 = 2 THEN substring(text, 1, 40) || ' law penalty uncertain'
+    WHEN item_id % 8 = 3 THEN 'zq xj' WHEN item_id % 8 = 4 THEN substring(text, 1, 60) WHEN item_id % 8 = 5 THEN 'vol'
+    WHEN item_id % 8 = 6 THEN 'zq xj art. ' || (item_id % 30 * 10 + 10) ELSE text END AS query,
+  item_id % 5 = 0 OR item_id % 8 = 6 AS allow FROM benchmark"""
+#: Every turn of every conversation, for what looks at a query alone.
+TURNS = """SELECT conv_id * 1000 + turn AS query_id, NULL AS vec,
+  CASE WHEN turn % 4 = 1 THEN text || ' Art. ' || (conv_id % 300 + 8 + turn) WHEN turn % 4 = 2 THEN text || ' law penalty uncertain' ELSE text END AS query,
+  turn % 3 = 0 AS allow FROM conversations"""
 
 SEARCH = f"""indexed AS ({INDEXED}),
 asked AS ({ASKED}),
 hints AS (SELECT * FROM (VALUES {", ".join(f"({lit(k)}, {lit(' '.join(v))})" for k, v in P.SYNONYMS.items())}) t(word, extra)),
 referenced AS (
-  SELECT query_id, turn, query, {plain_number(f"nullif(regexp_extract(query, {REFERENCE}, 1), '')")} AS reference,
+  SELECT query_id, vec, query, {plain_number(f"nullif(regexp_extract(query, {REFERENCE}, 1), '')")} AS reference,
     coalesce(allow, false) OR {" OR ".join(f"contains(lower(query), {lit(p)})" for p in P.LOW_CONFIDENCE)} AS allow_low, {tokens("query")} AS words FROM asked),
 extras AS (
   SELECT query_id, string_agg(extra, ' ' ORDER BY pos) AS extra
   FROM (SELECT query_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM referenced) JOIN hints USING (word) GROUP BY query_id),
-parsed AS (SELECT query_id, turn, query, reference, allow_low, CASE WHEN extra IS NULL THEN query ELSE query || ' ' || extra END AS expanded FROM referenced LEFT JOIN extras USING (query_id))"""
+parsed AS (SELECT query_id, vec, query, reference, allow_low, CASE WHEN extra IS NULL THEN query ELSE query || ' ' || extra END AS expanded FROM referenced LEFT JOIN extras USING (query_id))"""
 _GRAMS = "CASE WHEN clean = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(clean) - 2, 1) + 1), lambda i: substring(clean, i, 3))) END"
 LEXICAL = f"""qtok AS (SELECT query_id, token, count(*) AS qn FROM (SELECT query_id, unnest({tokens("expanded")}) AS token FROM parsed) GROUP BY ALL),
 atok AS (SELECT ord, token, count(*) AS n FROM (SELECT ord, unnest({tokens("text")}) AS token FROM indexed) GROUP BY ALL),
@@ -206,9 +213,11 @@ lex AS (
   FROM (SELECT query_id, ord, sum(least(qn, n)) AS common FROM qtok JOIN atok USING (token) GROUP BY ALL) JOIN qsize USING (query_id) JOIN asize USING (ord))"""
 TRIGRAM = f"""qgram AS (SELECT query_id, {_GRAMS} AS qg FROM (SELECT query_id, {normal("expanded")} AS clean FROM parsed)),
 agram AS (SELECT ord, {_GRAMS} AS g FROM (SELECT ord, {normal("text")} AS clean FROM indexed)),
+gramcommon AS (
+  SELECT query_id, ord, count(*) AS common FROM (SELECT query_id, unnest(qg) AS x FROM qgram) JOIN (SELECT ord, unnest(g) AS x FROM agram) USING (x) GROUP BY ALL),
 tri AS (
   SELECT query_id, ord, CASE WHEN len(qg) + len(g) - common > 0 THEN common / (len(qg) + len(g) - common)::DOUBLE ELSE 0.0 END AS trigram
-  FROM (SELECT *, len(list_intersect(qg, g)) AS common FROM agram CROSS JOIN qgram))"""
+  FROM (SELECT query_id, ord, qg, g, coalesce(common, 0) AS common FROM agram CROSS JOIN qgram LEFT JOIN gramcommon USING (query_id, ord)))"""
 
 
 def unit(x: str) -> str:
@@ -216,7 +225,7 @@ def unit(x: str) -> str:
     return f"CASE WHEN list_inner_product({v}, {v}) > 0 THEN list_transform({v}, lambda e: e / sqrt(list_inner_product({v}, {v}))) ELSE {v} END"
 
 
-VECTOR = f"""qvec AS (SELECT query_id, {unit("embedding")} AS q FROM parsed JOIN embeddings ON vec_id = turn),
+VECTOR = f"""qvec AS (SELECT query_id, {unit("embedding")} AS q FROM parsed JOIN embeddings ON vec_id = vec),
 avec AS (SELECT ord, tier, id, {unit("embedding")} AS v FROM indexed JOIN embeddings ON vec_id = ord),
 knn AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY raw DESC, ord) AS rank

@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 from lexquarry.config import EngineConfig
 from lexquarry.functions import patterns as P
+from lexquarry.functions import text as T
 from lexquarry.operators import answer as A
 from lexquarry.operators import corpus as C
 from lexquarry.operators import search as S
 from lexquarry.operators import vectors as V
-from lexquarry.providers import EMBEDDERS, GENERATORS, embed_documents
+from lexquarry.providers import EMBEDDERS, GENERATORS, draft_answers, embed_documents, embed_queries, make, rewrite_queries
 from lexquarry.sources import files
+from lexquarry.sources.shared import materialize
 
 CLARIFY = "Je n'ai pas trouvé de disposition pertinente. Pouvez-vous préciser votre question ?"
-UNAVAILABLE = "Text generation is not available."
+UNAVAILABLE = "Des dispositions pertinentes ont été trouvées, mais aucune réponse ne peut être rédigée pour le moment. Cause : "
+EMPTY = "Aucune réponse n'a été rédigée. Veuillez préciser votre question."
+WARN_VECTORS = "Vector search is not available for now (%s); lexical search only."
+WARN_DRAFT = "The text service failed; the answer names the articles found."
+NOTES = [
+    "Layout noise is removed; article numbers and references are kept.",
+    "Suspicious blocks are listed for review, not removed.",
+    "Search tier A first, then B; C only where low confidence is allowed.",
+]
 
 
 @dataclass
@@ -34,18 +44,26 @@ class CorpusPipeline:
         self.scored = C.scored(self.unique)
         self.articles = C.articles(self.scored, self.config.tiers)
 
-    def report(self) -> DataFrame:
+    def report(self, source: str = "", path: str = "") -> DataFrame:
+        """One row: where from and to, counts, scores, limits, routing, files and notes."""
         one = C.clean_stats(self.cleaned).join(self.marked.agg(F.count("*").alias("blocks_before"), F.count_if(F.col("block_idx") > F.col("first_idx")).alias("duplicates")))
+        one = one.join(self.scored.agg(F.count("*").alias("blocks_after"), F.count_if(F.col("score") < self.config.tiers.suspicious).alias("suspicious")))
         one = one.join(C.quality_report(self.scored)).join(C.tier_counts(self.articles))
         limits = F.struct(*(F.lit(v).alias(k) for k, v in vars(self.config.tiers).items()))
-        return one.withColumn("limits", limits).withColumn("routing", F.lit(P.ROUTING))
+        files_ = F.struct(*(F.lit(f"{path}/{name}").alias(name) for name in ("articles", "text", "duplicates", "suspicious", "report")))
+        one = one.withColumn("limits", limits).withColumn("routing", F.lit(P.ROUTING)).withColumn("files", files_)
+        return one.withColumn("notes", F.array(*map(F.lit, NOTES))).withColumn("input", F.lit(source)).withColumn("output", F.lit(path))
 
-    def write(self, path: str, mode: str = "errorifexists") -> None:
+    def write(self, path: str, mode: str = "errorifexists", source: str = "") -> None:
         files.write_records(self.articles, f"{path}/articles", mode)
         files.write_text(self.unique, f"{path}/text", mode)
         C.duplicate_log(self.marked).write.mode(mode).json(f"{path}/duplicates")
         C.suspicious(self.scored, self.config.tiers).write.mode(mode).json(f"{path}/suspicious")
-        files.write_report(self.report(), f"{path}/report", mode)
+        files.write_report(self.report(source, path), f"{path}/report", mode)
+
+    def release(self) -> None:
+        """Let go of the blocks that are held for further writes."""
+        self.marked.unpersist()
 
 
 @dataclass
@@ -55,22 +73,30 @@ class HybridSearch:
     articles: DataFrame
     config: EngineConfig = EngineConfig()
     index: DataFrame | None = None
+    #: What went wrong when the search was loaded; every outcome repeats it.
+    warnings: tuple[str, ...] = ()
 
-    def vectors(self, queries: DataFrame) -> DataFrame | None:
+    def vectors(self, queries: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """(scores, notes on queries that could not be embedded); queries: query_id, query."""
         if self.index is None or not self.config.use_vectors:
-            return None
-        asked = embed_documents(queries.select("query_id", F.col("query").alias("text")), self.config.embedder, self.config.dimension).select("query_id", "embedding")
+            return None, None
+        asked = materialize(embed_queries(queries.select("query_id", "query"), self.config.embedder, self.config.dimension, self.config.embed_attempts), "query-vectors")
         metric, told = self.config.metric, self.articles.select("ord", "tier", "id")
-        raw = V.raw_scores(asked, self.index, metric).join(told, "ord")
+        raw = V.raw_scores(asked.where("embedding is not null"), self.index, metric).join(told, "ord")
         best = V.scores_by_id(V.nearest(raw, self.config.search.vector_candidates, metric, ("query_id", "tier")), metric)
-        return told.join(F.broadcast(best), ["tier", "id"]).select("query_id", "ord", "vector")
+        notes = asked.where("outage is not null").select("query_id", F.format_string(WARN_VECTORS, "outage").alias("note"))
+        return told.join(best, ["tier", "id"]).select("query_id", "ord", "vector"), notes
 
     def ask(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(parsed, selected, outcome) of queries (query_id, query, allow)."""
-        parsed, limits = S.parse_queries(queries), self.config.search
-        top = S.top_by_tier(S.candidates(parsed, self.articles, self.vectors(queries)), limits).persist()
-        selected = S.merged(top, S.gates(parsed, top, limits), limits)
-        return parsed, selected, S.outcome(parsed, selected)
+        limits = self.config.search
+        seen = S.parse_queries(queries).select("query_id", "reference")
+        sought = materialize(rewrite_queries(queries.join(seen, "query_id"), self.config.generator).drop("reference"), "queries")
+        parsed = S.parse_queries(sought)
+        vectors, notes = self.vectors(sought.select("query_id", F.col("retrieval").alias("query")))
+        top = materialize(S.top_by_tier(S.candidates(parsed, self.articles, vectors), limits), "top")
+        selected = materialize(S.merged(top, S.gates(parsed, top, limits), limits), "selected")
+        return parsed, selected, S.outcome(parsed, selected, notes, self.warnings)
 
 
 class AnswerPipeline:
@@ -78,25 +104,24 @@ class AnswerPipeline:
 
     def __init__(self, search: HybridSearch):
         self.search, self.config, self.turns = search, search.config, []
-        self.generator = GENERATORS[self.config.generator]()
+        make(GENERATORS, self.config.generator)  # a name that is not known, or a service that can't be set up, fails here
 
     def answers(self, queries: DataFrame) -> DataFrame:
-        """query_id, answer, cited, attached, warning, tier_path, needs_clarification, confidence, warnings."""
+        """query_id, answer, cited (plain numbers), cited_articles, attached, tier_path, needs_clarification, confidence,
+        warnings. A service that fails doesn't end the query: the answer says so, and the articles found are attached."""
         parsed, selected, outcome = self.search.ask(queries)
         blocks = A.context_blocks(selected, self.search.articles).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "context"))), lambda x: x["context"]), "\n\n").alias("context"))
-        name, history = self.config.generator, self.turns[-self.config.history_prompt :]
-
-        @F.pandas_udf("string")
-        def draft(query, context):
-            generator = GENERATORS[name]()
-            return context.combine(query, lambda c, q: generator.answer(q, c, history) if c else None)
-
-        drafts = parsed.join(blocks, "query_id", "left").select("query_id", draft("query", F.coalesce("context", F.lit(""))).alias("draft"))
-        cited = A.verify_citations(drafts, selected)
-        sources = A.source_lines(selected, cited).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("final_rank", "source"))), lambda x: x["source"]), "\n").alias("sources"))
-        rows = outcome.join(drafts, "query_id").join(cited, "query_id").join(sources, "query_id", "left")
-        told = F.when(F.col("needs_clarification"), CLARIFY).otherwise(F.concat_ws("\n\nSources:\n", F.coalesce("draft", F.lit(UNAVAILABLE)), "sources"))
-        return rows.select("query_id", told.alias("answer"), "cited", "attached", "warning", "tier_path", "needs_clarification", "confidence", "warnings")
+        history = self.turns[-self.config.history_prompt :]
+        drafts = draft_answers(parsed.join(blocks, "query_id", "left"), self.config.generator, history, self.config.temperature)
+        drafts = materialize(drafts.withColumn("draft", T.strip(F.col("draft"))), "drafts")
+        text = F.when(F.col("failure").isNotNull(), F.concat(F.lit(UNAVAILABLE), "failure")).otherwise(F.col("draft"))
+        cited = A.verify_citations(drafts.select("query_id", text.alias("draft")), selected)
+        rows = outcome.join(drafts, "query_id").join(cited, "query_id").join(A.cited_articles(A.source_lines(selected, cited)), "query_id", "left")
+        answer = F.when(F.coalesce(text, F.lit("")) == "", EMPTY).otherwise(text)
+        told = F.when(F.col("needs_clarification"), CLARIFY).otherwise(F.concat_ws("\n\nSources:\n", answer, "sources"))
+        warnings = F.concat("warnings", F.array_compact(F.array(F.when(F.col("failure").isNotNull(), WARN_DRAFT), "warning")))
+        names = F.coalesce("cited_articles", F.array().cast("array<string>")).alias("cited_articles")
+        return rows.select("query_id", told.alias("answer"), "cited", names, "attached", "tier_path", "needs_clarification", "confidence", warnings.alias("warnings"))
 
     def ask(self, query: str, allow_low_confidence: bool = False) -> dict:
         spark: SparkSession = self.search.articles.sparkSession
@@ -109,24 +134,27 @@ class AnswerPipeline:
 
 def build_index(articles: DataFrame, config: EngineConfig, force: bool = False) -> None:
     vectors = embed_documents(articles, config.embedder, config.dimension, config.embed_batch)
-    files.write_index(vectors, config.index, {"provider": config.embedder, "dimension": config.dimension, "metric": config.metric}, force)
+    files.write_index(vectors, config.index, _settings(config), force)
+
+
+def _settings(config: EngineConfig) -> dict:
+    return {"provider": config.embedder, "model": config.model, "dimension": config.dimension, "metric": config.metric}
 
 
 def load_search(spark: SparkSession, config: EngineConfig) -> tuple[HybridSearch, list[str]]:
     """The search over the stored corpus, with the index if it is fit; else without, and why."""
     rows = files.read_corpus(spark, f"{config.corpus}/articles")
-    order = F.row_number().over(C.Window.partitionBy("tier").orderBy("ord"))
-    rows = rows.withColumn("ord", order + F.when(F.col("tier") == "B", 1 << 40).when(F.col("tier") == "C", 1 << 41).otherwise(0))
+    rows = rows.withColumn("ord", F.col("ord") + F.when(F.col("tier") == "B", 1 << 40).when(F.col("tier") == "C", 1 << 41).otherwise(0))
     articles = rows.select("ord", "id", "article_number", "tier", F.col("ocr_quality_score").alias("quality"), "text")
-    expected = {"provider": config.embedder, "dimension": config.dimension, "metric": config.metric}
+    expected = _settings(config)
     if not config.use_vectors:
         return HybridSearch(articles, config), []
     if config.embedder not in EMBEDDERS:
-        return HybridSearch(articles, config), [f"no embedder named {config.embedder}; lexical search only"]
+        return _lexical(articles, config, f"no embedder named {config.embedder}")
     for attempt in range(2):
         try:
             vectors, manifest = files.read_index(spark, config.index)
-            problem = files.index_problem(manifest, articles, expected)
+            problem = files.index_problem(vectors, manifest, articles, expected)
         except Exception as e:
             vectors, problem = None, f"no index could be read ({type(e).__name__})"
         if problem is None:
@@ -138,4 +166,9 @@ def load_search(spark: SparkSession, config: EngineConfig) -> tuple[HybridSearch
         except Exception as e:
             problem = f"the index could not be built ({type(e).__name__})"
             break
-    return HybridSearch(articles, config), [f"{problem}; lexical search only"]
+    return _lexical(articles, config, problem)
+
+
+def _lexical(articles: DataFrame, config: EngineConfig, problem: str) -> tuple[HybridSearch, list[str]]:
+    warnings = [f"{problem}; lexical search only"]
+    return HybridSearch(articles, config, warnings=tuple(warnings)), warnings

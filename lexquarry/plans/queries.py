@@ -13,6 +13,7 @@ from lexquarry.operators import corpus as C
 from lexquarry.operators import search as S
 from lexquarry.operators import vectors as V
 from lexquarry.plans import oracles as O
+from lexquarry.sources.shared import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -166,17 +167,21 @@ def _indexed(spark, d) -> DataFrame:
 
 
 def _parsed(spark, d) -> DataFrame:
-    return S.parse_queries(_view(spark, d, "conversations", O.ASKED))
+    return S.parse_queries(_view(spark, d, "benchmark", O.ASKED))
 
 
-@query(O.search(1, "SELECT query_id, reference, allow_low FROM parsed"))
+def _turns(spark, d) -> DataFrame:
+    return S.parse_queries(_view(spark, d, "conversations", O.TURNS))
+
+
+@query(O.search(1, "SELECT query_id, reference, allow_low FROM parsed").replace(O.ASKED, O.TURNS))
 def query_parse(spark, d):
-    return _parsed(spark, d).select("query_id", "reference", "allow_low")
+    return _turns(spark, d).select("query_id", "reference", "allow_low")
 
 
-@query(O.search(1, "SELECT query_id, expanded FROM parsed"))
+@query(O.search(1, "SELECT query_id, expanded FROM parsed").replace(O.ASKED, O.TURNS))
 def query_expand(spark, d):
-    return _parsed(spark, d).select("query_id", "expanded")
+    return _turns(spark, d).select("query_id", "expanded")
 
 
 @query(O.search(2, f"SELECT query_id, ord, {O.round_to('lexical', 5)} AS lexical FROM lex"))
@@ -191,11 +196,11 @@ def trigram_jaccard(spark, d):
 
 def _vectors(spark, d) -> DataFrame:
     held, articles = table(spark, d, "embeddings"), _indexed(spark, d).select("ord", "tier", "id")
-    asked = _view(spark, d, "conversations", O.ASKED)
-    queries = held.join(F.broadcast(asked), F.col("vec_id") == F.col("turn")).select("query_id", "embedding")
+    asked = _view(spark, d, "benchmark", O.ASKED)
+    queries = held.join(asked, F.col("vec_id") == F.col("vec")).select("query_id", "embedding")
     raw = V.raw_scores(queries, held.withColumnRenamed("vec_id", "ord")).join(articles, "ord")
     best = V.scores_by_id(V.nearest(raw, S.SearchLimits().vector_candidates, by=("query_id", "tier")))
-    return articles.join(F.broadcast(best), ["tier", "id"]).select("query_id", "ord", "vector")
+    return articles.join(best, ["tier", "id"]).select("query_id", "ord", "vector")
 
 
 def _top(spark, d) -> DataFrame:
@@ -221,7 +226,7 @@ def tier_fallback(spark, d):
 
 
 def _selected(spark, d) -> DataFrame:
-    top = _top(spark, d)
+    top = materialize(_top(spark, d), "top")  # for the gates and for the merge
     return S.merged(top, S.gates(_parsed(spark, d), top))
 
 
@@ -246,7 +251,7 @@ def confidence_level(spark, d):
 
 @query(O.search(8, "SELECT query_id, warnings FROM final", _OUTCOME))
 def retrieval_warnings(spark, d):
-    return S.outcome(_parsed(spark, d), _selected(spark, d)).select("query_id", "warnings")
+    return S.outcome(_parsed(spark, d), _selected(spark, d)).select("query_id", F.array_join("warnings", " ").alias("warnings"))
 
 
 #: Drafts that cite: the query's own text, and with some queries the best article and one that does not exist.
@@ -271,7 +276,7 @@ def extract_citations(spark, d):
 
 
 def _verified(spark, d) -> tuple[DataFrame, DataFrame]:
-    parsed, selected = _parsed(spark, d), _selected(spark, d)
+    parsed, selected = _parsed(spark, d), materialize(_selected(spark, d), "selected")
     return selected, A.verify_citations(_drafts(parsed, selected), selected)
 
 
@@ -283,7 +288,7 @@ def verify_citations(spark, d):
 @query(
     O.search(
         8,
-        f"""SELECT query_id, final_rank, '- Art. ' || article_number || ' (tier ' || tier || ')' AS source FROM (
+        f"""SELECT query_id, final_rank, '- Art. ' || article_number || ' (tier ' || tier || ', score ' || fused || ')' AS source FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id, {O.plain_number("article_number")} ORDER BY final_rank DESC) AS nth FROM selected) s
     WHERE nth = 1 AND EXISTS (SELECT 1 FROM verified v WHERE v.query_id = s.query_id AND list_contains(string_split(v.cited, ', '), {O.plain_number("s.article_number")}))""",
         _DRAFTS,
@@ -291,7 +296,7 @@ def verify_citations(spark, d):
 )
 def source_lines(spark, d):
     selected, cited = _verified(spark, d)
-    return A.source_lines(selected, cited).select("query_id", "final_rank", F.regexp_replace("source", r", score [^)]*\)$", ")").alias("source"))
+    return A.source_lines(selected, cited).select("query_id", "final_rank", "source")
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 AND role IN ('user', 'assistant') AND text <> ''")
@@ -299,10 +304,9 @@ def history_window(spark, d):
     return A.history(table(spark, d, "conversations"), 6)
 
 
-@query(O.search(8, rf"""SELECT query_id, final_rank AS rank, '[' || final_rank || '] Art. ' || article_number || ' | tier=' || tier || chr(10) || CASE WHEN length(text) > 900 THEN regexp_replace(left(text, 900), '{P.WS}+$', '') || '...' ELSE text END AS context FROM selected JOIN indexed USING (ord, id, article_number, tier)"""))
+@query(O.search(8, rf"""SELECT query_id, final_rank AS rank, '[' || final_rank || '] Art. ' || article_number || ' | tier=' || tier || ' | score=' || fused || chr(10) || CASE WHEN length(text) > 900 THEN regexp_replace(left(text, 900), '{P.WS}+$', '') || '...' ELSE text END AS context FROM selected JOIN indexed USING (ord, id, article_number, tier)"""))
 def context_blocks(spark, d):
-    out = A.context_blocks(_selected(spark, d), _indexed(spark, d))
-    return out.select("query_id", "rank", F.regexp_replace("context", r"^(\[[^\n]*) \| score=[^\n]*", "$1").alias("context"))
+    return A.context_blocks(_selected(spark, d), _indexed(spark, d)).select("query_id", "rank", "context")
 
 
 def _nearest(spark, d, metric: str) -> DataFrame:
@@ -359,14 +363,15 @@ def index_meta(spark, d):
 
 
 @query(
-    f"""WITH {_FINGER}, now AS (SELECT tier, sha256(string_agg(line || chr(10), '' ORDER BY ord)) AS f FROM lines GROUP BY tier),
-    before AS (SELECT tier, sha256(string_agg(line || chr(10), '' ORDER BY ord)) AS f FROM lines WHERE tier <> 'C' AND NOT (tier = 'B' AND ord = 8) GROUP BY tier)
+    f"""WITH {_FINGER}, parts AS ({_CHUNK}), now AS (SELECT tier, sha256(string_agg(d, chr(10) ORDER BY chunk)) AS f FROM parts GROUP BY tier),
+    fewer AS ({_CHUNK.replace("FROM lines", "FROM lines WHERE tier <> 'C' AND NOT (tier = 'B' AND ord = 8)")}),
+    before AS (SELECT tier, sha256(string_agg(d, chr(10) ORDER BY chunk)) AS f FROM fewer GROUP BY tier)
     SELECT tier, before.f AS stored, now.f AS expected, before.f IS NOT DISTINCT FROM now.f AS valid FROM before FULL JOIN now USING (tier)"""
 )
 def manifest_check(spark, d):
     now = _indexed(spark, d)
     before = now.where("tier <> 'C' and not (tier = 'B' and ord = 8)")
-    return V.manifest_check(V.fingerprints(before), V.fingerprints(now))
+    return V.manifest_check(V.chunked_fingerprints(before), V.chunked_fingerprints(now))
 
 
 @query(f"WITH indexed AS ({O.INDEXED}) SELECT tier, ord, ((row_number() OVER (PARTITION BY tier ORDER BY ord) - 1) // 40)::BIGINT AS batch FROM indexed")

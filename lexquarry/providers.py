@@ -28,9 +28,38 @@ class Embedder(Protocol):
 
 
 class Generator(Protocol):
-    def rewrite(self, query: str) -> str: ...
+    def rewrite(self, query: str) -> str:
+        """The query as it should be searched for."""
+
+    def answer(self, query: str, context: str, history: list[dict], temperature: float) -> str:
+        """A draft from the context; history is what was said before."""
+
+
+#: What a chat service is told.
+SYSTEM = "You answer questions about legal texts. Answer in French only, and only from the sources that you are given. Do not make up articles or facts. Cite every article in the form: Art. <number>."
+QUESTION = "Question:\n{query}\n\nSources:\n{context}\n\nGive a short answer in French from these sources alone, cite the articles that it rests on in the form Art. <number>, and say so where the sources are weak."
+REWRITE = "Turn the question into one short line in French to search legal texts with. Keep legal terms, articles, offences, penalties and names. Give the line alone."
 
-    def answer(self, query: str, context: str, history: list[dict]) -> str: ...
+
+def messages(query: str, context: str, history: list[dict]) -> list[dict]:
+    """A conversation for a chat service: the system's part, earlier turns of users and assistants that say something,
+    and the question with its sources."""
+    said = [{"role": t["role"], "content": t["content"]} for t in history if t.get("role") in ("user", "assistant") and t.get("content")]
+    return [{"role": "system", "content": SYSTEM}, *said, {"role": "user", "content": QUESTION.format(query=query, context=context)}]
+
+
+class ChatGenerator:
+    """A generator over a chat service: complete(messages, temperature) gives its reply."""
+
+    def __init__(self, complete: Callable[[list[dict], float], str]):
+        self.complete = complete
+
+    def rewrite(self, query: str) -> str:
+        reply = self.complete([{"role": "system", "content": REWRITE}, {"role": "user", "content": query}], 0.0)
+        return (reply or "").strip() or query
+
+    def answer(self, query: str, context: str, history: list[dict], temperature: float) -> str:
+        return self.complete(messages(query, context, history), temperature) or ""
 
 
 class HashEmbedder:
@@ -54,7 +83,7 @@ class ExtractiveGenerator:
     def rewrite(self, query: str) -> str:
         return query
 
-    def answer(self, query: str, context: str, history: list[dict]) -> str:
+    def answer(self, query: str, context: str, history: list[dict], temperature: float) -> str:
         return " ".join(line for block in context.split("\n\n")[:2] for line in block.split("\n")[:2])
 
 
@@ -62,6 +91,13 @@ EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"offline": HashEmbedder}
 GENERATORS: dict[str, Callable[[], Generator]] = {"offline": ExtractiveGenerator}
 
 
+def make(registry: dict[str, Callable], name: str, *args):
+    """A service by its name; a name that is not registered says which are."""
+    if name not in registry:
+        raise ValueError(f"no service named {name!r}; there are {', '.join(sorted(registry))}")
+    return registry[name](*args)
+
+
 def waits(attempts: int = ATTEMPTS) -> list[float]:
     return [FIRST_WAIT * 2**n for n in range(attempts - 1)]
 
@@ -82,15 +118,77 @@ def embed_documents(articles: DataFrame, name: str, dimension: int, batch: int =
 
     @F.pandas_udf("array<float>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client, size = EMBEDDERS[name](dimension), max(1, batch)
+        client, size = make(EMBEDDERS, name, dimension), max(1, batch)
         for texts in batches:
             out = []
             for at in range(0, len(texts), size):
-                part = list(texts[at : at + size])
-                got = with_retries(lambda part=part: client.embed(part, "document"))
-                if got.shape != (len(part), dimension):
-                    raise ValueError(f"{got.shape} embeddings for {len(part)} texts of dimension {dimension}")
-                out += got.tolist()
+                out += _embedded(client, list(texts[at : at + size]), "document", dimension, ATTEMPTS)
             yield pd.Series(out)
 
     return articles.withColumn("embedding", of(F.coalesce("text", F.lit(""))))
+
+
+def _embedded(client: Embedder, texts: list[str], kind: str, dimension: int, attempts: int) -> list[list[float]]:
+    got = with_retries(lambda: client.embed(texts, kind), attempts)
+    if got.shape != (len(texts), dimension):
+        raise ValueError(f"{got.shape} embeddings for {len(texts)} texts of dimension {dimension}")
+    return got.tolist()
+
+
+def embed_queries(queries: DataFrame, name: str, dimension: int, attempts: int = ATTEMPTS) -> DataFrame:
+    """queries (with a column query) and an embedding for each; a blank one is the zero vector. Where the service fails,
+    the embedding is null and outage says why; wrong dimensions raise."""
+
+    @F.pandas_udf("embedding array<float>, outage string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        client = make(EMBEDDERS, name, dimension)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                try:
+                    rows.append((_embedded(client, [text], "query", dimension, attempts)[0] if text.strip() else [0.0] * dimension, None))
+                except RuntimeError as e:
+                    rows.append((None, str(e.__cause__ or e)))
+            yield pd.DataFrame(rows, columns=["embedding", "outage"])
+
+    return queries.withColumn("_e", of(F.coalesce("query", F.lit("")))).select(*queries.columns, "_e.*")
+
+
+def rewritten(generator: Generator, query: str, reference: str | None) -> str:
+    """The query as it should be searched for. A query that names an article stays as it is, and so does one that the
+    service fails on or answers with nothing."""
+    try:
+        return query if reference is not None else generator.rewrite(query) or query
+    except Exception:  # whatever the service raises, the query itself will do
+        return query
+
+
+def drafted(name: str, query: str, context: str, history: list[dict], temperature: float) -> tuple[str | None, str | None]:
+    """(draft, why there is none); neither without context."""
+    try:
+        return (make(GENERATORS, name).answer(query, context, history, temperature) if context else None), None
+    except Exception as e:  # whatever the service raises: the answer says so
+        return None, str(e) or type(e).__name__
+
+
+def rewrite_queries(queries: DataFrame, name: str) -> DataFrame:
+    """queries (query, reference) with retrieval, the query rewritten."""
+
+    @F.pandas_udf("string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        generator = make(GENERATORS, name)
+        for texts, references in batches:
+            yield pd.Series([rewritten(generator, t, r) for t, r in zip(texts, references, strict=True)], dtype=object)
+
+    return queries.withColumn("retrieval", of(F.coalesce("query", F.lit("")), "reference"))
+
+
+def draft_answers(asked: DataFrame, name: str, history: list[dict], temperature: float) -> DataFrame:
+    """query_id, draft and failure (why there is none) for asked: query_id, query, context. Without context: neither."""
+
+    @F.pandas_udf("draft string, failure string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for queries, contexts in batches:
+            yield pd.DataFrame([drafted(name, q, c, history, temperature) for q, c in zip(queries, contexts, strict=True)], columns=["draft", "failure"])
+
+    return asked.select("query_id", of("query", F.coalesce("context", F.lit(""))).alias("d")).select("query_id", "d.*")

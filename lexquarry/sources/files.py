@@ -47,22 +47,34 @@ def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def write_index(vectors: DataFrame, path: str, manifest: dict, force: bool = False) -> None:
-    """Vectors with their meta rows, and a manifest with counts and fingerprints; an index that stands is kept without force."""
+    """Vectors with their meta rows, and a manifest with counts and fingerprints; an index that stands is kept without
+    force. What was written is counted and measured before the manifest says that it is there."""
     spark, mode = vectors.sparkSession, "overwrite" if force else "errorifexists"
     V.index_meta(vectors).join(vectors.select("tier", "ord", "embedding"), ["tier", "ord"]).write.mode(mode).partitionBy("tier").parquet(f"{path}/vectors")
     prints = V.chunked_fingerprints(vectors)
+    if problem := _misfit(spark.read.parquet(f"{path}/vectors"), prints, manifest["dimension"]):
+        raise ValueError(problem)
     given = spark.createDataFrame([manifest]).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    prints.join(F.broadcast(given)).write.mode(mode).json(f"{path}/manifest")  # one row a tier
+    prints.join(given).write.mode(mode).json(f"{path}/manifest")  # one row a tier
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vectors"), spark.read.json(f"{path}/manifest")
 
 
-def index_problem(manifest: DataFrame, articles: DataFrame, expected: dict) -> str | None:
+def _misfit(vectors: DataFrame, counted: DataFrame, dimension: int) -> str | None:
+    """What is wrong with stored vectors: their number by tier (counted: tier, rows), or their dimension."""
+    held = vectors.groupBy("tier").agg(F.count("*").alias("held"), F.count_if(~F.size("embedding").eqNullSafe(F.lit(dimension))).alias("odd"))
+    bad = held.join(counted.select("tier", "rows"), "tier", "full_outer").where("not (held <=> rows) or odd > 0").limit(1).collect()
+    return f"tier {bad[0]['tier']} has {bad[0]['held']} vectors for {bad[0]['rows']} articles, {bad[0]['odd']} of another dimension" if bad else None
+
+
+def index_problem(vectors: DataFrame, manifest: DataFrame, articles: DataFrame, expected: dict) -> str | None:
     """Why a stored index can't be used for these articles, or None."""
     stored = manifest.select(*expected).distinct().limit(2).collect()
     if len(stored) != 1 or stored[0].asDict() != expected:
         return "the index was built with other settings"
     bad = V.manifest_check(manifest, V.chunked_fingerprints(articles)).where("not valid").select("tier").limit(3).collect()
-    return f"the corpus has changed in tier {', '.join(r['tier'] for r in bad)}" if bad else None
+    if bad:
+        return f"the corpus has changed in tier {', '.join(r['tier'] for r in bad)}"
+    return _misfit(vectors, manifest, expected["dimension"])

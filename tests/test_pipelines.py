@@ -5,6 +5,7 @@ import pytest
 
 from lexquarry import cli, providers
 from lexquarry.config import EngineConfig
+from lexquarry.plans import pipelines
 from lexquarry.plans.pipelines import CLARIFY, AnswerPipeline, CorpusPipeline, HybridSearch, build_index, load_search
 from lexquarry.streaming.clean import cleaned_stream, write_cleaned
 
@@ -41,6 +42,7 @@ def test_articles(stored):
     assert {r["filter_tier"] for r in rows.values()} == {"A"}
     report = run.report().first()
     assert report["page_marker_lines"] == 12 and report["orphan_lines"] == 12 and report["editorial_lines"] == 12 and report["articles"] == 60
+    assert report["blocks_before"] - report["duplicates"] == report["blocks_after"] == run.unique.count() and report["suspicious"] == 0 and report["notes"]
 
 
 def test_written_files(spark, stored):
@@ -60,15 +62,108 @@ def test_search_and_answers(spark, stored):
     assert search.index is not None and not warnings
     assert search.articles.count() == 48
     assert "settings" in load_search(spark, replace(config, metric="l2"))[1][0]
+    assert "settings" in load_search(spark, replace(config, model="another"))[1][0]
     session = AnswerPipeline(search)
     state = session.ask("Que dit l'art. 2 bis ?")
     assert state["confidence"] == "HIGH" and state["cited"] == "2 bis" and "Sources:\n- Art. 2 bis (tier A" in state["answer"]
+    assert state["cited_articles"] == ["Art. 2 bis"] and state["warnings"] == []
     assert len(session.turns) == 2
     nothing = AnswerPipeline(HybridSearch(search.articles, config)).ask("xxyyzz")
-    assert nothing["needs_clarification"] and nothing["answer"] == CLARIFY and nothing["confidence"] == "LOW"
+    assert nothing["needs_clarification"] and nothing["answer"] == CLARIFY and nothing["confidence"] == "LOW" and nothing["cited_articles"] == []
     assert "confidence: LOW" in cli.show(nothing, True)
 
 
+def test_index_that_lost_rows(spark, stored, tmp_path):
+    _, _, config = stored
+    articles = load_search(spark, replace(config, use_vectors=False))[0].articles
+    other = replace(config, index=f"{tmp_path}/index")
+    build_index(articles, other)
+    vectors = spark.read.parquet(f"{other.index}/vectors").limit(30).toPandas()
+    spark.createDataFrame(vectors).write.mode("overwrite").partitionBy("tier").parquet(f"{other.index}/vectors")
+    assert "30 vectors for 48 articles" in load_search(spark, other)[1][0]
+    assert load_search(spark, other)[0].warnings
+
+
+@pytest.fixture
+def services(tmp_path):
+    """Services that fail, or write down what they are asked."""
+    log = f"{tmp_path}/log"
+
+    def say(x):
+        with open(log, "a") as f:
+            f.write(json.dumps(x) + "\n")
+
+    class Down:
+        dimension = 64
+
+        def embed(self, texts, kind):
+            raise ConnectionError("no route")
+
+        def rewrite(self, query):
+            raise ConnectionError("no route")
+
+        def answer(self, query, context, history, temperature):
+            raise ConnectionError("no route")
+
+    def chat(reply):
+        def complete(messages, temperature):
+            say([messages, temperature])
+            return "vol emprisonnement" if len(messages) == 2 and messages[0]["content"] == providers.REWRITE else reply
+
+        return providers.ChatGenerator(complete)
+
+    class Recording(providers.HashEmbedder):
+        def embed(self, texts, kind):
+            say([kind, texts])
+            return super().embed(texts, kind)
+
+    return {"down": Down, "chat": lambda: chat("Selon l'article 1 et Art. 77."), "recording": Recording}, lambda: [json.loads(x) for x in open(log)]
+
+
+def test_services(services, monkeypatch):
+    made, log = services
+    for name in ("down", "chat"):
+        monkeypatch.setitem(providers.GENERATORS, name, made[name])
+    assert providers.rewritten(made["chat"](), "peine pour vol ?", None) == "vol emprisonnement"
+    assert providers.rewritten(made["chat"](), "art. 5 ?", "5") == "art. 5 ?" and providers.rewritten(made["down"](), "peine ?", None) == "peine ?"
+    history = [{"role": "user", "content": "a"}, {"role": "tool", "content": "b"}, {"role": "assistant", "content": ""}, {"role": "assistant", "content": "c"}]
+    assert providers.drafted("chat", "q", "[1] Art. 1", history, 0.3) == ("Selon l'article 1 et Art. 77.", None)
+    assert providers.drafted("chat", "q", "", history, 0.3) == (None, None)
+    (_, cold), (said, temperature) = log()
+    assert (cold, temperature) == (0.0, 0.3) and [m["role"] for m in said] == ["system", "user", "assistant", "user"]
+    assert [m["content"] for m in said[1:3]] == ["a", "c"] and "[1] Art. 1" in said[-1]["content"]
+    assert providers.drafted("down", "q", "[1] Art. 1", [], 0.2) == (None, "no route")
+    with pytest.raises(ValueError, match="offline"):
+        providers.make(providers.GENERATORS, "unknown")
+
+
+def test_query_vectors(services, monkeypatch):
+    made, log = services
+    got = providers._embedded(made["recording"](64), ["un deux"], "query", 64, 1)
+    assert len(got[0]) == 64 and log() == [["query", ["un deux"]]]
+    with pytest.raises(RuntimeError):
+        providers._embedded(made["down"](), ["x"], "query", 64, 1)
+    with pytest.raises(ValueError):
+        providers._embedded(made["recording"](32), ["x"], "query", 64, 1)
+
+
+def test_outages(spark, stored, monkeypatch):
+    """A search whose embedder fails goes on with words alone; an answer whose service fails says so."""
+    _, _, config = stored
+    search = load_search(spark, config)[0]
+    assert search.index is not None
+    lost = lambda q, *a: q.selectExpr("*", "cast(null as array<float>) as embedding", "'no route' as outage")
+    monkeypatch.setattr(pipelines, "embed_queries", lost)
+    monkeypatch.setattr(pipelines, "draft_answers", lambda asked, *a: asked.selectExpr("query_id", "cast(null as string) as draft", "'no route' as failure"))
+    state = AnswerPipeline(search).ask("Que dit l'art. 2 bis ?")
+    assert state["cited_articles"] == ["Art. 2 bis"] or state["attached"]
+    assert state["answer"].startswith(pipelines.UNAVAILABLE + "no route\n\nSources:\n- Art. 2 bis")
+    assert state["warnings"][0] == pipelines.WARN_VECTORS % "no route" and pipelines.WARN_DRAFT in state["warnings"]
+    monkeypatch.setattr(pipelines, "draft_answers", lambda asked, *a: asked.selectExpr("query_id", "'  ' as draft", "cast(null as string) as failure"))
+    state = AnswerPipeline(replace(search, warnings=("at startup",))).ask("Que dit l'art. 2 bis ?")
+    assert state["answer"].startswith(pipelines.EMPTY) and state["attached"] and state["warnings"][0] == "at startup"
+
+
 def test_stream(spark, tmp_path, stored):
     docs, run, _ = stored
     docs.write.parquet(f"{tmp_path}/in")
@@ -83,6 +178,14 @@ def test_config():
     assert EngineConfig().search.top_k == 15 and EngineConfig().search.final_k == 12
 
 
+def test_dotenv(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# a comment\nLEXQUARRY_METRIC='l2'\nexport LEXQUARRY_DIMENSION = 32\nnothing\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("LEXQUARRY_DIMENSION", "16")
+    got = EngineConfig.from_env()
+    assert (got.metric, got.dimension) == ("l2", 16)
+
+
 def test_retries():
     slept, calls = [], iter([providers.RateLimited(), ValueError(), "done"])
 
