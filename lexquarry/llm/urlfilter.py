@@ -1,33 +1,32 @@
-"""URL filters over a sorted array of rule digests.
+"""URL filters over sorted arrays of rule digests.
 
-A rule is a host with a path prefix and an action. All rules are one array of 64-bit xxhash keys in order, beside their
-full strings; each task maps the array's file into memory and probes it by vectorised binary search with every host
-suffix and path prefix of a url that a rule could have. A hit counts only if the stored string is equal. Lists of up to
-MAX_RULES are sent to the executors as files; longer ones are joined by the same keys instead.
+A rule is a host with a path prefix and an action. Rules, and the strings that could be one (every suffix of a url's host
+with every prefix of its path that is as long as a rule's), are dealt into groups by hash. A group's rules are one array
+of 64-bit xxhash keys in order beside their full strings; a task maps its file into memory and probes it by vectorised
+binary search. A hit counts only if the stored string is equal. The number of groups follows from the bytes of rules and
+urls alone, so lists of any length go the same way.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import ASCII_LOWER, ASCII_UPPER, fresh, table
+from lexquarry.llm.common import ASCII_LOWER, ASCII_UPPER, fresh, materialize, table, unclashed
 
-MAX_RULES = 5_000_000
+#: Bytes of strings, rules and probes, that one task holds, about.
+GROUP_BYTES = 32_000_000
 #: Rules of the production query, as stated for it: action and host/path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: The method's own list for urls that no rule fits: hosts of adverts, spam, gambling, adult pages and drug sales.
-BLOCKED_HOSTS = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
-#: Keys that a task probes at once.
-PROBES = 2_000_000
+#: The method's own list, for urls that no rule fits, is of the hosts that name themselves: those with one of these words as
+#: a part of a label, on whatever domain.
+BLOCKED_WORDS = ["ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "slots", "spam", "viagra", "xxx"]
+_TELLING = rf"(^|\.)((?:[^.]*-)?(?:{'|'.join(BLOCKED_WORDS)})(?:-[^.]*)?\..+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -46,20 +45,16 @@ class DigestArray:
         self.keys = np.load(f"{folder}/{name}.keys.npy", mmap_mode="r")
         self.ends = np.load(f"{folder}/{name}.ends.npy", mmap_mode="r")
         self.text = np.load(f"{folder}/{name}.text.npy", mmap_mode="r")
-        self.depths = np.load(f"{folder}/{name}.depths.npy").tolist()
 
     @staticmethod
-    def write(strings: list[str], name: str) -> list[str]:
+    def write(strings: list[str], folder: str, name: str) -> None:
         data = [s.encode() for s in strings]
         keys = np.array([xxhash.xxh64_intdigest(d) for d in data], np.uint64)
         order = np.argsort(keys, kind="stable")
         data = [data[i] for i in order]
-        folder = tempfile.mkdtemp(prefix="spark-rules-")
-        depths = sorted({len(s) - s.index("/") if "/" in s else 0 for s in strings})
-        parts = {"keys": keys[order], "ends": np.cumsum([len(d) for d in data], dtype=np.int64), "text": np.frombuffer(b"".join(data), np.uint8), "depths": np.array(depths, np.int64)}
+        parts = {"keys": keys[order], "ends": np.cumsum([len(d) for d in data], dtype=np.int64), "text": np.frombuffer(b"".join(data), np.uint8)}
         for part, value in parts.items():
             np.save(f"{folder}/{name}.{part}.npy", value)
-        return [f"{folder}/{name}.{part}.npy" for part in parts]
 
     def string(self, i: int) -> bytes:
         return self.text[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes()
@@ -82,93 +77,72 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, depths: list[int]) -> list[str]:
-    """Rules that would fit: every suffix of the host at a dot, with every prefix of the path that is as long as a rule's."""
-    hosts, at = [host], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    prefixes = [path[:d] for d in depths if d <= len(path)]
-    return [h + p for h in hosts for p in prefixes]
+def probe(asked: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    """The rows of rules whose rule is among those asked for."""
+    if not len(asked) or not len(rules):
+        return rules[:0]
+    rules = rules.drop_duplicates("rule")
+    with tempfile.TemporaryDirectory(prefix="spark-rules-") as folder:  # the task's own: written, mapped and gone
+        DigestArray.write(rules["rule"].tolist(), folder, "rules")
+        held = DigestArray(folder, "rules")
+        found = held.find([r.encode() for r in asked["rule"]])
+        hit = [held.string(i).decode() for i in np.unique(found[found >= 0]).tolist()]
+        del held
+    return rules[rules["rule"].isin(hit)]
 
 
-def fit(urls: DataFrame, rules: list[str] | DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """urls with `rule`: the longest of the rules (host/path, or a bare host for any path) that fits, else null.
+def fits(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """h, p and fits (array of rule, given, listed) of the different hosts and paths (h, p) in urls that some rule fits.
 
-    Rules of equal length: the first in order of strings. A rule without host, or null, never fits.
+    rules: rule (host/path, or a bare host for any path), given, listed. A rule without host, or null, never fits.
     """
-    spark = urls.sparkSession
-    frame = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r,) for r in rules], "rule string")
-    frame = frame.where("rule is not null and rule <> '' and not startswith(rule, '/')").select("rule").distinct()
-    if frame.count() > MAX_RULES:
-        return _fit_joined(urls, frame, host, path)
-    strings = [r[0] for r in frame.orderBy("rule").collect()]  # MAX_RULES at most
-    name = f"rules-{xxhash.xxh64_hexdigest(chr(0).join(strings))}-{id(frame):x}"
-    for file in DigestArray.write(strings, name):
-        spark.sparkContext.addFile(file)
-
-    @F.pandas_udf("string")
-    def longest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        rules = DigestArray(SparkFiles.getRootDirectory(), name)
-        for hosts, paths in batches:
-            out, owners, probes = [None] * len(hosts), [], []
-
-            def settle():
-                for i, j in zip(owners, rules.find(probes).tolist(), strict=True):
-                    if j >= 0:
-                        rule = rules.string(j).decode()
-                        if out[i] is None or (-len(rule), rule) < (-len(out[i]), out[i]):
-                            out[i] = rule
-
-            for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                own = candidates(h, p, rules.depths) if h else []
-                owners += [i] * len(own)
-                probes += [c.encode() for c in own]
-                if len(probes) > PROBES:
-                    settle()
-                    owners, probes = [], []
-            settle()
-            yield pd.Series(out, dtype=object)
-
-    return urls.withColumn("rule", longest(F.col(host), F.col(path)))
-
-
-def _fit_joined(urls: DataFrame, rules: DataFrame, host: str, path: str) -> DataFrame:
-    """The same by a join on keys, for lists of any length; rows are told apart by all of their host and path."""
+    frame = rules.where("rule is not null and rule <> '' and not startswith(rule, '/')")
+    frame = materialize(frame.groupBy("rule").agg(F.bool_or("given").alias("given"), F.bool_or("listed").alias("listed")), "rules")
     depth = F.when(F.contains("rule", F.lit("/")), F.length("rule") - F.instr("rule", "/") + 1).otherwise(0)
-    depths = [r[0] for r in rules.select(depth).distinct().collect()]  # at most as many as paths are long
-    asked = urls.where(F.col(host) != "").select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    depths = [r[0] for r in frame.select(depth).distinct().collect()]  # at most as many as paths are long
+    asked = materialize(urls.where(F.col("h") != "").select("h", "p").distinct(), "hosts")
     labels = F.split("h", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = asked.select("h", "p", F.explode(hosts).alias("s")).select("h", "p", "s", F.explode(F.array(*(F.lit(d) for d in depths)) if depths else F.array().cast("array<int>")).alias("d"))
+    each = asked.select("h", "p", F.explode(hosts).alias("s")).select("h", "p", "s", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("d"))
     each = each.where(F.length("p") >= F.col("d")).select("h", "p", F.concat("s", F.substring("p", F.lit(1), F.col("d"))).alias("rule"))
-    hit = each.withColumn("k", F.xxhash64("rule")).join(rules.withColumn("k", F.xxhash64("rule")), ["k", "rule"])
-    best = hit.groupBy("h", "p").agg(F.min_by("rule", F.struct(-F.length("rule"), F.col("rule"))).alias("rule"))
-    return urls.join(best, (urls[host] == best["h"]) & (urls[path] == best["p"]), "left").select(*urls.columns, "rule")
+    wanted = materialize(each.select("rule").distinct(), "probes")
+    size = sum(df.agg(F.sum(F.octet_length("rule"))).first()[0] or 0 for df in (frame, wanted))
+    group = F.pmod(F.xxhash64("rule"), F.lit(-(-size // GROUP_BYTES) or 1))
+    hits = wanted.groupBy(group).cogroup(frame.groupBy(group)).applyInPandas(probe, "rule string, given boolean, listed boolean")
+    return each.join(hits, "rule").groupBy("h", "p").agg(F.collect_list(F.struct("rule", "given", "listed")).alias("fits"))
+
+
+def blocked_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """rule: the hosts in pages that name themselves by one of BLOCKED_WORDS, from that label on."""
+    return pages.select(F.regexp_extract(host_of(F.col(url)), _TELLING, 2).alias("rule")).where("rule <> ''").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked: list[str] | DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict (names are renamed if taken): a fitting rule's action, else block for
-    hosts on the method's list and their subdomains, else allow. Null url, or one without ://: empty host and path, allow."""
+    hosts on the method's list and their subdomains, else allow. The longest rule that fits counts; of equal length, the
+    first in order of strings. Null url, or one without ://: empty host and path, allow."""
     spark: SparkSession = pages.sparkSession
-    names = {c: fresh(pages, c) if c in {x.lower() for x in pages.columns} else c for c in ("host", "path", "rule", "verdict")}
+    names = {c: unclashed(pages, c) for c in ("host", "path", "rule", "verdict")}
+    listed = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(b,) for b in blocked], "rule string")
+    given = spark.createDataFrame([(r,) for _, r in rules], "rule string")
+    both = given.select("rule", F.lit(True).alias("given"), F.lit(False).alias("listed")).unionByName(listed.select("rule", F.lit(False).alias("given"), F.lit(True).alias("listed")))
     work = pages.withColumn(names["host"], host_of(F.col(url))).withColumn(names["path"], path_of(F.col(url)))
-    by_rule = {r: action for action, r in rules}
-
-    def fitted(df: DataFrame, given, out: str) -> DataFrame:
-        found = fit(df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)), F.col(names["host"]).alias("host"), F.col(names["path"]).alias("path")), given)
-        return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)), F.col("rule").alias(out))
-
-    listed = fresh(work, "listed")
-    work = fitted(fitted(work, list(by_rule), names["rule"]), blocked, listed)
-    actions = F.create_map(*(F.lit(x) for pair in by_rule.items() for x in pair)) if by_rule else F.lit(None)
-    verdict = F.coalesce(F.element_at(actions, F.col(names["rule"])) if by_rule else F.lit(None).cast("string"), F.when(F.col(listed).isNotNull(), "block").otherwise("allow"))
-    return work.withColumn(names["verdict"], verdict).drop(listed)
+    found = fits(work.select(F.col(names["host"]).alias("h"), F.col(names["path"]).alias("p")), both)
+    mine = {c: fresh(work, c) for c in ("h", "p", "fits")}
+    found = found.select(*(F.col(c).alias(n) for c, n in mine.items()))
+    work = work.join(found, (work[names["host"]] == found[mine["h"]]) & (work[names["path"]] == found[mine["p"]]), "left")
+    own = F.filter(mine["fits"], lambda x: x["given"])
+    best = F.array_min(F.transform(own, lambda x: F.struct((-F.length(x["rule"])).alias("n"), x["rule"].alias("rule"))))["rule"]
+    work = work.withColumn(names["rule"], best)
+    actions = F.create_map(*(F.lit(x) for action, r in rules for x in (r, action))) if rules else None
+    action = F.try_element_at(actions, F.col(names["rule"])) if rules else F.lit(None).cast("string")
+    bad = F.coalesce(F.exists(mine["fits"], lambda x: x["listed"]), F.lit(False))
+    return work.withColumn(names["verdict"], F.coalesce(action, F.when(bad, "block").otherwise("allow"))).drop(*mine.values())
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, RULES, blocked_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _VALUES = ", ".join(f"('{action}', '{rule[: rule.index('/')]}', '{rule[rule.index('/') :]}', '{rule}')" for action, rule in RULES)
@@ -179,7 +153,7 @@ WITH parts AS (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 rules(action, h, p, rule) AS (VALUES {_VALUES}),
-blocked(h) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}),
+blocked AS (SELECT DISTINCT regexp_extract(host, '{_TELLING}', 2) AS h FROM parts WHERE regexp_matches(host, '{_TELLING}')),
 fits AS (
   SELECT page_id, arg_min(rule, (-length(rule), rule)) AS rule, arg_min(action, (-length(rule), rule)) AS action
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)

@@ -21,25 +21,41 @@ def brute(url, rules, blocked):
     return host, path, rule[1] if rule else None, verdict
 
 
-@pytest.mark.parametrize("way", ["array", "joined"])
-def test_against_brute_force(spark, monkeypatch, way):
-    if way == "joined":
-        monkeypatch.setattr(U, "MAX_RULES", 0)
+BLOCKED = ["casino-win.example.net", "b.a.com"]
+
+
+@pytest.mark.parametrize("group_bytes", [U.GROUP_BYTES, 300])
+def test_against_brute_force(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(U, "GROUP_BYTES", group_bytes)
     rng = random.Random(3)
     hosts = ["example.org", "EXAMPLE.org", "a.example.org", "notexample.org", "x.com", "com", "org", "m.casino-win.example.net", "casino-win.example.net", "É.example.org", "u@x.com:80", "a..com", ""]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/x", "/fr/?q=/de/", "/de/#x", "?x://y", "#f", "/de/é", "/DE/"]
     urls = [f"{s}://{h}{p}" for s in ("http", "") for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c/de/"]
     urls += ["https://" + ".".join(rng.choices("ab", k=30)) + ".com/de/" + "x" * 5000, urls[0]]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    out = U.judge(pages, U.RULES, U.BLOCKED_HOSTS)
+    out = U.judge(pages, U.RULES, BLOCKED)
     got = {r[0]: tuple(r)[3:] for r in out.collect()}
     assert out.columns[:3] == ["page_id", "url", "rule"]
-    assert got == {i: brute(u, U.RULES, U.BLOCKED_HOSTS) for i, u in enumerate(urls)}
-    assert U.judge(pages.where("false"), U.RULES, U.BLOCKED_HOSTS).count() == 0
+    assert got == {i: brute(u, U.RULES, BLOCKED) for i, u in enumerate(urls)}
+    assert U.judge(pages.where("false"), U.RULES, BLOCKED).count() == 0
 
 
 def test_colliding_keys(tmp_path, monkeypatch):
     monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda d: len(d))
-    files = U.DigestArray.write(["aa/", "bb/", "c/"], "r")
-    found = U.DigestArray(files[0].rsplit("/", 1)[0], "r")
+    U.DigestArray.write(["aa/", "bb/", "c/"], str(tmp_path), "r")
+    found = U.DigestArray(str(tmp_path), "r")
     assert [found.string(i).decode() if i >= 0 else None for i in found.find([b"bb/", b"dd/", b"aa/", b"c/"])] == ["bb/", None, "aa/", "c/"]
+
+
+def test_long_lists(spark):
+    """A hundred thousand rules, most of which fit nothing."""
+    rules = spark.range(100_000).selectExpr("concat('host', id, '.example.com') as rule")
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://www.host', id * 97, '.example.com/a') as url")
+    out = U.judge(pages, [], rules).where("verdict = 'block'")
+    assert {r["page_id"] for r in out.collect()} == {i for i in range(3000) if i * 97 < 100_000}
+
+
+def test_hosts_that_name_themselves(spark):
+    urls = ["http://www.Casino-win.example.org/x", "https://m.free-bets.a.b.c", "http://adsorb.com", "http://x.ads.com/", "http://spam", "http://a-spam-b.c.xxx.net", None, "spam.com"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r[0] for r in U.blocked_hosts(pages).collect()} == {"casino-win.example.org", "free-bets.a.b.c", "ads.com", "a-spam-b.c.xxx.net"}
