@@ -122,7 +122,7 @@ def mix_rows(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sums = rows.groupBy("source", "epoch", "group").agg(F.sum("tokens").alias("size"))
     earlier = Window.partitionBy("source", "epoch").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "epoch", "group", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "epoch", "group").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "epoch", "group").orderBy("key", "doc_id", "copy", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(sums, ["source", "epoch", "group"])
     start = F.col("epoch") * F.col("all") + F.col("before") + F.col("inside")
     laid = laid.withColumn("start", start).where("start < quota").withColumn("block", F.expr("start * blocks div quota"))
@@ -139,16 +139,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def remix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs as the mix takes them: rows left out, kept or repeated, with their own columns, in no set order.
+    """docs as the mix takes them: rows left out, kept or repeated, with their own columns.
 
-    The permutation within blocks is in mix_rows; a caller that writes blocks sorts by block and place.
+    The rows of a block stand together in one partition, in the order of the block's permutation; rows that repeat each
+    other are told apart by a number, in no set order (they are alike).
     """
     times = fresh(docs, "times")
     names = {c: fresh(docs, c) for c in ("doc_id", "t", "source")}
     rows = mix_rows(sized(docs), mix).withColumn("t", F.split("copy", "-(?=[0-9]+$)")[0].cast("long"))
-    # Rows that repeat each other are interchangeable: each gets the number of times of one of them.
-    per_copy = rows.groupBy("doc_id", "t", "source", "copy").agg(F.count("*").alias("n"))
-    counts = per_copy.groupBy("doc_id", "t", "source").agg(F.sort_array(F.collect_list("n"), asc=False).alias(times))
+    # Rows that repeat each other are interchangeable: each gets the places of one of them.
+    per_copy = rows.groupBy("doc_id", "t", "source", "copy").agg(F.sort_array(F.collect_list(F.struct("block", "place"))).alias("spots"))
+    counts = per_copy.groupBy("doc_id", "t", "source").agg(F.sort_array(F.collect_list("spots")).alias(times))
     counts = counts.select(times, *(F.col(c).alias(n) for c, n in names.items()))
     source = F.coalesce(docs["source"].cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     nth = fresh(docs, "nth")
@@ -156,8 +157,9 @@ def remix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     numbered = docs.withColumn(nth, number)
     same = (F.coalesce(numbered["doc_id"].cast("long"), F.lit(0)) == F.col(names["doc_id"])) & (F.xxhash64(numbered["text"]) == F.col(names["t"])) & (source == F.col(names["source"]))
     joined = numbered.join(counts, same).where(F.col(nth) <= F.size(times))
-    many = F.element_at(F.col(times), F.col(nth)).cast("int")
-    return joined.select(*(numbered[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), many)).alias(times)).select(*docs.columns)
+    placed = joined.select(*(numbered[c] for c in docs.columns), F.explode(F.element_at(F.col(times), F.col(nth))).alias(times))
+    block, place = F.col(times)["block"], F.col(times)["place"]
+    return placed.repartition(block).sortWithinPartitions(block, place).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -206,7 +208,7 @@ rows AS (
   FROM sized JOIN plan USING (source)),
 keyed AS (SELECT *, md5('{SEED}|' || epoch || '|' || doc_id || '|') AS key FROM rows),
 laid AS (
-  SELECT *, epoch * total + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  SELECT *, epoch * total + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM keyed)
 SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, start::BIGINT AS start, (start * blocks // quota)::BIGINT AS block,
        md5('{SEED + 1}|' || (start * blocks // quota)::BIGINT || '|' || epoch || '|' || doc_id || '|') AS place

@@ -57,3 +57,21 @@ def test_remix(spark):
     got = out.selectExpr("coalesce(doc_id, 0) as doc_id").groupBy("doc_id").count().collect()
     assert sorted(got) == sorted(want)
     assert M.remix(docs.where("false")).count() == 0
+
+
+def test_remix_lays_out_blocks(spark):
+    """Blocks come out whole, each in the order of its permutation."""
+    rows = [(i, "w " * (i % 7 + 1), "big" if i % 4 else "small") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = M.Mix(entropy_lift=0.9, block_tokens=60)
+    blocks = {}
+    for r in sorted(M.mix_rows(M.sized(docs), mix).collect(), key=lambda r: (r["block"], r["place"])):
+        blocks.setdefault(r["block"], []).append(r["doc_id"])
+    assert len(blocks) > 10
+    got = [r["doc_id"] for r in M.remix(docs, mix).collect()]
+    assert len(got) == sum(map(len, blocks.values()))
+    left, at = list(blocks.values()), 0
+    while left:
+        own = next(b for b in left if got[at : at + len(b)] == b)
+        left.remove(own)
+        at += len(own)
