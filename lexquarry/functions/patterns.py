@@ -13,7 +13,7 @@ ORPHAN = rf"(?iu)^{WS}*{DIGIT}+{WS}+bis{WS}*$"
 ARTICLE = rf"(?iu)^{WS}*art(?:icle)?\.?{WS}*({DIGIT}+)(?:{WS}*[.-]?{WS}*(bis|ter|quater))?(?:{WS}*({DIGIT}+))?"
 INLINE = rf"(?iu)([.;:?!»\"]{WS}*)(art\.?{WS}*{DIGIT}+)"
 INLINE_START = rf"(?iu)^art\.?{WS}*{DIGIT}+"
-HEADING = rf"(?iu)^{WS}*(?:livre|titre|chapitre|section|(?:premiere|deuxieme|troisieme|quatrieme) partie)\b"
+HEADING = rf"(?iu)^{WS}*(?:LIVRE|TITRE|CHAPITRE|SECTION|PREMIERE PARTIE|DEUXIEME PARTIE|TROISIEME PARTIE|QUATRIEME PARTIE)\b"
 #: Eight words at most; possessive, so long texts fail after the ninth.
 FEW_WORDS = rf"^{WS}*+(?:[^{WS[1:-1]}]++{WS}++){{0,7}}+[^{WS[1:-1]}]*+{WS}*+$"
 BULLET = rf"^{WS}*(?:{DIGIT}+[°).-]|-{WS}|[a-zA-Z]\))"
@@ -22,7 +22,8 @@ TOKEN = rf"[{LATIN}']+"
 CONSONANTS = "^[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{5,}$"
 ROMAN = "^[IVXLCDMivxlcdm]$"
 CLUSTER = rf"(?:\b[{LATIN}]{WS}+){{3,}}[{LATIN}]\b"
-BAD = r"""[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.,;:!?()\[\]{}%/\-+'"°ºª€$£]"""
+BAD = r"""[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.,;:!?()\[\]{}%/\-+'"°ªº€$£]"""
+#: Lines are compared in their normal form, which has no curly quotes or long dashes.
 EDITORIAL = ["CODE PENAL", "4eme Edition", "4ème Edition", "DEPOT LEGAL 3388 - 2004", "ISBN 9961 - 41 - 045 - 9", "Les Editions", "de l'O. N. T. E", "CO"]
 COVER_LINES = 40
 COVER_PREFIXES = ["DEPOT LEGAL", "ISBN"]
@@ -34,9 +35,9 @@ SYNONYMS = {
     "theft": ["vol"],
     "steal": ["vol"],
     "penalty": ["peine"],
+    "penalties": ["peines"],
     "sentence": ["peine"],
     "punishment": ["peine"],
-    "penalties": ["peines"],
     "crime": ["infraction"],
     "law": ["loi"],
     "judge": ["magistrat"],
