@@ -21,4 +21,5 @@ SQL = {
     "op1_temperature_mixing": mixing.SQL,
     "op3_url_filters": urlfilter.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op8_secret_scans": secrets.SQL,
 }

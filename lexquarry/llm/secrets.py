@@ -110,3 +110,40 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: The same in SQL, where letters in either case are spelled out: its (?i) would fold others than A-Z too.
+_SQL_PATTERNS = {k: p.replace("(?i:(password|passwd|secret|token|api_?key))", f"({'|'.join(map(_either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})").replace("'", "''") for k, (p, _, _) in KINDS.items()}
+_EACH = " UNION ALL ".join(
+    f"""SELECT row, owner, repository, '{kind}' AS kind, {rank} AS rank, {KINDS[kind][2]} AS least, unnest(regexp_extract_all(text, '{p}')) AS found,
+    unnest(regexp_extract_all(text, '{p}', {KINDS[kind][1]})) AS value, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS gap,
+    generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS n FROM rows WHERE regexp_matches(text, '{p}')"""
+    for rank, (kind, p) in enumerate(_SQL_PATTERNS.items(), 1)
+)
+SQL = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
+hits AS ({_EACH}),
+placed AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY row, kind ORDER BY n)::BIGINT AS stop FROM hits),
+spans AS (
+  SELECT row, owner, repository, kind, rank, value, stop - length(found) AS start, stop FROM placed
+  WHERE length(value) >= least AND (kind <> 'owned' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {LIVE_VARIETY}))),
+owned AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY value),
+known AS (
+  SELECT *, kind <> 'owned' AS base, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS verdict FROM spans JOIN owned USING (value)),
+beside AS (
+  SELECT *, coalesce(max(CASE WHEN base THEN stop END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached,
+         min(CASE WHEN base THEN start END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+  FROM known WINDOW w AS (PARTITION BY row ORDER BY start, rank)),
+kept AS (SELECT *, kind || ':' || start || ':' || stop AS told FROM beside WHERE base OR (verdict = 'live' AND reached <= start AND (following IS NULL OR following >= stop))),
+listed AS (
+  SELECT row, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(told, ',' ORDER BY start, rank) FILTER (WHERE base) AS base,
+         string_agg(told, ',' ORDER BY start, rank) AS spans, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
+  FROM kept GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM rows LEFT JOIN listed USING (row)
+"""
