@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.sources.shared import materialize  # noqa: F401 (the operators take it from here)
+
 #: What counts as white space in the operators' contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a folder of its own; on a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_lexquarry_shared", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext._lexquarry_shared = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return spark.sparkContext._lexquarry_shared
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
