@@ -21,7 +21,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.llm import sharing
 from lexquarry.llm.common import fresh, materialize, shrunk, table, text_or_empty
+from lexquarry.llm.sharing import batch_of, numbers, runs, to_bytes
 
 LENGTH = 50
 SEED = 16
@@ -268,37 +270,11 @@ def text_groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
-def _bytes(x: np.ndarray, kind: str = "<i8") -> bytes:
-    return x.astype(kind, copy=False).tobytes()
-
-
-def _numbers(parts, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
-
-
-def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
-
-
-def batch_of(schema: str, columns) -> pa.RecordBatch:
-    names, kinds = zip(*(field.split() for field in schema.split(", ")), strict=True)
-    arrow = {"int": pa.int32(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
-
-
-def _spans_of(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = [*_cuts(sorted_keys).tolist(), len(sorted_keys)]
-    return zip(edges[:-1], edges[1:], strict=True)
-
-
-#: kind 0: anchors and the texts that hold them. 1: anchors that several texts of one group hold, and how many do; 2: those texts.
-ASKED = "bucket int, kind int, anchors binary, texts binary"
 TOLD = "text long, anchor long, salts int"
 
 
 def asked_anchors(docs: DataFrame, buckets: int, length: int, seed: int) -> DataFrame:
-    """ASKED: the anchors of docs (text, t1), packed by bucket. What a task can settle itself is not asked."""
+    """The anchors of docs (text, t1), packed by bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,33 +284,11 @@ def asked_anchors(docs: DataFrame, buckets: int, length: int, seed: int) -> Data
             data, ids = np.frombuffer(values or b"", np.uint8), batch.column(1).to_numpy()
             for a, b in text_groups(np.diff(bounds), GROUP_BYTES):
                 found = anchors(data[bounds[a] : bounds[b]], bounds[a + 1 : b + 1] - bounds[a], length, seed)
-                rows = list(packed(found.hash.view(np.int64), ids[a:b][found.owner]))
+                rows = list(sharing.pack(found.hash.view(np.int64), ids[a:b][found.owner], buckets))
                 if rows:
-                    yield batch_of(ASKED, zip(*rows, strict=True))
-
-    def packed(anchor: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-        order = np.argsort(anchor, kind="stable")
-        h, t = anchor[order], text[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-        order, h, t = order[new], h[new], t[new]
-        cut = _cuts(h)
-        if not len(cut):
-            return
-        count = np.diff(np.append(cut, len(h)))
-        several = np.minimum.reduceat(t, cut) != np.maximum.reduceat(t, cut)
-        known = np.repeat(several, count)
-        if known.any():
-            yield -1 - int(h[0]) % buckets, 2, _bytes(h[known]), _bytes(t[known])
-        alone = np.sort(order[~known])  # as they stand in the texts: equal neighbours are sent compressed
-        for kind, own, told in ((0, anchor[alone], text[alone]), (1, h[cut[several]], count[several])):
-            bucket = (own.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-            deal = np.argsort(bucket, kind="stable")
-            own, told, bucket = own[deal], told[deal], bucket[deal]
-            for x, y in _spans_of(bucket):
-                yield int(bucket[x]), kind, _bytes(own[x:y]), _bytes(told[x:y])
-
-    return docs.select("text", "t1").mapInArrow(emit, ASKED)
+                    yield batch_of(sharing.ASKED, zip(*rows, strict=True))
+
+    return docs.select("text", "t1").mapInArrow(emit, sharing.ASKED)
 
 
 def shared_anchors(docs: DataFrame, buckets: int, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -342,23 +296,10 @@ def shared_anchors(docs: DataFrame, buckets: int, length: int = LENGTH, seed: in
     are of anchors, not texts: over so many shards their contexts are dealt."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = {k: pdf[pdf["kind"] == k] for k in range(3)}
-        anchor = _numbers([*part[0]["anchors"], *part[1]["anchors"]])
-        text, counts = _numbers(part[0]["texts"]), _numbers(part[1]["texts"])
-        order = np.argsort(anchor, kind="stable")
-        h, one = anchor[order], order < len(text)
-        cut = _cuts(h)
-        out_text, out_anchor, out_salts = [_numbers(part[2]["texts"])], [_numbers(part[2]["anchors"])], [np.zeros(sum(map(len, part[2]["texts"])) // 8, np.int32)]
-        if len(cut):
-            t = np.concatenate([text, np.zeros(len(counts), np.int64)])[order]
-            n = np.add.reduceat(np.concatenate([np.ones(len(text), np.int64), counts])[order], cut)
-            shared = (np.minimum.reduceat(t, cut) != np.maximum.reduceat(t, cut)) | ~np.logical_and.reduceat(one, cut)
-            tell = np.repeat(shared, np.diff(np.append(cut, len(h)))) & one
-            hot = np.flatnonzero(shared & (n > SALT_TEXTS))
-            out_text += [t[tell], np.zeros(len(hot), np.int64)]
-            out_anchor += [h[tell], h[cut[hot]]]
-            out_salts += [np.zeros(int(tell.sum()), np.int32), -(-n[hot] // SALT_TEXTS)]
-        return pd.DataFrame({"text": np.concatenate(out_text), "anchor": np.concatenate(out_anchor), "salts": np.concatenate(out_salts).astype(np.int32)})
+        text, anchor, shared, n = sharing.settle(pdf)
+        hot = n > SALT_TEXTS
+        salts = np.concatenate([np.zeros(len(text), np.int64), -(-n[hot] // SALT_TEXTS)])
+        return pd.DataFrame({"text": np.concatenate([text, np.zeros(int(hot.sum()), np.int64)]), "anchor": np.concatenate([anchor, shared[hot]]), "salts": salts.astype(np.int32)})
 
     return asked_anchors(docs, buckets, length, seed).groupBy("bucket").applyInPandas(settle, TOLD)
 
@@ -402,10 +343,10 @@ def contexts(texts: DataFrame, shards: int, length: int, seed: int) -> DataFrame
         shard, start, size = shard[order], start[order], size[order]
         fields = [f[order] for f in fields]
         pack, out = zstandard.ZstdCompressor(1), ([], [], [])
-        for x, y in _spans_of(shard):
+        for x, y in runs(shard):
             upto = np.cumsum(size[x:y])
             body = data[np.repeat(start[x:y] - upto + size[x:y], size[x:y]) + np.arange(upto[-1])]
-            blob = b"".join([*(_bytes(f[x:y], k) for f, (_, k) in zip(fields, _FIELDS, strict=True)), body.tobytes()])
+            blob = b"".join([*(to_bytes(f[x:y], k) for f, (_, k) in zip(fields, _FIELDS, strict=True)), body.tobytes()])
             for column, value in zip(out, (int(shard[x]), y - x, pack.compress(blob)), strict=True):
                 column.append(value)
         yield batch_of(CONTEXTS, out)
@@ -447,7 +388,7 @@ def shard_spans(pdf: pd.DataFrame, length: int, seed: int) -> pd.DataFrame:
             parts[name].append(blob[at : at + wide])
             at += wide
         bodies.append(blob[at:])
-    f = {name: _numbers(parts[name], kind).astype(np.int64) for name, kind in _FIELDS}
+    f = {name: numbers(parts[name], kind).astype(np.int64) for name, kind in _FIELDS}
     body, upto = b"".join(bodies), np.cumsum(f["size"])
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(body[e - s : e], len(number)) for s, e in zip(f["size"].tolist(), upto.tolist(), strict=True)], np.int64)
