@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.sources.shared import materialize  # noqa: F401 (the operators take it from here)
+from lexquarry.sources.shared import materialize, shared_dir  # noqa: F401 (the operators take them from here)
 
 #: What counts as white space in the operators' contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, simhash, suffix, tokencount, urlfilter
+from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, simhash, suffix, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op1_temperature_mixing": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_suffix_array_dedup": suffix.op10,
+    "op11_token_ids": tokenids.op11,
 }
 
 SQL = {

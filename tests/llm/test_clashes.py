@@ -1,10 +1,12 @@
 """Every operator with columns of the names that it uses or gives itself, nulls, repeated rows, and an empty table."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, shingles, simhash, suffix, tokencount, urlfilter
+from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, shingles, simhash, suffix, tokencount, tokenids, urlfilter
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 TAKEN = [
     "_rank", "_salt", "_before", "_lead", "_hash", "__key", "__hash", "__packed", "__rank", "__salt", "__times", "__nth", "__doc", "__keys", "__kept", "__id", "sequence_id", "offset", "piece", "length", "ids", "n_lines",
     "n_dropped", "cut", "spans", "kept", "text_hash", "fp", "component_id", "root", "host", "path", "rule", "verdict", "sniffed", "media", "copy", "epoch", "block", "place", "tokens", "n", "d", "keys", "group", "packed",
@@ -18,6 +20,7 @@ OPERATORS = {
     "lines": linededup.dedup_lines,
     "media": lambda d: media.inspect(d.withColumn("media", media.store(F.col("text")))),
     "tokens": lambda d: tokencount.count_tokens(d, ["a", "the", "▁the", "▁"]),
+    "token ids": lambda d: tokenids.read_ids(tokenids.write_ids(d, WORDS)),
     "quality": quality.judge,
     "good": quality.keep_good,
     "secrets": secrets.scan,
