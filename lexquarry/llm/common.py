@@ -48,3 +48,21 @@ def fresh(df: DataFrame, stem: str) -> str:
 def unclashed(df: DataFrame, name: str) -> str:
     """name itself, or a fresh name if df has a column of that name."""
     return fresh(df, name) if name.lower() in {c.lower() for c in df.columns} else name
+
+
+def word_bytes(digits: bool) -> bytes:
+    """A table for bytes.translate: ASCII letters (lower-cased), digits if asked for, and the bytes of all other characters
+    stay; the rest become spaces, so that split() gives the words."""
+    return bytes(ord(chr(b).lower()) if chr(b).isalpha() or b > 127 or digits and chr(b).isdigit() else 32 for b in range(128)) + bytes(range(128, 256))
+
+
+def stored_at(path: str):
+    """pyarrow's file system for a URI or a plain path, and the path in it: for files that tasks write in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_stored(path: str):
+    files, place = stored_at(path)
+    return files.open_input_file(place)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexquarry.llm import linededup, media, mixing, packing, quality, secrets, simhash, suffix, tokencount, tokenids, urlfilter
+from lexquarry.llm import divergence, lexical, linededup, media, mixing, packing, quality, secrets, simhash, suffix, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op1_temperature_mixing": mixing.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9,
     "op10_suffix_array_dedup": suffix.op10,
     "op11_token_ids": tokenids.op11,
+    "op12_lexical_search": lexical.op12,
+    "op13_source_divergence": divergence.op13,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op3_url_filters": urlfilter.SQL,
     "op4_line_dedup": linededup.SQL,
     "op8_secret_scans": secrets.SQL,
+    "op12_lexical_search": lexical.SQL,
+    "op13_source_divergence": divergence.SQL,
 }

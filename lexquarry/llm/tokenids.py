@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import materialize, shared_dir, table, text_or_empty
+from lexquarry.llm.common import materialize, open_stored, shared_dir, stored_at, table, text_or_empty
 
 MAGIC = b"LQTOKPF1"
 BLOCK = 1024
@@ -200,7 +200,7 @@ class FileReader:
     """One file by its index: documents, and any span of ids."""
 
     def __init__(self, path: str):
-        self.file = _place(path)[0].open_input_file(_place(path)[1])
+        self.file = open_stored(path)
         size = self.file.size()
         start, crc, magic = TAIL.unpack(self.file.read_at(TAIL.size, size - TAIL.size))
         footer = self.file.read_at(size - TAIL.size - start, start)
@@ -241,13 +241,6 @@ class FileReader:
             yield None if none else key, end - length, length, parts(end - length, end)
 
 
-def _place(path: str):
-    """pyarrow's file system for a URI or a plain path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes every document's ids, each ended by end_id, in ascending doc_id order, and returns the manifest: MANIFEST and
     `first`, how many ids stand in the files before.
@@ -262,7 +255,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str
         from pyspark import TaskContext
 
         part, words, end = TaskContext.get().partitionId(), encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        files, place = _place(folder)
+        files, place = stored_at(folder)
         writer, rows, name = None, [], ""
 
         def closed() -> tuple:
