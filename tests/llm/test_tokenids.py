@@ -31,7 +31,7 @@ def test_blocks_round_trip(n):
 def test_ids_are_those_of_whole_texts(spark):
     plain, words = Tokenizer.from_file(PATH), T.WordEncoder(PATH)
     rng = random.Random(3)
-    alphabet = [*"abzABZ019 .,;:!?'\"<|>#-_\n\t\x0b\x1c\x85\xa0 ", "é", "É", "é", "İ", "İ", "ſ", "Σ", "ß", "中", "👍🏽", "̸", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "½", "ﬁ", "‍", "한", "ᄒ", "ᅡ"]
+    alphabet = [*"abzABZ019 .,;:!?'\"<|>#-_\n\t\x0b\x1c\x85\xa0 ", "é", "É", "é", "İ", "İ", "ſ", "Σ", "ß", "中", "👍🏽", "̸", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "J\u030c", "H\u0331", "½", "ﬁ", "‍", "한", "ᄒ", "ᅡ"]
     odd = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(20_000)]
     odd += [c + mark + " " + mark + c for c in map(chr, [*range(1, 0x600), *range(0x1E00, 0x2100)]) for mark in "a.'5"]
     odd += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text")).collect()]
