@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ from lexquarry.llm.common import materialize, open_stored, shared_dir, stored_at
 
 LIMIT = 50
 #: Documents of a block, at most; clusters of a posting list, at most; numbers in a document's sketch.
-BLOCK, CLUSTERS, SKETCH = 128, 64, 32
+BLOCK, CLUSTERS, SKETCH = 256, 32, 32
 #: Postings of a shard, about; letters of the items of a batch, about.
-SHARD_POSTINGS, BATCH_LETTERS = 500_000, 4_000_000
+SHARD_POSTINGS, BATCH_LETTERS = 1_000_000, 4_000_000
 #: Blocks of an item that each shard scores to find a threshold.
 PROBED = 4
 #: The score's.
@@ -181,10 +182,11 @@ class Shard:
     def pack(self) -> bytes:
         arrays = {k: np.ascontiguousarray(v) for k, v in vars(self).items()}
         head = json.dumps({k: [v.dtype.str, len(v)] for k, v in arrays.items()}).encode()
-        return struct.pack("<I", len(head)) + head + b"".join(v.tobytes() for v in arrays.values())
+        return zstandard.compress(struct.pack("<I", len(head)) + head + b"".join(v.tobytes() for v in arrays.values()), 1)
 
     @classmethod
     def unpack(cls, data: bytes) -> Shard:
+        data = zstandard.decompress(data)
         at = 4 + struct.unpack_from("<I", data)[0]
         arrays = {}
         for name, (kind, n) in json.loads(data[4:at]).items():

@@ -64,7 +64,7 @@ def test_query_and_sql(spark, tmp_path):
     assert Counter(base.execute(L.SQL).fetchall()) == want
 
 
-@pytest.mark.parametrize("block", [4, 128])
+@pytest.mark.parametrize("block", [4, 256])
 def test_bounds_and_skipping(monkeypatch, block):
     """No document scores above a block that holds it, and a threshold leaves blocks out."""
     monkeypatch.setattr(L, "BLOCK", block)
