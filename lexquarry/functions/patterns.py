@@ -13,15 +13,21 @@ ORPHAN = rf"(?iu)^{WS}*{DIGIT}+{WS}+bis{WS}*$"
 ARTICLE = rf"(?iu)^{WS}*art(?:icle)?\.?{WS}*({DIGIT}+)(?:{WS}*[.-]?{WS}*(bis|ter|quater))?(?:{WS}*({DIGIT}+))?"
 INLINE = rf"(?iu)([.;:?!»\"]{WS}*)(art\.?{WS}*{DIGIT}+)"
 INLINE_START = rf"(?iu)^art\.?{WS}*{DIGIT}+"
-HEADING = rf"(?iu)^{WS}*(?:LIVRE|TITRE|CHAPITRE|SECTION|PREMIERE PARTIE|DEUXIEME PARTIE|TROISIEME PARTIE|QUATRIEME PARTIE)\b"
+HEADINGS = "LIVRE|TITRE|CHAPITRE|SECTION|PREMIERE PARTIE|DEUXIEME PARTIE|TROISIEME PARTIE|QUATRIEME PARTIE"
+HEADING = rf"(?iu)^{WS}*(?:{HEADINGS})\b"
 #: Eight words at most; possessive, so long texts fail after the ninth.
 FEW_WORDS = rf"^{WS}*+(?:[^{WS[1:-1]}]++{WS}++){{0,7}}+[^{WS[1:-1]}]*+{WS}*+$"
 BULLET = rf"^{WS}*(?:{DIGIT}+[°).-]|-{WS}|[a-zA-Z]\))"
 REFERENCE = rf"(?iu)\bart(?:icle)?\.?{WS}*([0-9]+(?:{WS}*(?:bis|ter|quater))?)\b"
 TOKEN = rf"[{LATIN}']+"
-CONSONANTS = "^[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{5,}$"
-ROMAN = "^[IVXLCDMivxlcdm]$"
-CLUSTER = rf"(?:\b[{LATIN}]{WS}+){{3,}}[{LATIN}]\b"
+CONSONANTS = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{5,}"
+ROMAN = "[IVXLCDMivxlcdm]"
+#: Tokens of consonants alone, and tokens of one letter that is no Roman number, found without taking tokens apart.
+VOWELLESS = rf"(?<![{LATIN}']){CONSONANTS}+(?![{LATIN}'])"
+SINGLE = rf"(?<![{LATIN}'])(?!{ROMAN})[{LATIN}'](?![{LATIN}'])"
+#: Four single letters or more, in a row. Each step looks on to the next letter and never comes back, so neither time nor
+#: the stack grows with a run more than in proportion.
+CLUSTER = rf"(?:\b[{LATIN}]{WS}++(?=[{LATIN}]\b)){{3,}}+[{LATIN}]\b"
 BAD = r"""[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.,;:!?()\[\]{}%/\-+'"°ªº€$£]"""
 #: Lines are compared in their normal form, which has no curly quotes or long dashes.
 EDITORIAL = ["CODE PENAL", "4eme Edition", "4ème Edition", "DEPOT LEGAL 3388 - 2004", "ISBN 9961 - 41 - 045 - 9", "Les Editions", "de l'O. N. T. E", "CO"]

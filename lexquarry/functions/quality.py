@@ -27,31 +27,31 @@ def rounded(x: Column, places: int) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
-def _matches(x: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+def _count(x: Column, pattern: str) -> Column:
+    return F.regexp_count(x, F.lit(pattern))
 
 
 def ocr_measures(text: Column) -> Column:
     """Struct: n (tokens), single, vowelless, cluster, bad (ratios)."""
-    words = _matches(text, P.TOKEN)
-    n = F.size(words)
+    n, clusters = _count(text, P.TOKEN), _count(text, P.CLUSTER)
+    single, hard = _count(text, P.SINGLE), _count(text, P.VOWELLESS)
     some = F.greatest(n, F.lit(1)).cast("double")
-    single = F.size(F.filter(words, lambda t: (F.length(t) == 1) & ~F.rlike(t, F.lit(P.ROMAN))))
-    hard = F.size(F.filter(words, lambda t: F.rlike(t, F.lit(P.CONSONANTS))))
-    clusters = F.size(_matches(text, P.CLUSTER))
     return F.struct(
         n.alias("n"),
         (single / some).alias("single"),
         (hard / some).alias("vowelless"),
         clusters.alias("clusters"),
         (clusters / F.greatest(some / 35.0, F.lit(1.0))).alias("cluster"),
-        (F.size(_matches(text, P.BAD)) / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
+        (_count(text, P.BAD) / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
     )
 
 
 def ocr_quality(text: Column) -> Column:
+    return ocr_score(ocr_measures(text), text)
+
+
+def ocr_score(m: Column, text: Column) -> Column:
     """Struct score, reasons. Texts without letters, and headings, are perfect; very short ones nearly so."""
-    m = ocr_measures(text)
     loss = 0.7 * m["single"] + 1.3 * m["cluster"] + 1.0 * m["vowelless"] + 1.4 * m["bad"]
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.least(F.lit(1.0), loss)))
     flags = zip(P.REASONS, (m["single"] > 0.22, m["cluster"] > 0.18, m["vowelless"] > 0.08, m["bad"] > 0.015), strict=True)

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from lexquarry.functions import patterns as P
 
 
+#: A whole run of white space. It is only looked at from its front, so a run that doesn't fit costs its length once.
+RUN = f"(?<!{P.WS}){P.WS}++"
+#: What normalize_spaces, and normalize_typography before it, have to change; most lines have none of it.
+UNEVEN = rf"[\t\xa0]|  |{P.WS}[,.;:!?)\]}}]|[(\[{{]{P.WS}|^{P.WS}|{P.WS}$"
+CURLY = rf"[‘’“”–—−…]|{P.WS}-{P.WS}"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{P.WS}+|{P.WS}+$", "")
+    return F.regexp_replace(x, f"^{P.WS}++|{RUN}$", "")
 
 
 def split_lines(text: Column) -> Column:
@@ -20,17 +27,20 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def _even(x: Column) -> Column:
+    x = F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), "[ \t]+", " ")
+    x = F.regexp_replace(x, f"{RUN}([,.;:!?])", "$1")
+    x = F.regexp_replace(x, rf"([(\[{{]){P.WS}++", "$1")
+    return strip(F.regexp_replace(x, rf"{RUN}([)\]}}])", "$1"))
+
+
 def normalize_spaces(x: Column) -> Column:
-    x = F.regexp_replace(F.translate(x, "\xa0", " "), "[ \t]+", " ")
-    x = F.regexp_replace(x, f"{P.WS}+([,.;:!?])", "$1")
-    x = F.regexp_replace(x, rf"([(\[{{]){P.WS}+", "$1")
-    return strip(F.regexp_replace(x, rf"{P.WS}+([)\]}}])", "$1"))
+    return F.when(F.rlike(x, F.lit(UNEVEN)), _even(x)).otherwise(x)
 
 
 def normalize_typography(x: Column) -> Column:
-    x = F.translate(x, "‘’“”–—−", "''\"\"---")
-    x = F.replace(x, F.lit("…"), F.lit("..."))
-    return normalize_spaces(F.regexp_replace(x, f"{P.WS}+-{P.WS}+", " - "))
+    plain = F.replace(F.translate(x, "‘’“”–—−", "''\"\"---"), F.lit("…"), F.lit("..."))
+    return F.when(F.rlike(x, F.lit(f"{UNEVEN}|{CURLY}")), _even(F.regexp_replace(plain, f"{RUN}-{P.WS}++", " - "))).otherwise(x)
 
 
 def canonical(x: Column) -> Column:
@@ -98,7 +108,7 @@ def preview(x: Column, n: int = 220) -> Column:
 
 
 def clip(x: Column, n: int = 900) -> Column:
-    return F.when(F.length(x) > n, F.concat(F.regexp_replace(F.substring(x, 1, n), f"{P.WS}+$", ""), F.lit("..."))).otherwise(x)
+    return F.when(F.length(x) > n, F.concat(F.regexp_replace(F.substring(x, 1, n), f"{RUN}$", ""), F.lit("..."))).otherwise(x)
 
 
 def drop_reason(line: Column, line_no: Column) -> Column:
@@ -112,11 +122,21 @@ def drop_reason(line: Column, line_no: Column) -> Column:
     )
 
 
+#: A text of at most MOST_WORDS words and at least LEAST_LETTERS letters, four in five of them capitals, is a heading.
+MOST_WORDS, LEAST_LETTERS = 8, 8
+
+
+def heading_counts(x: Column) -> tuple[Column, Column, Column]:
+    """Words, letters and capitals: what tells if a text without a heading's opening word is one."""
+    letters = F.regexp_replace(x, f"[^{P.LATIN}]", "")
+    upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]", ""))
+    return F.regexp_count(x, F.lit(f"[^{P.WS[1:-1]}]++")), F.length(letters), upper
+
+
 def is_heading(line: Column) -> Column:
     """A heading's opening word, or few words nearly all in capitals; the cheap test comes first."""
-    letters = F.regexp_replace(line, f"[^{P.LATIN}]", "")
-    upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]", ""))
-    shouted = F.rlike(line, F.lit(P.FEW_WORDS)) & (F.length(letters) >= 8) & (upper * 5 >= F.length(letters) * 4)
+    _, letters, upper = heading_counts(line)
+    shouted = F.rlike(line, F.lit(P.FEW_WORDS)) & (letters >= LEAST_LETTERS) & (upper * 5 >= letters * 4)
     return F.rlike(line, F.lit(P.HEADING)) | shouted
 
 
@@ -124,14 +144,18 @@ def starts_block(line: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.rlike(line, F.lit(p)) for p in (P.ARTICLE, P.HEADING, P.BULLET)))
 
 
-def merge(before: Column, line: Column) -> Column:
-    """A line joined to the text before it: hyphens at the end of a line and elisions close up."""
-    hyphen = F.endswith(before, F.lit("-")) & F.rlike(line, F.lit(r"^\p{Ll}"))
+def closes_up(before: Column, line: Column) -> Column:
+    """Whether a line goes on with a word that was cut at the hyphen before it."""
+    return F.endswith(before, F.lit("-")) & F.rlike(line, F.lit(r"^\p{Ll}"))
+
+
+def joined_to(line: Column, after: Column) -> Column:
+    """A line as it stands before the next one of its text: hyphens at the end of a line and elisions close up."""
     return (
-        F.when(before == "", line)
-        .when(hyphen, F.concat(F.regexp_replace(before, "-$", ""), line))
-        .when(F.endswith(before, F.lit("'")), F.concat(before, line))
-        .otherwise(F.concat(before, F.lit(" "), line))
+        F.when(after.isNull(), line)
+        .when(closes_up(line, after), F.regexp_replace(line, "-$", ""))
+        .when(F.endswith(line, F.lit("'")), line)
+        .otherwise(F.concat(line, F.lit(" ")))
     )
 
 

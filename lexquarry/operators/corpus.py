@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import patterns as P
 from lexquarry.functions import text as T
-from lexquarry.functions.quality import TierLimits, ocr_quality, rounded, tier, tier_reason
+from lexquarry.functions.quality import TierLimits, ocr_measures, ocr_score, rounded, tier, tier_reason
 from lexquarry.operators.numbering import numbered
+from lexquarry.operators.reflow import heading_cuts
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """Whole texts dealt by document: the one exchange that all windows over lines and blocks need, made while a document is
+    still one row. Work on lines alone does without."""
+    return docs.repartition("doc_id")
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -22,8 +29,14 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, line (typographically normal), reason (why it goes, else null)."""
-    normal = raw.withColumn("line", T.normalize_typography(F.col("line")))
-    return normal.withColumn("reason", T.drop_reason(F.col("line"), F.col("line_no")))
+    normal = made_once(raw.withColumnRenamed("line", "_line"), "line", T.normalize_typography(F.col("_line"))).drop("_line")
+    return made_once(normal, "reason", T.drop_reason(F.col("line"), F.col("line_no")))
+
+
+def made_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is made once a row: as the output of a generator it can't be copied into filters and into the
+    columns that are made of it, as Spark does with plain columns."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def clean_stats(cleaned: DataFrame) -> DataFrame:
@@ -35,26 +48,20 @@ def clean_stats(cleaned: DataFrame) -> DataFrame:
 def blocks(cleaned: DataFrame) -> DataFrame:
     """doc_id, block_idx, block: paragraphs rebuilt from lines.
 
-    Blank lines and lines that open a block cut a document into islands, by a window. Within an island a fold joins lines,
-    and cuts again after text that has become a heading; islands are short, so the fold is.
+    Blank lines and lines that open a block cut a document into islands; an island is cut again after text that has become
+    a heading, which a scan over the lines tells. What a line adds to its block depends on the next line alone.
     """
     line, order = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
     kept = cleaned.where(F.col("reason").isNull() | (F.col("reason") == "blank"))
-    cut = F.sum((F.col("reason").isNotNull() | T.starts_block(line)).cast("int")).over(order)
-    islands = kept.withColumn("island", cut).where(F.col("reason").isNull())
-    parts = islands.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
-
-    def step(acc: Column, part: Column) -> Column:
-        now, done, new = acc["now"], acc["done"], part["line"]
-        ends = (now != "") & T.is_heading(now)
-        return F.when(ends, F.struct(new.alias("now"), F.array_append(done, now).alias("done"))).otherwise(F.struct(T.merge(now, new).alias("now"), done.alias("done")))
-
-    def finish(acc: Column) -> Column:
-        return F.filter(F.transform(F.array_append(acc["done"], acc["now"]), T.normalize_spaces), lambda b: b != "")
-
-    built = parts.select("doc_id", "island", F.posexplode(F.aggregate("parts", start, step, finish)).alias("pos", "block"))
-    return renumber(built, "island", "pos")
+    opens = F.col("reason").isNotNull() | T.starts_block(line)
+    islands = kept.select("doc_id", "line_no", "line", "reason", F.sum(opens.cast("int")).over(order).alias("island"), F.row_number().over(order).alias("nth"))
+    told = islands.where(F.col("reason").isNull()).select("doc_id", "line_no", "line", "island", heading_cuts(F.col("nth"), F.col("island"), line).alias("cut"))
+    told = told.withColumn("part", F.struct("island", F.sum(F.col("cut").cast("int")).over(order).alias("nth")))
+    after = F.when(F.lead("part").over(order) == F.col("part"), F.lead("line").over(order))
+    pieces = told.select("doc_id", "part", "line_no", T.joined_to(line, after).alias("piece"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "")
+    built = pieces.groupBy("doc_id", "part").agg(whole.alias("block")).withColumn("block", T.normalize_spaces(F.col("block")))
+    return renumber(built.where("block <> ''"), "part")
 
 
 def renumber(rows: DataFrame, *order: str) -> DataFrame:
@@ -88,8 +95,8 @@ def duplicate_log(marked: DataFrame) -> DataFrame:
 
 
 def scored(unique: DataFrame) -> DataFrame:
-    q = ocr_quality(F.col("block"))
-    return unique.withColumn("q", q).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
+    measured = made_once(unique, "m", ocr_measures(F.col("block")))
+    return made_once(measured, "q", ocr_score(F.col("m"), F.col("block"))).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
 
 
 def suspicious(rows: DataFrame, limits: TierLimits = TierLimits()) -> DataFrame:

@@ -141,8 +141,8 @@ MARKED = f"""marked AS (
 uniq AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - 1 AS block_idx, block FROM marked WHERE block_idx = first_idx)"""
 _WORDS = f"regexp_extract_all(block, {lit(P.TOKEN)})"
 SCORED = f"""measured AS (
-  SELECT *, len(words) AS n, greatest(len(words), 1)::DOUBLE AS base, len(list_filter(words, lambda t: length(t) = 1 AND NOT regexp_matches(t, {lit(P.ROMAN)}))) AS single,
-    len(list_filter(words, lambda t: regexp_matches(t, {lit(P.CONSONANTS)}))) AS hard, len(regexp_extract_all(block, {CLUSTER})) AS clusters,
+  SELECT *, len(words) AS n, greatest(len(words), 1)::DOUBLE AS base, len(list_filter(words, lambda t: length(t) = 1 AND NOT regexp_matches(t, {lit(f"^{P.ROMAN}$")}))) AS single,
+    len(list_filter(words, lambda t: regexp_matches(t, {lit(f"^{P.CONSONANTS}$")}))) AS hard, len(regexp_extract_all(block, {CLUSTER})) AS clusters,
     len(regexp_extract_all(block, {lit(P.BAD)})) / greatest(length(block), 1)::DOUBLE AS bad
   FROM (SELECT *, {_WORDS} AS words FROM uniq)),
 rated AS (SELECT *, single / base AS r1, clusters / greatest(base / 35.0::DOUBLE, 1.0::DOUBLE) AS r2, hard / base AS r3, n = 0 OR {heading("block")} AS perfect FROM measured),

@@ -33,13 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cleaned(spark, d) -> DataFrame:
-    raw = C.lines(table(spark, d, "documents"))
+def _cleaned(spark, d, deal=lambda docs: docs) -> DataFrame:
+    raw = C.lines(deal(table(spark, d, "documents").select("doc_id", "text")))
     return C.clean(raw.select("doc_id", "line_no", F.expr(O.DECORATED).alias("line")))
 
 
+def _blocks(spark, d) -> DataFrame:
+    return C.blocks(_cleaned(spark, d, C.dealt))
+
+
 def _split(spark, d) -> DataFrame:
-    return C.split_articles(C.blocks(_cleaned(spark, d)))
+    return C.split_articles(_blocks(spark, d))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -68,7 +72,7 @@ def clean_stats(spark, d):
 
 @query(O.corpus(3, "SELECT doc_id, block_idx, block FROM blocks"))
 def block_reconstruct(spark, d):
-    return C.blocks(_cleaned(spark, d))
+    return _blocks(spark, d)
 
 
 @query(O.corpus(4, "SELECT doc_id, block_idx, block FROM split"))
@@ -144,9 +148,9 @@ def quality_report(spark, d):
     )
 )
 def corpus_report(spark, d):
-    cleaned = _cleaned(spark, d)
-    marked = C.mark_duplicates(C.split_articles(C.blocks(cleaned)))
-    rows = C.scored(C.unique_blocks(marked))
+    cleaned = materialize(_cleaned(spark, d, C.dealt), "cleaned")
+    marked = materialize(C.mark_duplicates(C.split_articles(C.blocks(cleaned))), "marked")
+    rows = materialize(C.scored(C.unique_blocks(marked)), "scored")
     one = cleaned.agg(F.count("*").alias("total_lines"), F.count("reason").alias("removed_lines"))
     one = one.join(marked.agg(F.count("*").alias("blocks_before"), F.count_if(F.col("block_idx") > F.col("first_idx")).alias("duplicates")))
     one = one.join(rows.agg(F.count("*").alias("blocks_after"), F.count_if(F.col("score") < 0.78).alias("suspicious")))
