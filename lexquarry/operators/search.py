@@ -78,16 +78,23 @@ def candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None
     vectors: query_id, ord, vector (absent pairs count 0)."""
     send = sender(parsed)
     trigram, lexical_ = trigram_scores(parsed, articles, send), lexical(parsed, articles, send)
-    told = articles.select("ord", "id", "article_number", "tier", "quality", T.plain_number(F.col("article_number")).alias("number"))
+    told = articles.select("ord", T.plain_number(F.col("article_number")).alias("number"))
     asked = send(parsed.select("query_id", "reference"))
-    cited = told.join(asked, F.col("number") == F.col("reference")).select("query_id", "ord", F.lit(1.0).alias("exact"))
+    cited = told.join(asked, F.col("number") == F.col("reference")).select("query_id", "ord")
     # A pair without any evidence scores 0, which no limit lets through, so only pairs with some are made.
     pairs = trigram.join(lexical_, ["query_id", "ord"], "full_outer").join(cited, ["query_id", "ord"], "full_outer")
     if vectors is not None:
         pairs = pairs.join(vectors, ["query_id", "ord"], "full_outer")
-    pairs = pairs.join(told, "ord").join(asked, "query_id")
-    vector = S.clamp01(F.coalesce(F.col("vector"), F.lit(0.0))) if vectors is not None else F.lit(0.0)
-    exact, grams = F.coalesce("exact", F.lit(0.0)), F.coalesce("trigram", F.lit(0.0))
+    return fused_pairs(pairs, parsed, articles, vectors is not None, send)
+
+
+def fused_pairs(pairs: DataFrame, parsed: DataFrame, articles: DataFrame, with_vectors: bool, send: Callable | None = None) -> DataFrame:
+    """All scores of pairs that have lexical and trigram, and vector if told so; null where there is nothing."""
+    send = send or sender(parsed)
+    told = articles.select("ord", "id", "article_number", "tier", "quality", T.plain_number(F.col("article_number")).alias("number"))
+    pairs = pairs.join(told, "ord").join(send(parsed.select("query_id", "reference")), "query_id")
+    vector = S.clamp01(F.coalesce(F.col("vector"), F.lit(0.0))) if with_vectors else F.lit(0.0)
+    exact, grams = F.when(F.col("number") == F.col("reference"), 1.0).otherwise(0.0), F.coalesce("trigram", F.lit(0.0))
     quality = F.coalesce(F.col("quality"), F.lit(0.0))
     lex = F.coalesce(F.col("lexical"), F.lit(0.0))
     total = S.fused(F.col("reference"), exact, lex, vector, grams, F.col("tier"), quality)

@@ -12,6 +12,7 @@ from lexquarry.operators import answer as A
 from lexquarry.operators import corpus as C
 from lexquarry.operators import search as S
 from lexquarry.operators import vectors as V
+from lexquarry.operators.topk import best_candidates
 from lexquarry.plans import oracles as O
 from lexquarry.sources.shared import materialize
 
@@ -190,12 +191,12 @@ def query_expand(spark, d):
 
 @query(O.search(2, f"SELECT query_id, ord, {O.round_to('lexical', 5)} AS lexical FROM lex"))
 def lexical_overlap(spark, d):
-    return S.lexical(_parsed(spark, d), _indexed(spark, d)).select("query_id", "ord", rounded(F.col("lexical"), 5).alias("lexical"))
+    return S.lexical(_parsed(spark, d), _indexed(spark, d).repartition("ord")).select("query_id", "ord", rounded(F.col("lexical"), 5).alias("lexical"))
 
 
 @query(O.search(3, f"SELECT query_id, ord, {O.round_to('trigram', 5)} AS trigram FROM tri WHERE trigram > 0"))
 def trigram_jaccard(spark, d):
-    return S.trigram_scores(_parsed(spark, d), _indexed(spark, d)).select("query_id", "ord", rounded(F.col("trigram"), 5).alias("trigram"))
+    return S.trigram_scores(_parsed(spark, d), _indexed(spark, d).repartition("ord")).select("query_id", "ord", rounded(F.col("trigram"), 5).alias("trigram"))
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -208,7 +209,7 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def _top(spark, d) -> DataFrame:
-    return S.top_by_tier(S.candidates(_parsed(spark, d), _indexed(spark, d), _vectors(spark, d)))
+    return S.top_by_tier(best_candidates(_parsed(spark, d), _indexed(spark, d).repartition("ord"), materialize(_vectors(spark, d), "vectors")))
 
 
 _CANDIDATE = "query_id, ord, id, article_number, tier, lexical, trigram, vector, exact, fused, rank"
