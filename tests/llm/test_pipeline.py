@@ -7,7 +7,8 @@ import corpus_pipeline
 import numpy as np
 from tokenizers import Tokenizer
 
-from lexquarry.llm import mixing, packing, quality, simhash
+from lexquarry.llm import mixing, packing, quality
+from tests.llm.test_shingles import brute
 
 
 def documents(rng):
@@ -15,6 +16,11 @@ def documents(rng):
     common = " ".join(rng.choices(words, k=12))
     texts = ["\n".join([common, *(" ".join(rng.choices(words, k=30)) for _ in range(4))] if i % 2 else [" ".join(rng.choices(words, k=80))]) for i in range(80)]
     texts += texts[:10] + [texts[1], "few words", None, ""]
+    for text in texts[20:32]:  # near copies: a word or two changed, or so many that they are none
+        changed = text.split(" ")
+        for _ in range(rng.choice([1, 1, 20])):
+            changed[rng.randrange(len(changed))] = rng.choice(words)
+        texts.append(" ".join(changed))
     return [(i, t, rng.choice(["en", "de", None]), "big" if rng.random() < 0.7 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
 
 
@@ -37,16 +43,18 @@ def test_stages(spark, tmp_path):
     lines = {i: "\n".join(x for x in text[i].split("\n") if last.get(x, i) == i) for i in good}
     assert {r["doc_id"]: r["text"] for r in seen["line dedup"]} == lines
     assert all(r["n_chars"] == len(r["text"]) for r in seen["line dedup"])
-    prints = {i: simhash.fingerprint(t, 5) for i, t in lines.items()}
-    kept, left = set(), set(lines)
+    sets = {i: brute(t) for i, t in lines.items()}
+    kept, left, near = set(), set(lines), 0
     while left:
         group, new = set(), {min(left)}
         while new:
             group |= new
-            new = {j for j in left - group if any((prints[i] ^ prints[j]).bit_count() <= 2 for i in new)}
+            new = {j for j in left - group if any(sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in new)}
+        near += len({lines[i] for i in group}) > 1
         kept.add(min(group))
         left -= group
     assert {r["doc_id"] for r in seen["near dedup"]} == kept < set(lines)
+    assert near >= 2
     mixed = Counter(r["doc_id"] for r in seen["mix sources"])
     want = mixing.mix_rows(mixing.sized(spark.createDataFrame(seen["near dedup"], docs.schema))).groupBy("doc_id").count().collect()
     assert mixed == {r["doc_id"]: r["count"] for r in want}
