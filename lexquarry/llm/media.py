@@ -74,41 +74,54 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
-def wav_parts(data: bytes, at: int = 0) -> tuple[int, tuple, int, int] | None:
-    """(length, format fields, start and size of the samples) of a whole wave file at this place."""
+def wav_parts(data: bytes, at: int = 0, marks: Marks | None = None) -> tuple[int, tuple, int, int] | None:
+    """(length, format fields, start and size of the samples) of a whole wave file at this place.
+
+    How a file's chunks go on, up to its end, does not depend on where it began: a walk stops where another with the same
+    end, that had met the same kinds, has failed.
+    """
     if data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
     if end > len(data):
         return None
     fmt = samples = None
+    dead, walked = marks.dead if marks else set(), []
     for name, start, size in _chunks(data, at + 12, end):
         if start + size > end:
+            dead.update(walked)
+            return None
+        walked.append(("wav", start, bool(fmt), bool(samples), end))
+        if walked[-1] in dead:
+            dead.update(walked)
             return None
         if name == b"fmt " and size >= 16:
             fmt = struct.unpack_from("<HHIIHH", data, start)
         if name == b"data":
             samples = start, size
     if not fmt or not samples or fmt[0] != 1 or not fmt[1] or fmt[4] != fmt[1] * fmt[5] // 8 or fmt[3] != fmt[2] * fmt[4]:
+        dead.update(walked)
         return None
     return end - at, fmt, *samples
 
 
 def _wav(data: bytes, at: int, marks: Marks) -> int | None:
-    found = wav_parts(data, at)
+    found = wav_parts(data, at, marks)
     return found and found[0]
 
 
 def _png(data: bytes, at: int, marks: Marks) -> int | None:
-    i, first = at + 8, True
-    while i + 12 <= len(data):
+    i, first, walked = at + 8, True, []
+    while i + 12 <= len(data) and ("png", i) not in marks.dead:
+        walked += [] if first else [("png", i)]
         size = int.from_bytes(data[i : i + 4], "big")
         kind, end = data[i + 4 : i + 8], i + 12 + size
-        if end > len(data) or first != (kind == b"IHDR") or zlib.crc32(data[i + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
-            return None
+        if end > len(data) or not kind.isalpha() or first != (kind == b"IHDR") or first and size != 13 or zlib.crc32(data[i + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+            break
         if kind == b"IEND":
             return end - at
         i, first = end, False
+    marks.dead.update(walked)
     return None
 
 
@@ -118,20 +131,27 @@ def _gif(data: bytes, at: int, marks: Marks) -> int | None:
 
     if at + 13 > len(data):
         return None
-    i, images = at + 13 + colours(data[at + 10]), 0
-    while i < len(data):
+    i, images, walked = at + 13 + colours(data[at + 10]), False, []
+    while i < len(data) and ("gif", i, images) not in marks.dead:
+        walked.append(("gif", i, images))
         if data[i] == 0x3B:
-            return i + 1 - at if images else None
+            if images:
+                return i + 1 - at
+            break
         if data[i] == 0x2C and i + 10 < len(data):
             i += 11 + colours(data[i + 9])
-            images += 1
+            images = True
         elif data[i] == 0x21:
             i += 2
         else:
-            return None
-        while i < len(data) and data[i]:
+            break
+        while i < len(data) and data[i] and ("gif part", i, images) not in marks.dead:
+            walked.append(("gif part", i, images))
             i += 1 + data[i]
+        if i < len(data) and data[i]:
+            break
         i += 1
+    marks.dead.update(walked)
     return None
 
 
@@ -183,26 +203,37 @@ def _zip(data: bytes, at: int, marks: Marks) -> int | None:
 
 
 def _flac(data: bytes, at: int, marks: Marks) -> int | None:
-    i = at + 4
-    while i + 4 <= len(data):
+    i, walked = at + 4, []
+    while i + 4 <= len(data) and ("flac", i) not in marks.dead:
+        walked += [("flac", i)] if i > at + 4 else []
         last, size = data[i], int.from_bytes(data[i + 1 : i + 4], "big")
         if i == at + 4 and (last & 127 or size != 34):
             return None
         i += 4 + size
         if last & 128:  # frames have no length of their own: they go on to the end
-            return len(data) - at if i + 2 <= len(data) and data[i] == 0xFF and data[i + 1] & 0xFC == 0xF8 else None
+            if i + 2 <= len(data) and data[i] == 0xFF and data[i + 1] & 0xFC == 0xF8:
+                return len(data) - at
+            break
+    marks.dead.update(walked)
     return None
 
 
 def _mp4(data: bytes, at: int, marks: Marks) -> int | None:
-    i, seen = at, set()
+    i, seen, walked = at, set(), []
     while i + 8 <= len(data):
+        if b"moov" not in seen:
+            if ("mp4", i) in marks.dead:
+                break
+            walked.append(("mp4", i))
         size, kind = int.from_bytes(data[i : i + 4], "big"), data[i + 4 : i + 8]
         if size < 8 or i + size > len(data) or not kind.isalnum():
             break
         seen.add(kind)
         i += size
-    return i - at if {b"ftyp", b"moov"} <= seen else None
+    if {b"ftyp", b"moov"} <= seen:
+        return i - at
+    marks.dead.update(walked)
+    return None
 
 
 VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf, "application/zip": _zip, "audio/flac": _flac, "video/mp4": _mp4}

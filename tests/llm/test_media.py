@@ -59,6 +59,27 @@ def test_time_is_linear():
             assert time.process_time() - began < 5, unit  # quadratic: minutes
 
 
+def test_time_is_linear_where_walks_go_far():
+    n = 600_000
+    chains = {
+        "mp4 boxes": b"\0\0\0\x08ftyp" * (n // 8),
+        "GIF sub-blocks": b"GIF89a\x01\0\x01\0\0\0\0!\xf9\x04abcd" * (n // 20),
+        "GIF images": b"GIF89a\x01\0\x01\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\1x" * (n // 26),
+        "nested RIFF": b"".join(b"RIFF" + struct.pack("<I", n - 12 * i - 8) + b"WAVE" for i in range(n // 12)),
+        "RIFF chunks": b"".join(b"RIFF" + struct.pack("<I", n - 12 * i - 8) + b"WAVE" for i in range(n // 24)) + b"junk\0\0\0\0" * (n // 16),
+        "FLAC blocks": (b"fLaC\0\0\0\x22" + b"x" * 34 + b"\1\0\0\0") * (n // 46),
+        "PNG chunks": (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"0" * 13) + chunk(b"tEXt", b"")) * (n // 45),
+    }
+    for name, data in chains.items():
+        began = time.process_time()
+        M.sniff(data)
+        assert time.process_time() - began < 5, name
+
+
+def chunk(kind, body):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
 def brute_feature(data):
     """Of a wave file of 8-bit samples, by the standard library, and by trying every place for every format."""
     with wave.open(io.BytesIO(data)) as w:
