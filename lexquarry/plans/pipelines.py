@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.config import EngineConfig
@@ -14,9 +15,10 @@ from lexquarry.operators import answer as A
 from lexquarry.operators import corpus as C
 from lexquarry.operators import search as S
 from lexquarry.operators import vectors as V
-from lexquarry.providers import EMBEDDERS, GENERATORS, draft_answers, embed_documents, embed_queries, make, rewrite_queries
+from lexquarry.operators.topk import best_candidates
+from lexquarry.providers import EMBEDDERS, GENERATORS, draft_answers, embed_queries, embed_stored, make, rewrite_queries
 from lexquarry.sources import files
-from lexquarry.sources.shared import materialize
+from lexquarry.sources.shared import in_one_step, materialize
 
 CLARIFY = "Je n'ai pas trouvé de disposition pertinente. Pouvez-vous préciser votre question ?"
 UNAVAILABLE = "Des dispositions pertinentes ont été trouvées, mais aucune réponse ne peut être rédigée pour le moment. Cause : "
@@ -38,7 +40,7 @@ class CorpusPipeline:
     config: EngineConfig = EngineConfig()
 
     def __post_init__(self):
-        self.cleaned = C.clean(C.lines(self.docs))
+        self.cleaned = C.clean(C.lines(C.dealt(self.docs)))
         self.marked = C.mark_duplicates(C.split_articles(C.blocks(self.cleaned))).persist()
         self.unique = C.unique_blocks(self.marked)
         self.scored = C.scored(self.unique)
@@ -55,11 +57,12 @@ class CorpusPipeline:
         return one.withColumn("notes", F.array(*map(F.lit, NOTES))).withColumn("input", F.lit(source)).withColumn("output", F.lit(path))
 
     def write(self, path: str, mode: str = "errorifexists", source: str = "") -> None:
-        files.write_records(self.articles, f"{path}/articles", mode)
-        files.write_text(self.unique, f"{path}/text", mode)
-        C.duplicate_log(self.marked).write.mode(mode).json(f"{path}/duplicates")
-        C.suspicious(self.scored, self.config.tiers).write.mode(mode).json(f"{path}/suspicious")
-        files.write_report(self.report(source, path), f"{path}/report", mode)
+        with in_one_step(self.docs.sparkSession, path, mode) as stage:
+            files.write_records(self.articles, f"{stage}/articles")
+            files.write_text(self.unique, f"{stage}/text")
+            C.duplicate_log(self.marked).write.json(f"{stage}/duplicates")
+            C.suspicious(self.scored, self.config.tiers).write.json(f"{stage}/suspicious")
+            files.write_report(self.report(source, path), f"{stage}/report")
 
     def release(self) -> None:
         """Let go of the blocks that are held for further writes."""
@@ -94,25 +97,59 @@ class HybridSearch:
         sought = materialize(rewrite_queries(queries.join(seen, "query_id"), self.config.generator).drop("reference"), "queries")
         parsed = S.parse_queries(sought)
         vectors, notes = self.vectors(sought.select("query_id", F.col("retrieval").alias("query")))
-        top = materialize(S.top_by_tier(S.candidates(parsed, self.articles, vectors), limits), "top")
+        top = materialize(S.top_by_tier(best_candidates(parsed, self.articles, vectors, limits), limits), "top")
         selected = materialize(S.merged(top, S.gates(parsed, top, limits), limits), "selected")
         return parsed, selected, S.outcome(parsed, selected, notes, self.warnings)
 
 
 class AnswerPipeline:
-    """Questions to answers with verified citations; keeps each conversation's last turns."""
+    """Questions to answers with verified citations; keeps each conversation's last turns.
 
-    def __init__(self, search: HybridSearch):
-        self.search, self.config, self.turns = search, search.config, []
+    Queries with a conv_id belong to conversations of their own: each prompt has its conversation's last turns. Turns are
+    kept in a table at memory, which a new pipeline goes on with. Without conv_id there is one conversation, in this object.
+    """
+
+    def __init__(self, search: HybridSearch, memory: str | None = None):
+        self.search, self.config, self.turns, self.memory = search, search.config, [], memory
         make(GENERATORS, self.config.generator)  # a name that is not known, or a service that can't be set up, fails here
 
+    def said(self) -> DataFrame:
+        """conv_id, turn, role, text of all conversations so far."""
+        spark, schema = self.search.articles.sparkSession, "conv_id string, turn long, role string, text string"
+        try:
+            return spark.read.schema(schema).parquet(self.memory)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    def converse(self, queries: DataFrame) -> DataFrame:
+        """As answers, of queries with a conv_id: with their conversations' turns, to which questions and answers are added.
+        Of several queries of a conversation, each has the turns before the batch; they are kept in order of query_id."""
+        if not self.memory:
+            raise ValueError("conversations need a memory: a folder for their turns")
+        said = materialize(self.said(), "turns")
+        last = A.history(said.join(queries.select(F.col("conv_id").cast("string")).distinct(), "conv_id", "left_semi"), self.config.history_prompt)
+        turn = F.struct("turn", "role", F.col("text").alias("content"))
+        recent = last.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+        own = queries.withColumn("conv_id", F.col("conv_id").cast("string"))
+        out = materialize(self.answers(own.join(recent, "conv_id", "left")), "answers")
+        ends = said.groupBy("conv_id").agg(F.max("turn").alias("end"))
+        place = F.coalesce("end", F.lit(0)) + 2 * F.row_number().over(Window.partitionBy("conv_id").orderBy("query_id"))
+        both = own.join(out.select("query_id", "answer"), "query_id").join(ends, "conv_id", "left").select("conv_id", place.alias("at"), "query", "answer")
+        each = F.explode(F.array(*(F.struct((F.col("at") + n).alias("turn"), F.lit(role).alias("role"), F.col(text).alias("text")) for n, role, text in ((-1, "user", "query"), (0, "assistant", "answer")))))
+        both.select("conv_id", each.alias("t")).select("conv_id", "t.*").write.mode("append").parquet(self.memory)
+        return out
+
     def answers(self, queries: DataFrame) -> DataFrame:
         """query_id, answer, cited (plain numbers), cited_articles, attached, tier_path, needs_clarification, confidence,
         warnings. A service that fails doesn't end the query: the answer says so, and the articles found are attached."""
         parsed, selected, outcome = self.search.ask(queries)
         blocks = A.context_blocks(selected, self.search.articles).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "context"))), lambda x: x["context"]), "\n\n").alias("context"))
-        history = self.turns[-self.config.history_prompt :]
-        drafts = draft_answers(parsed.join(blocks, "query_id", "left"), self.config.generator, history, self.config.temperature)
+        history, asked = self.turns[-self.config.history_prompt :], parsed.join(blocks, "query_id", "left")
+        if "turns" in queries.columns:
+            history, asked = None, asked.join(queries.select("query_id", "turns"), "query_id")
+        drafts = draft_answers(asked, self.config.generator, history, self.config.temperature)
         drafts = materialize(drafts.withColumn("draft", T.strip(F.col("draft"))), "drafts")
         text = F.when(F.col("failure").isNotNull(), F.concat(F.lit(UNAVAILABLE), "failure")).otherwise(F.col("draft"))
         cited = A.verify_citations(drafts.select("query_id", text.alias("draft")), selected)
@@ -133,7 +170,7 @@ class AnswerPipeline:
 
 
 def build_index(articles: DataFrame, config: EngineConfig, force: bool = False) -> None:
-    vectors = embed_documents(articles, config.embedder, config.dimension, config.embed_batch)
+    vectors = embed_stored(articles, config.embedder, config.model, config.dimension, f"{config.index}.embeddings", config.embed_batch)
     files.write_index(vectors, config.index, _settings(config), force)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -9,9 +10,12 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.sources.shared import materialize
+
 #: Waits of the retry schedule: FIRST_WAIT * 2 ** n seconds, and LIMITED_WAIT at least if the service says it is busy.
 ATTEMPTS, FIRST_WAIT, LIMITED_WAIT = 15, 0.75, 22.0
 
@@ -87,8 +91,17 @@ class ExtractiveGenerator:
         return " ".join(line for block in context.split("\n\n")[:2] for line in block.split("\n")[:2])
 
 
-EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"offline": HashEmbedder}
-GENERATORS: dict[str, Callable[[], Generator]] = {"offline": ExtractiveGenerator}
+def _http(kind: str) -> Callable:
+    def of(*args):
+        from lexquarry import clients
+
+        return getattr(clients, kind)(*args)
+
+    return of
+
+
+EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"offline": HashEmbedder, "http": _http("HttpEmbedder")}
+GENERATORS: dict[str, Callable[[], Generator]] = {"offline": ExtractiveGenerator, "http": _http("HttpChat")}
 
 
 def make(registry: dict[str, Callable], name: str, *args):
@@ -128,6 +141,32 @@ def embed_documents(articles: DataFrame, name: str, dimension: int, batch: int =
     return articles.withColumn("embedding", of(F.coalesce("text", F.lit(""))))
 
 
+def embed_stored(articles: DataFrame, name: str, model: str, dimension: int, store: str, batch: int = 40, commit_rows: int = 100_000) -> DataFrame:
+    """As embed_documents, from a store of embeddings by model, dimension and text hash: only texts that it lacks are sent,
+    each once, and about commit_rows at a time are written to it. A build that stops goes on from there when run again, and
+    a rebuild after changes pays for the changed texts alone."""
+    spark, hashed = articles.sparkSession, articles.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    schema = "service string, model string, dimension int, hash string, embedding array<float>"
+    mine = (F.col("service") == name) & (F.col("model") == model) & (F.col("dimension") == dimension)
+
+    def known() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(store).where(mine)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    lacking = hashed.select(F.col("_hash").alias("hash"), "text").dropDuplicates(["hash"]).join(known().select("hash"), "hash", "left_anti")
+    lacking = materialize(lacking, "lacking")
+    parts = -(-lacking.count() // max(1, commit_rows))
+    for part in range(parts):
+        own = embed_documents(lacking.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part), name, dimension, batch)
+        own.select(F.lit(name).alias("service"), F.lit(model).alias("model"), F.lit(dimension).alias("dimension"), "hash", "embedding").write.mode("append").parquet(store)
+    once = known().groupBy("hash").agg(F.first("embedding").alias("embedding"))  # two builds at a time may both have sent a text
+    return hashed.join(once.withColumnRenamed("hash", "_hash"), "_hash").drop("_hash")
+
+
 def _embedded(client: Embedder, texts: list[str], kind: str, dimension: int, attempts: int) -> list[list[float]]:
     got = with_retries(lambda: client.embed(texts, kind), attempts)
     if got.shape != (len(texts), dimension):
@@ -135,20 +174,42 @@ def _embedded(client: Embedder, texts: list[str], kind: str, dimension: int, att
     return got.tolist()
 
 
-def embed_queries(queries: DataFrame, name: str, dimension: int, attempts: int = ATTEMPTS) -> DataFrame:
-    """queries (with a column query) and an embedding for each; a blank one is the zero vector. Where the service fails,
-    the embedding is null and outage says why; wrong dimensions raise."""
+class Breaker:
+    """Lets a task wait for a dead service once: after a call has failed through all its attempts, each later one gets a
+    single attempt, until one succeeds."""
+
+    def __init__(self, attempts: int):
+        self.attempts, self.why = attempts, None
+
+    def call(self, of: Callable):
+        """(result, None), or (None, why there is none). What is wrong with a reply raises."""
+        try:
+            out = with_retries(of, 1 if self.why else self.attempts)
+        except RuntimeError as e:
+            self.why = str(e.__cause__ or e)
+            return None, self.why
+        self.why = None
+        return out, None
+
+
+def embed_queries(queries: DataFrame, name: str, dimension: int, attempts: int = ATTEMPTS, batch: int = 40) -> DataFrame:
+    """queries (with a column query) and an embedding for each; a blank one is the zero vector. Texts are sent a batch at a
+    time. Where the service fails, the embedding is null and outage says why, and the task doesn't wait again for the
+    batches after it; wrong dimensions raise."""
 
     @F.pandas_udf("embedding array<float>, outage string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client = make(EMBEDDERS, name, dimension)
+        client, breaker = make(EMBEDDERS, name, dimension), Breaker(attempts)
         for texts in batches:
-            rows = []
-            for text in texts:
-                try:
-                    rows.append((_embedded(client, [text], "query", dimension, attempts)[0] if text.strip() else [0.0] * dimension, None))
-                except RuntimeError as e:
-                    rows.append((None, str(e.__cause__ or e)))
+            rows = [([0.0] * dimension, None)] * len(texts)
+            told = [i for i, t in enumerate(texts) if t.strip()]
+            for at in range(0, len(told), max(1, batch)):
+                own = told[at : at + max(1, batch)]
+                got, why = breaker.call(lambda own=own: client.embed([texts.iloc[i] for i in own], "query"))
+                if got is not None and got.shape != (len(own), dimension):
+                    raise ValueError(f"{got.shape} embeddings for {len(own)} texts of dimension {dimension}")
+                for n, i in enumerate(own):
+                    rows[i] = (None if got is None else got[n].tolist(), why)
             yield pd.DataFrame(rows, columns=["embedding", "outage"])
 
     return queries.withColumn("_e", of(F.coalesce("query", F.lit("")))).select(*queries.columns, "_e.*")
@@ -163,10 +224,10 @@ def rewritten(generator: Generator, query: str, reference: str | None) -> str:
         return query
 
 
-def drafted(name: str, query: str, context: str, history: list[dict], temperature: float) -> tuple[str | None, str | None]:
-    """(draft, why there is none); neither without context."""
+def drafted(name: str, query: str, context: str, history: list[dict], temperature: float, registry: dict | None = None) -> tuple[str | None, str | None]:
+    """(draft, why there is none); neither without context. registry: the driver's, as a task's own lacks what was added there."""
     try:
-        return (make(GENERATORS, name).answer(query, context, history, temperature) if context else None), None
+        return (make(registry or GENERATORS, name).answer(query, context, history, temperature) if context else None), None
     except Exception as e:  # whatever the service raises: the answer says so
         return None, str(e) or type(e).__name__
 
@@ -183,12 +244,14 @@ def rewrite_queries(queries: DataFrame, name: str) -> DataFrame:
     return queries.withColumn("retrieval", of(F.coalesce("query", F.lit("")), "reference"))
 
 
-def draft_answers(asked: DataFrame, name: str, history: list[dict], temperature: float) -> DataFrame:
-    """query_id, draft and failure (why there is none) for asked: query_id, query, context. Without context: neither."""
+def draft_answers(asked: DataFrame, name: str, history: list[dict] | None, temperature: float) -> DataFrame:
+    """query_id, draft and failure (why there is none) for asked: query_id, query, context, and, where history is None,
+    turns: what was said before in the query's conversation (array of role, content). Without context: neither."""
+    turns = F.coalesce(F.to_json("turns"), F.lit("[]")) if history is None else F.lit(json.dumps(history))
 
     @F.pandas_udf("draft string, failure string")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for queries, contexts in batches:
-            yield pd.DataFrame([drafted(name, q, c, history, temperature) for q, c in zip(queries, contexts, strict=True)], columns=["draft", "failure"])
+    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for queries, contexts, said in batches:
+            yield pd.DataFrame([drafted(name, q, c, json.loads(h), temperature, GENERATORS) for q, c, h in zip(queries, contexts, said, strict=True)], columns=["draft", "failure"])
 
-    return asked.select("query_id", of("query", F.coalesce("context", F.lit(""))).alias("d")).select("query_id", "d.*")
+    return asked.select("query_id", of("query", F.coalesce("context", F.lit("")), turns).alias("d")).select("query_id", "d.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.operators import corpus as C
 from lexquarry.operators import vectors as V
+from lexquarry.sources.shared import in_one_step
 
 RECORD = (
     "doc_id long, article_ord long, id string, article_number string, hierarchy struct<livre:string,titre:string,chapitre:string,section:string>, ocr_quality_score double, "
@@ -49,13 +50,14 @@ def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> N
 def write_index(vectors: DataFrame, path: str, manifest: dict, force: bool = False) -> None:
     """Vectors with their meta rows, and a manifest with counts and fingerprints; an index that stands is kept without
     force. What was written is counted and measured before the manifest says that it is there."""
-    spark, mode = vectors.sparkSession, "overwrite" if force else "errorifexists"
-    V.index_meta(vectors).join(vectors.select("tier", "ord", "embedding"), ["tier", "ord"]).write.mode(mode).partitionBy("tier").parquet(f"{path}/vectors")
-    prints = V.chunked_fingerprints(vectors)
-    if problem := _misfit(spark.read.parquet(f"{path}/vectors"), prints, manifest["dimension"]):
-        raise ValueError(problem)
-    given = spark.createDataFrame([manifest]).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    prints.join(given).write.mode(mode).json(f"{path}/manifest")  # one row a tier
+    spark = vectors.sparkSession
+    with in_one_step(spark, path, "overwrite" if force else "errorifexists") as stage:
+        V.index_meta(vectors).join(vectors.select("tier", "ord", "embedding"), ["tier", "ord"]).write.partitionBy("tier").parquet(f"{stage}/vectors")
+        prints = V.chunked_fingerprints(vectors)
+        if problem := _misfit(spark.read.parquet(f"{stage}/vectors"), prints, manifest["dimension"]):
+            raise ValueError(problem)
+        given = spark.createDataFrame([manifest]).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        prints.join(given).write.json(f"{stage}/manifest")  # one row a tier
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
