@@ -4,7 +4,8 @@ Every LENGTH-byte string holds an anchor: the leftmost of its SEED-byte substrin
 different texts share is found first, from packed hashes alone; only the bytes around those go on. They are sharded by
 anchor, each shard's suffixes are sorted by induced sorting, and permuted common prefixes of LENGTH bytes join equal
 strings, each of which then knows the least document that holds it. An anchor that very many texts hold is spread over
-several shards, whose least holders are compared in one more sum. Texts are told apart by hashes of 128 bits.
+several shards, whose least holders are compared in one more sum. Exact copies are told apart by hashes of
+128 bits, owners of strings by 64 bits.
 """
 
 from __future__ import annotations
