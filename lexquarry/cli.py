@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from lexquarry.config import EngineConfig
 from lexquarry.functions.quality import TierLimits
-from lexquarry.plans.pipelines import AnswerPipeline, CorpusPipeline, build_index, load_search
+from lexquarry.plans.pipelines import AnswerPipeline, CorpusPipeline, build_index, load_search, refresh_index
 from lexquarry.sources import files
 
 LEAVE = {"exit", "quit"}
@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("--max-low-block-ratio", type=float, default=limits.low_ratio)
     prepare.add_argument("--critical-repeat-threshold", type=int, default=limits.critical)
     index = commands.add_parser("index", help="embed the corpus")
-    index.add_argument("--force", action="store_true")
+    index.add_argument("--force", action="store_true", help="build anew, whatever is there")
+    index.add_argument("--refresh", action="store_true", help="embed the chunks that have changed, keep the others")
     ask = commands.add_parser("ask", help="one question, or a session")
     ask.add_argument("--query")
     ask.add_argument("--allow-low-confidence", action="store_true")
@@ -49,12 +50,16 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lexquarry").getOrCreate()
     if args.command == "prepare":
         limits = TierLimits(args.tier_a_threshold, args.tier_c_threshold, args.max_low_block_ratio, args.critical_repeat_threshold, args.suspicious_threshold)
-        run = CorpusPipeline(files.read_texts(spark, args.input), replace(config, tiers=limits))
+        run = CorpusPipeline(files.read_lines(spark, args.input), replace(config, tiers=limits))
         run.write(args.output_dir, source=args.input)
         print(run.report(args.input, args.output_dir).toJSON().first())
         run.release()
     elif args.command == "index":
-        build_index(load_search(spark, replace(config, use_vectors=False))[0].articles, config, args.force)
+        articles = load_search(spark, replace(config, use_vectors=False))[0].articles
+        if args.refresh:
+            print(f"changed: {', '.join(f'{tier}/{chunk}' for tier, chunk in refresh_index(articles, config)) or 'nothing'}")
+        else:
+            build_index(articles, config, args.force)
     else:
         search, warnings = load_search(spark, replace(config, generator=args.provider or config.generator))
         for w in warnings:

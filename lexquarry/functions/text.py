@@ -21,9 +21,13 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{P.WS}++|{RUN}$", "")
 
 
+#: Every Unicode line break.
+BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+
+
 def split_lines(text: Column) -> Column:
     """Lines at every Unicode line break, without an empty last one; none for an empty text."""
-    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
+    parts = F.split(text, BREAKS, -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

@@ -34,13 +34,14 @@ NOTES = [
 
 @dataclass
 class CorpusPipeline:
-    """Documents (doc_id, text) to cleaned lines, blocks, scores and graded articles."""
+    """Documents (doc_id, text), or their lines (doc_id, line_no, line), to cleaned lines, blocks, scores, graded articles."""
 
     docs: DataFrame
     config: EngineConfig = EngineConfig()
 
     def __post_init__(self):
-        self.cleaned = C.clean(C.lines(C.dealt(self.docs)))
+        # Lines that come as such are cleaned where they are read, and dealt by document after that.
+        self.cleaned = C.dealt(C.clean(self.docs)) if "line_no" in self.docs.columns else C.clean(C.lines(C.dealt(self.docs)))
         self.marked = C.mark_duplicates(C.split_articles(C.blocks(self.cleaned))).persist()
         self.unique = C.unique_blocks(self.marked)
         self.scored = C.scored(self.unique)
@@ -85,8 +86,8 @@ class HybridSearch:
             return None, None
         asked = materialize(embed_queries(queries.select("query_id", "query"), self.config.embedder, self.config.dimension, self.config.embed_attempts), "query-vectors")
         metric, told = self.config.metric, self.articles.select("ord", "tier", "id")
-        raw = V.raw_scores(asked.where("embedding is not null"), self.index, metric).join(told, "ord")
-        best = V.scores_by_id(V.nearest(raw, self.config.search.vector_candidates, metric, ("query_id", "tier")), metric)
+        near = V.nearest(asked.where("embedding is not null"), self.index, self.config.search.vector_candidates, metric, "tier")
+        best = V.scores_by_id(near.join(told.select("ord", "id"), "ord"), metric)
         notes = asked.where("outage is not null").select("query_id", F.format_string(WARN_VECTORS, "outage").alias("note"))
         return told.join(best, ["tier", "id"]).select("query_id", "ord", "vector"), notes
 
@@ -174,6 +175,23 @@ def build_index(articles: DataFrame, config: EngineConfig, force: bool = False)
     files.write_index(vectors, config.index, _settings(config), force)
 
 
+def refresh_index(articles: DataFrame, config: EngineConfig) -> list[tuple[str, int]]:
+    """Bring a stored index up to its articles and return the (tier, chunk)s that were not the same: only articles of those
+    are embedded, all others keep their stored vectors. An index that was built with other settings raises."""
+    spark = articles.sparkSession
+    vectors, manifest = files.read_index(spark, config.index)
+    if not files.same_settings(manifest, _settings(config)):
+        raise ValueError("the index was built with other settings; it has to be built anew")
+    chunk = V.chunk_of(F.col("ord")).alias("chunk")
+    changed = materialize(V.changed_chunks(files.read_chunks(spark, config.index), V.chunk_digests(articles)), "changed-chunks")
+    dealt = articles.select("*", chunk)
+    kept = dealt.join(changed, ["tier", "chunk"], "left_anti").drop("chunk").join(vectors.select("tier", "ord", "embedding"), ["tier", "ord"])
+    touched = dealt.join(changed, ["tier", "chunk"], "left_semi").drop("chunk")
+    fresh = embed_stored(touched, config.embedder, config.model, config.dimension, f"{config.index}.embeddings", config.embed_batch)
+    files.write_index(kept.unionByName(fresh), config.index, _settings(config), True)
+    return sorted((r["tier"], r["chunk"]) for r in changed.limit(files.NAMED).collect())
+
+
 def _settings(config: EngineConfig) -> dict:
     return {"provider": config.embedder, "model": config.model, "dimension": config.dimension, "metric": config.metric}
 
@@ -191,11 +209,11 @@ def load_search(spark: SparkSession, config: EngineConfig) -> tuple[HybridSearch
     for attempt in range(2):
         try:
             vectors, manifest = files.read_index(spark, config.index)
-            problem = files.index_problem(vectors, manifest, articles, expected)
+            problem = files.index_problem(vectors, manifest, files.read_chunks(spark, config.index), articles, expected)
         except Exception as e:
             vectors, problem = None, f"no index could be read ({type(e).__name__})"
         if problem is None:
-            return HybridSearch(articles, config, vectors.select("ord", "embedding")), []
+            return HybridSearch(articles, config, vectors.select("ord", "tier", "embedding")), []
         if attempt or not config.auto_build:
             break
         try:

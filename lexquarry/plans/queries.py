@@ -203,8 +203,9 @@ def _vectors(spark, d) -> DataFrame:
     held, articles = table(spark, d, "embeddings"), _indexed(spark, d).select("ord", "tier", "id")
     asked = _view(spark, d, "benchmark", O.ASKED)
     queries = held.join(asked, F.col("vec_id") == F.col("vec")).select("query_id", "embedding")
-    raw = V.raw_scores(queries, held.withColumnRenamed("vec_id", "ord")).join(articles, "ord")
-    best = V.scores_by_id(V.nearest(raw, S.SearchLimits().vector_candidates, by=("query_id", "tier")))
+    graded = held.withColumnRenamed("vec_id", "ord").join(articles.select("ord", "tier"), "ord")
+    near = V.nearest(queries, graded, S.SearchLimits().vector_candidates, part="tier")
+    best = V.scores_by_id(near.join(articles.select("ord", "id"), "ord"))
     return articles.join(best, ["tier", "id"]).select("query_id", "ord", "vector")
 
 
@@ -317,7 +318,7 @@ def context_blocks(spark, d):
 def _nearest(spark, d, metric: str) -> DataFrame:
     held = table(spark, d, "embeddings").withColumnRenamed("vec_id", "ord")
     queries = held.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), "embedding")
-    return V.nearest(V.raw_scores(queries, held, metric), 20, metric)
+    return V.nearest(queries, held, 20, metric)
 
 
 def _knn_sql(raw: str, order: str, vector: str) -> str:

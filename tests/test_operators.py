@@ -116,8 +116,8 @@ def test_citations_of_a_draft(spark):
 def test_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0, 0.0])], "ord long, embedding array<float>")
     asked = rows.where("ord = 0").withColumnRenamed("ord", "query_id")
-    assert [(r["ord"], r["raw"]) for r in V.nearest(V.raw_scores(asked, rows), 5).orderBy("rank").collect()] == [(0, 1.0), (2, 1.0), (1, 0.0)]
-    assert [(r["ord"], r["raw"]) for r in V.nearest(V.raw_scores(asked, rows, "l2"), 2, "l2").orderBy("rank").collect()] == [(0, 0.0), (1, 1.0)]
+    assert [(r["ord"], r["raw"]) for r in V.nearest(asked, rows, 5).orderBy("rank").collect()] == [(0, 1.0), (2, 1.0), (1, 0.0)]
+    assert [(r["ord"], r["raw"]) for r in V.nearest(asked, rows, 2, "l2").orderBy("rank").collect()] == [(0, 0.0), (1, 1.0)]
 
 
 def test_history(spark):

@@ -1,12 +1,18 @@
 import json
+import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry import cli, providers
 from lexquarry.config import EngineConfig
+from lexquarry.operators import corpus as C
+from lexquarry.operators import vectors as V
 from lexquarry.plans import pipelines
-from lexquarry.plans.pipelines import CLARIFY, AnswerPipeline, CorpusPipeline, HybridSearch, build_index, load_search
+from lexquarry.plans.pipelines import CLARIFY, AnswerPipeline, CorpusPipeline, HybridSearch, _settings, build_index, load_search, refresh_index
+from lexquarry.providers import embed_stored
+from lexquarry.sources import files
 from lexquarry.streaming.clean import cleaned_stream, write_cleaned
 
 TEXT = """CODE PENAL
@@ -84,6 +90,60 @@ def test_index_that_lost_rows(spark, stored, tmp_path):
     assert load_search(spark, other)[0].warnings
 
 
+def test_refresh_embeds_changed_chunks_alone(spark, stored, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "DIGEST_ROWS", 4)
+    config = replace(stored[2], index=f"{tmp_path}/index")
+    articles = load_search(spark, replace(config, use_vectors=False))[0].articles
+    build_index(articles, config)
+    assert refresh_index(articles, config) == []
+    changed = articles.withColumn("text", F.when(F.col("ord") == 6, "Art. 3 - autre texte").otherwise(F.col("text")))
+    vectors, manifest = files.read_index(spark, config.index)
+    problem = files.index_problem(vectors, manifest, files.read_chunks(spark, config.index), changed, _settings(config))
+    assert problem == "the corpus has changed in chunks A/1"
+    sent = []
+
+    def counted(rows, *rest):
+        sent.append(sorted(r["ord"] for r in rows.collect()))
+        return embed_stored(rows, *rest)
+
+    monkeypatch.setattr(pipelines, "embed_stored", counted)
+    before = {r["ord"]: r["embedding"] for r in vectors.collect()}
+    assert refresh_index(changed.where("ord <> 47"), config) == [("A", 1), ("A", 11)]
+    first = changed.agg(F.min("ord")).first()[0]
+    assert first == 1 and sent == [[4, 5, 6, 7, 44, 45, 46]]
+    after = {r["ord"]: r["embedding"] for r in files.read_index(spark, config.index)[0].collect()}
+    assert set(before) - set(after) == {47} and {o for o, v in after.items() if v != before[o]} == {6}
+    assert files.index_problem(*files.read_index(spark, config.index), files.read_chunks(spark, config.index), changed.where("ord <> 47"), _settings(config)) is None
+    with pytest.raises(ValueError, match="settings"):
+        refresh_index(changed, replace(config, model="another"))
+
+
+@pytest.mark.parametrize("size", ["900", "128m"])
+def test_lines_of_files_read_in_parts(spark, tmp_path, size):
+    rng = random.Random(3)
+    pieces = ["a", "Art. 1 - é", "", "x" * 70, "\n", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\x1c"]
+    texts = ["", "\n", "a", "a\n", "a\x0b", "a\r", "a\r\n", "\n\n", "\x0c", "a\x0b\n", "\r\r\n"] + ["".join(rng.choices(pieces, k=rng.randint(1, 300))) for _ in range(20)]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = files.read_lines(spark, f"{tmp_path}/*.txt")
+        want = C.lines(files.read_texts(spark, f"{tmp_path}/*.txt"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        if size == "900":
+            assert spark.read.option("lineSep", "\n").text(f"{tmp_path}/*.txt").select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 40
+            (tmp_path / "mark.txt").write_bytes("\ufeffa\x0b".encode())
+            assert [tuple(r)[1:] for r in files.read_lines(spark, f"{tmp_path}/mark.txt").collect()] == [(1, "a")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pipeline_of_lines(spark, stored, tmp_path):
+    (tmp_path / "a.txt").write_text(TEXT)
+    whole, parts = (CorpusPipeline(read(spark, str(tmp_path))) for read in (files.read_texts, files.read_lines))
+    assert sorted(map(repr, whole.articles.collect())) == sorted(map(repr, parts.articles.collect())) and parts.articles.count() == 5
+
+
 @pytest.fixture
 def services(tmp_path):
     """Services that fail, or write down what they are asked."""
