@@ -4,8 +4,8 @@ Every LENGTH-byte string holds an anchor: the leftmost of its SEED-byte substrin
 different texts share is found first, from packed hashes alone; only the bytes around those go on. They are sharded by
 anchor, each shard's suffixes are sorted by induced sorting, and permuted common prefixes of LENGTH bytes join equal
 strings, each of which then knows the least document that holds it. An anchor that very many texts hold is spread over
-several shards, whose least holders are compared in one more sum. Exact copies are told apart by hashes of
-128 bits, owners of strings by 64 bits.
+several shards, whose least holders are compared in one more sum. A text that repeats itself (a run of one byte, a short
+period) has equal contexts close to each other, which go as one. Texts are told apart by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ PIECE = 1 << 17
 PLACE_BITS = np.uint64(20)
 #: Symbols that are compared at once.
 WORD = 7
+#: Contexts that are cut out, packed or compared at once.
+STEP = 20_000
 
 #: Odd multipliers of the hashes (any will do).
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -72,13 +74,13 @@ class Anchored:
     owner: np.ndarray
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED) -> Anchored:
-    """Runs of all windows of length bytes in the texts that stand in data one after the other and stop at ends."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED) -> Iterator[Anchored]:
+    """Runs of all windows of length bytes in the texts that stand in data one after the other and stop at ends, for PIECE
+    windows at a time."""
     data, width = np.ascontiguousarray(data), length - seed + 1
     whole = np.ones(len(data), bool)  # windows that don't reach into the next text
     across = (ends[:, None] - np.arange(1, length)).ravel()
     whole[across[across >= np.repeat(np.concatenate([[0], ends[:-1]]), length - 1)]] = False
-    parts: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(data) - length + 1, PIECE):
         part = data[at : at + PIECE + length - 1]
         h = seed_hashes(part, seed)
@@ -95,12 +97,29 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int
         last[:-1] &= (low[1:] != low[:-1]) | ~own[1:]
         begin = np.flatnonzero(first)
         place = (low[begin] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        parts.append((begin + at, np.flatnonzero(last) - begin + length, place + at, h[place]))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Anchored(none, none, none, none.astype(np.uint64), none)
-    begin, size, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Anchored(begin, size, place, h, np.searchsorted(ends, begin, "right"))
+        if len(begin):
+            yield Anchored(begin + at, np.flatnonzero(last) - begin + length, place + at, h[place], np.searchsorted(ends, begin + at, "right"))
+
+
+def repeated(data: np.ndarray, found: Anchored, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, reach): which contexts to keep, and how far behind each its last equal one starts. Those between are equal to
+    it too, with the same anchor of the same text, and none is more than length bytes behind the one before: whatever string
+    of length bytes goes in one goes in all, and what goes has no gaps."""
+    order = np.lexsort((found.start, found.hash, found.owner))
+    start, size, lead = found.start[order], found.size[order], (found.place - found.start)[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (found.owner[order[1:]] == found.owner[order[:-1]]) & (found.hash[order[1:]] == found.hash[order[:-1]])
+    same[1:] &= (size[1:] == size[:-1]) & (lead[1:] == lead[:-1]) & (start[1:] - start[:-1] <= length)
+    like = np.flatnonzero(same)
+    for at in range(0, len(like), STEP):
+        i = like[at : at + STEP]
+        upto = np.cumsum(size[i])
+        inside = np.arange(upto[-1]) - np.repeat(upto - size[i], size[i])
+        equal = data[np.repeat(start[i], size[i]) + inside] == data[np.repeat(start[i - 1], size[i]) + inside]
+        same[i] = np.logical_and.reduceat(equal, upto - size[i])
+    first = np.flatnonzero(~same)
+    last = np.append(first[1:], len(order)) - 1
+    return order[first], start[last] - start[first]
 
 
 def _runs(where: np.ndarray, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -271,6 +290,14 @@ def text_groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
+def once(found: Anchored) -> np.ndarray:
+    """Where each anchor of a text is met first, in the order given."""
+    order = np.lexsort((found.hash, found.owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (found.hash[order[1:]] != found.hash[order[:-1]]) | (found.owner[order[1:]] != found.owner[order[:-1]])
+    return np.sort(order[new])
+
+
 TOLD = "text long, anchor long, salts int"
 
 
@@ -284,8 +311,12 @@ def asked_anchors(docs: DataFrame, buckets: int, length: int, seed: int) -> Data
             bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             data, ids = np.frombuffer(values or b"", np.uint8), batch.column(1).to_numpy()
             for a, b in text_groups(np.diff(bounds), GROUP_BYTES):
-                found = anchors(data[bounds[a] : bounds[b]], bounds[a + 1 : b + 1] - bounds[a], length, seed)
-                rows = list(sharing.pack(found.hash.view(np.int64), ids[a:b][found.owner], buckets))
+                # A text's anchor once a piece: many of a text that repeats itself.
+                parts = [(f.hash[one], f.owner[one]) for f in anchors(data[bounds[a] : bounds[b]], bounds[a + 1 : b + 1] - bounds[a], length, seed) for one in (once(f),)]
+                if not parts:
+                    continue
+                hashes, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+                rows = list(sharing.pack(hashes.view(np.int64), ids[a:b][owner], buckets))
                 if rows:
                     yield batch_of(sharing.ASKED, zip(*rows, strict=True))
 
@@ -305,9 +336,10 @@ def shared_anchors(docs: DataFrame, buckets: int, length: int = LENGTH, seed: in
     return asked_anchors(docs, buckets, length, seed).groupBy("bucket").applyInPandas(settle, TOLD)
 
 
-#: A group's contexts for one shard: document, text hash, start in the text, size, anchor's place, salts, and the bytes.
+#: A group's contexts for one shard: document, text hash, start in the text, how far behind it an equal one starts, size,
+#: anchor's place, salts, and the bytes.
 CONTEXTS = "shard int, n int, packed binary"
-_FIELDS = (("doc_id", "<i8"), ("t1", "<i8"), ("start", "<i4"), ("size", "u1"), ("lead", "u1"), ("split", "u1"))
+_FIELDS = (("doc_id", "<i8"), ("t1", "<i8"), ("start", "<i4"), ("reach", "<i4"), ("size", "u1"), ("lead", "u1"), ("split", "u1"))
 
 
 def contexts(texts: DataFrame, shards: int, length: int, seed: int) -> DataFrame:
@@ -324,27 +356,33 @@ def contexts(texts: DataFrame, shards: int, length: int, seed: int) -> DataFrame
             for a, b in text_groups(sizes, GROUP_BYTES):
                 data = np.frombuffer(b"".join(unpack.decompress(packed[i].as_py()) for i in range(a, b)), np.uint8)
                 ends = np.cumsum(sizes[a:b])
-                at = anchors(data, ends, length, seed)
                 asked = keyed(anchor[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])))
                 order = np.argsort(asked)
-                asked, many = asked[order], salts[bounds[a] : bounds[b]][order]
-                own = keyed(at.hash.view(np.int64), at.owner)
-                where = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
-                hit = np.flatnonzero(asked[where] == own)
-                if not len(hit):
+                asked, many = asked[order], salts[bounds[a] : bounds[b]][order].astype(np.int64)
+                hits = []
+                for at in anchors(data, ends, length, seed):
+                    own = keyed(at.hash.view(np.int64), at.owner)
+                    where = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
+                    hit = np.flatnonzero(asked[where] == own)
+                    if len(hit):
+                        at, n = Anchored(at.start[hit], at.size[hit], at.place[hit], at.hash[hit], at.owner[hit]), many[where[hit]]
+                        one, reach = repeated(data, at, length)
+                        hits.append((at.start[one], at.size[one], at.place[one], at.hash[one], at.owner[one], n[one], reach))
+                if not hits:
                     continue
-                n, text, start, size = many[where[hit]].astype(np.int64), ids[a:b][at.owner[hit]], at.start[hit], at.size[hit]
+                start, size, place, hashes, owner, n, reach = (np.concatenate(x) for x in zip(*hits, strict=True))
+                text = ids[a:b][owner]
                 salt = np.where(n > 1, (text.view(np.uint64) % n.astype(np.uint64)).astype(np.int64), 0)
-                shard = (mixed(at.hash[hit] + salt.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
-                fields = (doc_ids[a:b][at.owner[hit]], text, start - (ends - sizes[a:b])[at.owner[hit]], size, at.place[hit] - start, n > 1)
+                shard = (mixed(hashes + salt.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                fields = (doc_ids[a:b][owner], text, start - (ends - sizes[a:b])[owner], reach, size, place - start, n > 1)
                 yield from rows(shard, fields, data, start, size)
 
     def rows(shard, fields, data, start, size) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(shard, kind="stable")
+        order = np.lexsort((start, shard))
         shard, start, size = shard[order], start[order], size[order]
         fields = [f[order] for f in fields]
         pack, out = zstandard.ZstdCompressor(1), ([], [], [])
-        for x, y in runs(shard):
+        for x, y in ((at, min(at + STEP, y)) for x, y in runs(shard) for at in range(x, y, STEP)):
             upto = np.cumsum(size[x:y])
             body = data[np.repeat(start[x:y] - upto + size[x:y], size[x:y]) + np.arange(upto[-1])]
             blob = b"".join([*(to_bytes(f[x:y], k) for f, (_, k) in zip(fields, _FIELDS, strict=True)), body.tobytes()])
@@ -400,17 +438,18 @@ def shard_spans(pdf: pd.DataFrame, length: int, seed: int) -> pd.DataFrame:
     least = dict(zip(several.tolist(), least_holders([distinct[i] for i in several], holders[several], length) if len(several) else [], strict=True))
     own = f["doc_id"] == holders[which]
     rest = np.flatnonzero(~own)  # equal contexts in larger documents go as a whole
-    out = [(f["doc_id"][rest], f["t1"][rest], f["start"][rest], f["start"][rest] + f["size"][rest], f["doc_id"][rest], f["t1"][rest], np.ones(len(rest), bool))]
+    out = [(f["doc_id"][rest], f["t1"][rest], f["start"][rest], f["start"][rest] + f["reach"][rest] + f["size"][rest], f["doc_id"][rest], f["t1"][rest], np.ones(len(rest), bool))]
     lasting: list[tuple] = []
     for e in np.flatnonzero(own).tolist():
         i, doc_id, t1, start = which[e], int(f["doc_id"][e]), int(f["t1"][e]), int(f["start"][e])
+        end = start + int(f["reach"][e])
         gone = least[i] < doc_id if i in least else np.zeros(len(distinct[i]) - length + 1, bool)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-        lasting += [(doc_id, t1, start + a, start + b + length - 1, doc_id, t1, True) for a, b in edges.reshape(-1, 2).tolist()]
+        lasting += [(doc_id, t1, start + a, end + b + length - 1, doc_id, t1, True) for a, b in edges.reshape(-1, 2).tolist()]
         if f["split"][e]:  # other shards have texts with this anchor
             for j in np.flatnonzero(~gone).tolist():
                 d = xxhash.xxh128_digest(distinct[i][j : j + length])
-                lasting.append((doc_id, t1, start + j, start + j + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), False))
+                lasting.append((doc_id, t1, start + j, end + j + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), False))
     if lasting:
         out.append(tuple(np.array(x) for x in zip(*lasting, strict=True)))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -444,7 +483,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     ids = materialize(own.select("doc_id", *text_key(F.col("text")), F.octet_length("text").alias("size")).distinct(), "texts")
     leads = ids.groupBy("t1", "t2").agg(F.min("doc_id").alias("lead"))
     size = ids.agg(F.sum("size")).first()[0] or 0
-    told = materialize(shared_anchors(own.select("text", F.xxhash64("text").alias("t1")), -(-size // BUCKET_TEXT) or 1, length, seed), "shared-anchors")
+    # Where t1 is the same for different texts, t2 tells them apart as owners of anchors.
+    twice = materialize(leads.groupBy("t1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t1").alias("again")), "equal-hashes")
+    leads = leads.join(twice, leads["t1"] == twice["again"], "left").select("t1", "t2", "lead", F.when(F.col("again").isNotNull(), F.col("t2")).otherwise(F.col("t1")).alias("owner"))
+    owned = own.select("text", *text_key(F.col("text")))
+    owned = owned.join(twice, owned["t1"] == twice["again"], "left").select("text", F.when(F.col("again").isNotNull(), F.col("t2")).otherwise(F.col("t1")).alias("t1"))
+    told = materialize(shared_anchors(owned, -(-size // BUCKET_TEXT) or 1, length, seed), "shared-anchors")
     # Written by itself, so that Spark knows its size when it chooses the join.
     spread = materialize(told.where("salts > 0").select("anchor", F.col("salts").alias("many")).coalesce(1), "salts")
     dealt = told.where("salts = 0").join(spread, "anchor", "left").select("text", F.struct("anchor", F.coalesce("many", F.lit(1)).alias("salts")).alias("one"))
@@ -454,9 +498,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     name = {c: fresh(docs, c) for c in ("key", "hash", "packed")}
     text, missing = text_or_empty(), F.col("doc_id").isNull()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(name["key"])
-    hashed = F.when(missing, F.xxhash64(F.lit("none"), text)).otherwise(F.xxhash64(text)).alias(name["hash"])
+    hashed = F.when(missing, F.xxhash64(F.lit("none"), text)).otherwise(text_key(text)[0]).alias(name["hash"])
     base = docs.select("*", key, hashed, shrunk(text).alias(name["packed"]))
-    wanted = leads.join(found, leads["t1"] == found["text"]).select("lead", "t1", "found")
+    wanted = leads.join(found, leads["owner"] == found["text"]).select("lead", "t1", "found")
     texts = base.join(wanted, (F.col(name["key"]) == wanted["lead"]) & (F.col(name["hash"]) == wanted["t1"]))
     # The same columns of base as in the last join, where only doc_id is asked for, so that one exchange serves both.
     texts = texts.select(base["doc_id"].cast("long").alias("doc_id"), wanted["t1"], base[name["packed"]].alias("packed"), wanted["found"])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.llm import suffix as S
 
@@ -33,8 +34,9 @@ def test_anchors_cover_every_window(monkeypatch):
     by_string = {}
     for piece in (S.PIECE, 100):
         monkeypatch.setattr(S, "PIECE", piece)
-        found, seen = S.anchors(data, ends), set()
-        for start, size, place, h, owner in zip(found.start.tolist(), found.size.tolist(), found.place.tolist(), found.hash.tolist(), found.owner.tolist(), strict=True):
+        seen = set()
+        parts = [(f.start, f.size, f.place, f.hash, f.owner) for f in S.anchors(data, ends)]
+        for start, size, place, h, owner in zip(*(np.concatenate(x).tolist() for x in zip(*parts, strict=True)), strict=True):
             for w in range(start, start + size - 49):
                 assert w not in seen and ends[owner] - len(texts[owner]) <= w <= ends[owner] - 50
                 assert w <= place <= w + 50 - S.SEED
@@ -98,5 +100,38 @@ def test_against_brute_force(spark, monkeypatch, salt_texts):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_equal_first_hashes(spark, monkeypatch):
+    second = S.text_key
+    monkeypatch.setattr(S, "text_key", lambda text: [F.pmod(F.xxhash64(text), F.lit(3)).alias("t1"), second(text)[1]])
+    rows = list({i: (i, t) for i, t in corpus(random.Random(4)) if i is not None}.values())
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["cut"]["n_bytes"], r["cut"]["n_removed"], r["cut"]["n_spans"], hashlib.sha256(r["cut"]["kept"]).hexdigest()) for r in out.collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
+@pytest.mark.parametrize("salt_texts", [20_000, 1])
+def test_texts_that_repeat_themselves(spark, monkeypatch, salt_texts):
+    monkeypatch.setattr(S, "SALT_TEXTS", salt_texts)
+    monkeypatch.setattr(S, "PIECE", 300)
+    rng, rows = random.Random(8), []
+    for period in (1, 2, 3, 17, 40, 49, 50, 51, 60, 120):
+        unit = "".join(rng.choices("abcdefgh", k=period))
+        for n in (900, 400, 55):
+            at = rng.randrange(period)
+            rows.append((len(rows), "".join(rng.choices("XY", k=rng.randint(0, 60))) + (unit * n)[at : at + n] + rng.choice(["", "end", "".join(rng.choices("XYZ", k=80))])))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["cut"]["n_bytes"], r["cut"]["n_removed"], r["cut"]["n_spans"], hashlib.sha256(r["cut"]["kept"]).hexdigest()) for r in out.collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
+def test_a_long_run_has_few_contexts():
+    data = np.full(1_000_000, 120, np.uint8)
+    for f in S.anchors(data, np.array([len(data)])):
+        one, reach = S.repeated(data, f, 50)
+        assert len(one) <= 2 and len(S.once(f)) <= 2 and int(reach.sum()) + len(one) == len(f.start)
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
