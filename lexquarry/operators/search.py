@@ -16,6 +16,7 @@ from lexquarry.functions import patterns as P
 from lexquarry.functions import scoring as S
 from lexquarry.functions import text as T
 from lexquarry.functions.quality import rounded
+from lexquarry.operators.together import block_of, counted
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,13 @@ def sender(parsed: DataFrame, limits: SearchLimits = SearchLimits()) -> Callable
     return F.broadcast if n <= limits.query_block and (letters or 0) <= limits.query_letters else lambda df: df
 
 
-def lexical(parsed: DataFrame, articles: DataFrame, send: Callable | None = None) -> DataFrame:
-    """query_id, ord, lexical for the pairs that share a token: a join on tokens, and counts of what it lets through."""
-    send = send or sender(parsed)
+def lexical(parsed: DataFrame, articles: DataFrame, send: Callable | None = None, limits: SearchLimits = SearchLimits()) -> DataFrame:
+    """query_id, ord, lexical for the pairs that share a token: by the queries' postings if they make a block; else by a join
+    on tokens, and counts of what it lets through."""
+    if (few := block_of(parsed, limits)) is not None:
+        met = counted(parsed, articles, few, False)
+        return met.select("query_id", "ord", S.overlap(F.col("common").cast("long"), F.col("qn"), F.col("n")).alias("lexical"))
+    send = send or sender(parsed, limits)
     asked = parsed.select("query_id", T.tokens(F.col("expanded")).alias("words")).select("query_id", F.size("words").alias("qsize"), F.explode_outer("words").alias("token"))
     asked = asked.groupBy("query_id", "qsize", "token").agg(F.count("*").alias("qn"))
     held = articles.select("ord", T.tokens(F.col("text")).alias("words")).select("ord", F.size("words").alias("size"), F.explode_outer("words").alias("token"))
@@ -56,10 +61,13 @@ def lexical(parsed: DataFrame, articles: DataFrame, send: Callable | None = None
     return common.select("query_id", "ord", S.overlap(F.col("common"), F.col("qsize"), F.col("size")).alias("lexical"))
 
 
-def trigram_scores(parsed: DataFrame, articles: DataFrame, send: Callable | None = None) -> DataFrame:
-    """query_id, ord, trigram for the pairs that share a trigram: an equi-join of windows, as for tokens. A row's number of
-    trigrams comes along, so nothing is counted twice."""
-    send = send or sender(parsed)
+def trigram_scores(parsed: DataFrame, articles: DataFrame, send: Callable | None = None, limits: SearchLimits = SearchLimits()) -> DataFrame:
+    """query_id, ord, trigram for the pairs that share a trigram: as for tokens by postings, or by an equi-join of windows. A
+    row's number of trigrams comes along, so nothing is counted twice."""
+    if (few := block_of(parsed, limits)) is not None:
+        met = counted(parsed, articles, few, True)
+        return met.select("query_id", "ord", S.jaccard(F.col("common").cast("long"), F.col("qn"), F.col("n")).alias("trigram"))
+    send = send or sender(parsed, limits)
 
     def grams(rows: DataFrame, key: str, text: Column, size: str) -> DataFrame:
         # Each step is a column of its own: within a lambda it would be made anew for each window.
