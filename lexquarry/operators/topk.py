@@ -6,19 +6,22 @@ the article's tier and quality. An article that has r of a query's n tokens has
 only made at a token or trigram that stands early enough in its query's order. Articles are put into blocks by tier and
 length; what the best article of a block could reach decides, once a block, which of a query's tokens are looked up there
 at all. Scores are then made exactly, for these pairs alone.
+
+That is for many queries. A block of few short ones is scored against each article by postings (together.py), in one pass.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import scoring as S
 from lexquarry.functions import text as T
+from lexquarry.functions import words as W
 from lexquarry.operators import search
+from lexquarry.operators.together import block_of, scored
 from lexquarry.sources.shared import materialize
 
 #: Weights of words and trigrams in the score with and without a reference; what a rounded score may gain.
@@ -28,32 +31,25 @@ WORDS_PART = 0.375
 
 
 def gram_count(clean: Column) -> Column:
-    """Different trigrams of a normal text, without an array of them."""
-
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(set(zip(t, t[1:], t[2:], strict=False))) if len(t) > 2 else min(1, len(t)) for t in texts], dtype="int32")
-
-    return count(clean)
+    """Different trigrams of a text, without an array of them."""
+    return W.lengths(clean)["grams"]
 
 
 def facts(articles: DataFrame) -> DataFrame:
     """ord, tier, factor (what a score is multiplied with), size (tokens), grams (different trigrams), block."""
-    clean = articles.select("ord", "tier", "quality", T.normalize_text(F.col("text")).alias("clean"))
-    size = F.when(F.col("clean") == "", 0).otherwise(F.size(F.split("clean", " ")))
+    measured = articles.select("ord", "tier", "quality", W.lengths(F.col("text")).alias("lengths"))
     factor = S.tier_weight(F.col("tier")) * (0.7 + 0.3 * S.clamp01(F.coalesce("quality", F.lit(0.0))))
-    rows = clean.select("ord", "tier", factor.alias("factor"), size.alias("size"), gram_count(F.col("clean")).alias("grams"))
+    rows = measured.select("ord", "tier", factor.alias("factor"), "lengths.size", "lengths.grams")
     return rows.withColumn("block", F.concat_ws(":", "tier", F.floor(F.log2(F.col("size") + 1))))
 
 
 def words_of(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.explode_outer(T.tokens(F.col(text))).alias("unit"))
+    return rows.select(key, F.explode_outer(W.tokens(F.col(text))).alias("unit"))
 
 
 def grams_of(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and grams, an array."""
-    clean = rows.select(key, T.normalize_text(F.col(text)).alias("clean")).select(key, F.length("clean").alias("n"), T.letters(F.col("clean")).alias("chars"))
-    return clean.select(key, T.trigrams(F.col("chars"), F.col("n")).alias("grams"))
+    """key and grams, an array of their numbers."""
+    return rows.select(key, W.trigram_numbers(F.col(text)).alias("grams"))
 
 
 def needed(q: dict[str, Column], least: Column, factor: Column, size: Column, small: Column, large: Column) -> tuple[Column, Column]:
@@ -91,9 +87,22 @@ def met(asked: DataFrame, held: DataFrame, least: DataFrame, blocks: list, grams
     return materialize(both.where(F.col("before") + exact <= q["grams" if grams else "size"]).select("query_id", "ord"), "met")
 
 
+def sure_pairs(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None, send) -> DataFrame:
+    """query_id, ord of the pairs with a cited number or a vector."""
+    numbers = articles.select("ord", T.plain_number(F.col("article_number")).alias("number"))
+    sure = numbers.join(send(parsed.select("query_id", "reference")), F.col("number") == F.col("reference")).select("query_id", "ord")
+    return sure if vectors is None else sure.union(vectors.select("query_id", "ord")).distinct()
+
+
 def best_candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None = None, limits: search.SearchLimits = search.SearchLimits()) -> DataFrame:
     """As search.candidates, without the pairs that can't be among the top_k of their tier or don't reach min_score."""
     send = search.sender(parsed, limits)
+    if (few := block_of(parsed, limits)) is not None:
+        sure = sure_pairs(parsed, articles, vectors, send)
+        scores = scored(parsed, articles, few, sure, (CITED, FREE), 2 * SLACK, limits)
+        if vectors is not None:
+            scores = scores.join(vectors, ["query_id", "ord"], "left")
+        return materialize(search.fused_pairs(scores, parsed, articles.drop("text"), vectors is not None, send), "scores")
     known = materialize(facts(articles), "facts")
     words = words_of(parsed, "query_id", "expanded").groupBy("query_id", "unit").agg(F.count("*").alias("n"))
     asked_grams = materialize(grams_of(parsed, "query_id", "expanded"), "asked-grams")
@@ -106,11 +115,7 @@ def best_candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame |
     held = words_of(articles, "ord", "text").join(vocabulary, "unit", "left_semi").groupBy("ord", "unit").agg(F.count("*").alias("n")).join(known, "ord")
     held = materialize(held, "held")
 
-    numbers = articles.select("ord", T.plain_number(F.col("article_number")).alias("number"))
-    sure = numbers.join(send(parsed.select("query_id", "reference")), F.col("number") == F.col("reference")).select("query_id", "ord")
-    if vectors is not None:
-        sure = sure.union(vectors.select("query_id", "ord")).distinct()
-    sure = materialize(sure, "sure")
+    sure = materialize(sure_pairs(parsed, articles, vectors, send), "sure")
     first = score_pairs(sure, parsed, articles, asked, held, asked_grams, vectors)
     rank = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(F.desc("fused"), "ord"))
     least = first.withColumn("rank", rank).where(F.col("rank") == limits.top_k).select("query_id", "tier", F.greatest("fused", F.lit(limits.min_score)).alias("least"))
