@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexquarry.functions import patterns as P
 from lexquarry.functions.text import is_heading
@@ -31,15 +36,53 @@ def _count(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern))
 
 
-def ocr_measures(text: Column) -> Column:
-    """Struct: n (tokens), single, vowelless, cluster, bad (ratios)."""
-    n, clusters = _count(text, P.TOKEN), _count(text, P.CLUSTER)
-    single, hard = _count(text, P.SINGLE), _count(text, P.VOWELLESS)
+_BYTES = bytes(range(256)).decode("latin-1")
+#: By Latin-1 character: 1 if tokens are made of it, 2 if it is a consonant, 4 if it is a Roman number; other characters are
+#: read as a question mark.
+_KINDS = np.array([bool(re.match(P.TOKEN, c)) + 2 * bool(re.match(P.CONSONANTS.removesuffix("{5,}"), c)) + 4 * bool(re.match(P.ROMAN, c)) for c in _BYTES], np.uint8)
+#: Letters of texts that are looked at together, about.
+TOGETHER = 4_000_000
+
+
+def _token_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its tokens, those of one letter that is no Roman number, and those of five or more consonants alone."""
+    raw = [t.encode("latin-1", "replace") for t in texts]
+    kind = _KINDS[np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)]
+    text_starts = np.cumsum([1, *(len(r) + 1 for r in raw)])
+    edges = np.flatnonzero(np.diff(kind & 1)) + 1  # a token's front and what follows it, in turn
+    fronts, ends = edges[::2], edges[1::2]
+    size, hard = ends - fronts, np.concatenate([[0], np.cumsum((kind & 2) > 0)])
+    single, vowelless = (size == 1) & (kind[fronts] & 4 == 0), (size >= 5) & (hard[ends] - hard[fronts] == size)
+    upto = np.searchsorted(fronts, text_starts)
+    return np.diff(upto), *(np.diff(np.concatenate([[0], np.cumsum(x)])[upto]) for x in (single, vowelless))
+
+
+@F.pandas_udf(StructType([StructField(x, IntegerType()) for x in ("n", "single", "vowelless")]))
+def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        values, at, parts = texts.fillna("").tolist(), 0, []
+        ends = np.cumsum([len(t) for t in values])
+        while at < len(values):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            parts.append(_token_counts(values[at:upto]))
+            at = upto
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in zip(*parts, strict=True)] or [np.zeros(0)] * 3
+        yield pd.DataFrame(dict(zip(("n", "single", "vowelless"), columns, strict=True))).astype("int32")
+
+
+def token_counts(text: Column) -> Column:
+    """Struct: n (tokens), single and vowelless (such tokens), all numbers."""
+    return _counted(text)
+
+
+def ocr_measures(text: Column, counts: Column) -> Column:
+    """Struct: n (tokens), single, vowelless, cluster, bad (ratios). counts: the text's token_counts."""
+    n, clusters = counts["n"], _count(text, P.CLUSTER)
     some = F.greatest(n, F.lit(1)).cast("double")
     return F.struct(
         n.alias("n"),
-        (single / some).alias("single"),
-        (hard / some).alias("vowelless"),
+        (counts["single"] / some).alias("single"),
+        (counts["vowelless"] / some).alias("vowelless"),
         clusters.alias("clusters"),
         (clusters / F.greatest(some / 35.0, F.lit(1.0))).alias("cluster"),
         (_count(text, P.BAD) / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
@@ -47,7 +90,7 @@ def ocr_measures(text: Column) -> Column:
 
 
 def ocr_quality(text: Column) -> Column:
-    return ocr_score(ocr_measures(text), text)
+    return ocr_score(ocr_measures(text, token_counts(text)), text)
 
 
 def ocr_score(m: Column, text: Column) -> Column:

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from lexquarry.functions import patterns as P
 
 
-#: A whole run of white space. It is only looked at from its front, so a run that doesn't fit costs its length once.
-RUN = f"(?<!{P.WS}){P.WS}++"
-#: What normalize_spaces, and normalize_typography before it, have to change; most lines have none of it.
-UNEVEN = rf"[\t\xa0]|  |{P.WS}[,.;:!?)\]}}]|[(\[{{]{P.WS}|^{P.WS}|{P.WS}$"
-CURLY = rf"[‘’“”–—−…]|{P.WS}-{P.WS}"
+#: A whole run of white space. It is only looked at from its front, so a run that doesn't fit costs its length once. The
+#: look ahead lets all other characters go by at once.
+RUN = f"(?={P.WS})(?<!{P.WS}){P.WS}++"
+#: What normalize_spaces, and normalize_typography before it, have to change; most lines have none of it, and most characters
+#: can't begin it.
+UNEVEN = rf"(?=[{P.WS[1:-1]}(\[{{])(?:[\t\xa0]|  |{P.WS}[,.;:!?)\]}}]|[(\[{{]{P.WS}|^{P.WS}|{P.WS}$)"
+CURLY = rf"[‘’“”–—−…]|(?={P.WS}){P.WS}-{P.WS}"
+#: Runs of white space that are more than one plain space, or another character.
+GAPS = f"[{P.WS[1:-1]}&&[^ ]]{P.WS}*+| {P.WS}++"
 
 
 def strip(x: Column) -> Column:
@@ -32,7 +36,7 @@ def split_lines(text: Column) -> Column:
 
 
 def _even(x: Column) -> Column:
-    x = F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), "[ \t]+", " ")
+    x = F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), " [ \t]++|\t[ \t]*+", " ")
     x = F.regexp_replace(x, f"{RUN}([,.;:!?])", "$1")
     x = F.regexp_replace(x, rf"([(\[{{]){P.WS}++", "$1")
     return strip(F.regexp_replace(x, rf"{RUN}([)\]}}])", "$1"))
@@ -48,7 +52,7 @@ def normalize_typography(x: Column) -> Column:
 
 
 def canonical(x: Column) -> Column:
-    return F.lower(strip(F.regexp_replace(x, f"{P.WS}+", " ")))
+    return F.lower(strip(F.regexp_replace(x, GAPS, " ")))
 
 
 def digest(x: Column) -> Column:
@@ -131,10 +135,13 @@ MOST_WORDS, LEAST_LETTERS = 8, 8
 
 
 def heading_counts(x: Column) -> tuple[Column, Column, Column]:
-    """Words, letters and capitals: what tells if a text without a heading's opening word is one."""
-    letters = F.regexp_replace(x, f"[^{P.LATIN}]", "")
-    upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]", ""))
-    return F.regexp_count(x, F.lit(f"[^{P.WS[1:-1]}]++")), F.length(letters), upper
+    """Words, letters and capitals: what tells if a text without a heading's opening word is one. A text of more than
+    MOST_WORDS words never is: of it only that is told, and its letters aren't looked at."""
+    few = F.rlike(x, F.lit(P.FEW_WORDS))
+    letters = F.regexp_replace(x, f"[^{P.LATIN}]++", "")
+    upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]++", ""))
+    words = F.when(few, F.regexp_count(x, F.lit(f"[^{P.WS[1:-1]}]++"))).otherwise(MOST_WORDS + 1)
+    return words, F.when(few, F.length(letters)).otherwise(0), F.when(few, upper).otherwise(0)
 
 
 def is_heading(line: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import patterns as P
 from lexquarry.functions import text as T
-from lexquarry.functions.quality import TierLimits, ocr_measures, ocr_score, rounded, tier, tier_reason
+from lexquarry.functions.quality import TierLimits, ocr_measures, ocr_score, rounded, tier, tier_reason, token_counts
 from lexquarry.operators.numbering import numbered
 from lexquarry.operators.reflow import heading_cuts
 
@@ -95,7 +95,8 @@ def duplicate_log(marked: DataFrame) -> DataFrame:
 
 
 def scored(unique: DataFrame) -> DataFrame:
-    measured = made_once(unique, "m", ocr_measures(F.col("block")))
+    counted = unique.withColumn("counts", token_counts(F.col("block")))
+    measured = made_once(counted, "m", ocr_measures(F.col("block"), F.col("counts")))
     return made_once(measured, "q", ocr_score(F.col("m"), F.col("block"))).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
 
 
