@@ -32,32 +32,55 @@ def rounded(x: Column, places: int) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
-def _count(x: Column, pattern: str) -> Column:
-    return F.regexp_count(x, F.lit(pattern))
-
-
 _BYTES = bytes(range(256)).decode("latin-1")
 #: By Latin-1 character: 1 if tokens are made of it, 2 if it is a consonant, 4 if it is a Roman number; other characters are
 #: read as a question mark.
 _KINDS = np.array([bool(re.match(P.TOKEN, c)) + 2 * bool(re.match(P.CONSONANTS.removesuffix("{5,}"), c)) + 4 * bool(re.match(P.ROMAN, c)) for c in _BYTES], np.uint8)
+#: patterns.BAD and patterns.CLUSTER, whose white space and word characters are Python's own.
+_BAD = re.compile(r"""[^\w\s.,;:!?()\[\]{}%/\-+'"°ªº€$£]""")
+_CLUSTER = re.compile(rf"(?:\b[{P.LATIN}]\s++(?=[{P.LATIN}]\b)){{3,}}+[{P.LATIN}]\b")
+#: Latin-1 characters that are not bad.
+_GOOD = bytes(b for b in range(256) if not _BAD.match(chr(b)))
 #: Letters of texts that are looked at together, about.
 TOGETHER = 4_000_000
 
 
-def _token_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: its tokens, those of one letter that is no Roman number, and those of five or more consonants alone."""
+def _bad(text: str) -> int:
+    try:
+        return len(text.encode("latin-1").translate(None, _GOOD))
+    except UnicodeEncodeError:
+        return len(_BAD.findall(text))
+
+
+def _token_counts(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each text: its tokens, those of one letter that is no Roman number, those of five or more consonants alone, rows of
+    four or more spaced letters, and bad characters."""
     raw = [t.encode("latin-1", "replace") for t in texts]
-    kind = _KINDS[np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)]
+    data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    kind = _KINDS[data]
     text_starts = np.cumsum([1, *(len(r) + 1 for r in raw)])
     edges = np.flatnonzero(np.diff(kind & 1)) + 1  # a token's front and what follows it, in turn
     fronts, ends = edges[::2], edges[1::2]
     size, hard = ends - fronts, np.concatenate([[0], np.cumsum((kind & 2) > 0)])
     single, vowelless = (size == 1) & (kind[fronts] & 4 == 0), (size >= 5) & (hard[ends] - hard[fronts] == size)
     upto = np.searchsorted(fronts, text_starts)
-    return np.diff(upto), *(np.diff(np.concatenate([[0], np.cumsum(x)])[upto]) for x in (single, vowelless))
+    # The inner letters of a row are tokens of their own; the outer ones are too, but for an apostrophe on their other side.
+    one = size == 1
+    last, first = one | (data[np.maximum(ends - 2, 0)] == 39), one | (data[np.minimum(fronts + 1, len(data) - 1)] == 39)
+    row = np.zeros(len(size), bool)
+    if len(size) > 3:
+        row[:-3] = last[:-3] & one[1:-2] & one[2:-1] & first[3:]
+    clusters = np.zeros(len(texts), np.int64)
+    for i in np.unique(np.searchsorted(text_starts, fronts[row], "right") - 1).tolist():
+        clusters[i] = sum(1 for _ in _CLUSTER.finditer(texts[i]))
+    bad = np.array([_bad(t) for t in texts], np.int64)
+    return np.diff(upto), *(np.diff(np.concatenate([[0], np.cumsum(x)])[upto]) for x in (single, vowelless)), clusters, bad
+
+
+_COUNTS = ("n", "single", "vowelless", "clusters", "bad")
 
 
-@F.pandas_udf(StructType([StructField(x, IntegerType()) for x in ("n", "single", "vowelless")]))
+@F.pandas_udf(StructType([StructField(x, IntegerType()) for x in _COUNTS]))
 def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         values, at, parts = texts.fillna("").tolist(), 0, []
@@ -66,18 +89,18 @@ def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
             parts.append(_token_counts(values[at:upto]))
             at = upto
-        columns = [np.concatenate(x) if x else np.zeros(0) for x in zip(*parts, strict=True)] or [np.zeros(0)] * 3
-        yield pd.DataFrame(dict(zip(("n", "single", "vowelless"), columns, strict=True))).astype("int32")
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in zip(*parts, strict=True)] or [np.zeros(0)] * len(_COUNTS)
+        yield pd.DataFrame(dict(zip(_COUNTS, columns, strict=True))).astype("int32")
 
 
 def token_counts(text: Column) -> Column:
-    """Struct: n (tokens), single and vowelless (such tokens), all numbers."""
+    """Struct: n (tokens), single and vowelless (such tokens), clusters (rows of spaced letters), bad (characters)."""
     return _counted(text)
 
 
 def ocr_measures(text: Column, counts: Column) -> Column:
     """Struct: n (tokens), single, vowelless, cluster, bad (ratios). counts: the text's token_counts."""
-    n, clusters = counts["n"], _count(text, P.CLUSTER)
+    n, clusters = counts["n"], counts["clusters"]
     some = F.greatest(n, F.lit(1)).cast("double")
     return F.struct(
         n.alias("n"),
@@ -85,7 +108,7 @@ def ocr_measures(text: Column, counts: Column) -> Column:
         (counts["vowelless"] / some).alias("vowelless"),
         clusters.alias("clusters"),
         (clusters / F.greatest(some / 35.0, F.lit(1.0))).alias("cluster"),
-        (_count(text, P.BAD) / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
+        (counts["bad"] / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
     )
 
 

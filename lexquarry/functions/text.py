@@ -8,17 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexquarry.functions import patterns as P
+from lexquarry.functions import spacing
 
 
 #: A whole run of white space. It is only looked at from its front, so a run that doesn't fit costs its length once. The
 #: look ahead lets all other characters go by at once.
 RUN = f"(?={P.WS})(?<!{P.WS}){P.WS}++"
-#: What normalize_spaces, and normalize_typography before it, have to change; most lines have none of it, and most characters
-#: can't begin it.
-UNEVEN = rf"(?=[{P.WS[1:-1]}(\[{{])(?:[\t\xa0]|  |{P.WS}[,.;:!?)\]}}]|[(\[{{]{P.WS}|^{P.WS}|{P.WS}$)"
-CURLY = rf"[‘’“”–—−…]|(?={P.WS}){P.WS}-{P.WS}"
-#: Runs of white space that are more than one plain space, or another character.
-GAPS = f"[{P.WS[1:-1]}&&[^ ]]{P.WS}*+| {P.WS}++"
 
 
 def strip(x: Column) -> Column:
@@ -26,33 +21,24 @@ def strip(x: Column) -> Column:
 
 
 #: Every Unicode line break.
-BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def split_lines(text: Column) -> Column:
     """Lines at every Unicode line break, without an empty last one; none for an empty text."""
-    parts = F.split(text, BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-
-
-def _even(x: Column) -> Column:
-    x = F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), " [ \t]++|\t[ \t]*+", " ")
-    x = F.regexp_replace(x, f"{RUN}([,.;:!?])", "$1")
-    x = F.regexp_replace(x, rf"([(\[{{]){P.WS}++", "$1")
-    return strip(F.regexp_replace(x, rf"{RUN}([)\]}}])", "$1"))
+    return spacing.split_lines(text)
 
 
 def normalize_spaces(x: Column) -> Column:
-    return F.when(F.rlike(x, F.lit(UNEVEN)), _even(x)).otherwise(x)
+    return spacing.normalize_spaces(x)
 
 
 def normalize_typography(x: Column) -> Column:
-    plain = F.replace(F.translate(x, "‘’“”–—−", "''\"\"---"), F.lit("…"), F.lit("..."))
-    return F.when(F.rlike(x, F.lit(f"{UNEVEN}|{CURLY}")), _even(F.regexp_replace(plain, f"{RUN}-{P.WS}++", " - "))).otherwise(x)
+    return spacing.normalize_typography(x)
 
 
 def canonical(x: Column) -> Column:
-    return F.lower(strip(F.regexp_replace(x, GAPS, " ")))
+    return F.lower(spacing.single_spaced(x))
 
 
 def digest(x: Column) -> Column:

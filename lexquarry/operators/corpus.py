@@ -9,27 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import patterns as P
+from lexquarry.functions import spacing
 from lexquarry.functions import text as T
 from lexquarry.functions.quality import TierLimits, ocr_measures, ocr_score, rounded, tier, tier_reason, token_counts
 from lexquarry.operators.numbering import numbered
 from lexquarry.operators.reflow import heading_cuts
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Whole texts dealt by document: the one exchange that all windows over lines and blocks need, made while a document is
-    still one row. Work on lines alone does without."""
-    return docs.repartition("doc_id")
+def dealt(cleaned: DataFrame) -> DataFrame:
+    """Clean lines dealt by document. A plan that stores them for several uses deals them once; else the windows do it. Spark
+    keeps no dealing over a Python function, so all that lines need of such is done before."""
+    return cleaned.repartition("doc_id")
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, line_no (from 1), line. No line looks at another, so nothing is exchanged."""
-    split = docs.select("doc_id", text).select("doc_id", F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
+    split = docs.select("doc_id", T.split_lines(F.coalesce(F.col(text), F.lit(""))).alias("parts")).select("doc_id", F.posexplode("parts").alias("pos", "line"))
     return split.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def clean(raw: DataFrame) -> DataFrame:
     """doc_id, line_no, line (typographically normal), reason (why it goes, else null)."""
-    normal = made_once(raw.withColumnRenamed("line", "_line"), "line", T.normalize_typography(F.col("_line"))).drop("_line")
+    normal = made_once(raw.withColumn("_line", T.normalize_typography(F.col("line"))).drop("line"), "line", F.col("_line")).drop("_line")
     return made_once(normal, "reason", T.drop_reason(F.col("line"), F.col("line_no")))
 
 
@@ -71,12 +72,8 @@ def renumber(rows: DataFrame, *order: str) -> DataFrame:
 
 def split_articles(built: DataFrame) -> DataFrame:
     """Blocks with several article starts are cut at each: a start counts at the front, or after a mark that ends a sentence."""
-    block, sep = F.col("block"), "\x1e"
-    marked = F.regexp_replace(block, P.INLINE, f"$1{sep}$2")
-    starts = F.length(marked) - F.length(block) + F.rlike(block, F.lit(P.INLINE_START)).cast("int")
-    pieces = F.filter(F.transform(F.split(marked, sep, -1), T.strip), lambda p: p != "")
-    parts = F.when(starts >= 2, pieces).otherwise(F.array(block))
-    return renumber(built.select("doc_id", "block_idx", F.posexplode(parts).alias("pos", "block")), "block_idx", "pos")
+    parts = built.select("doc_id", "block_idx", spacing.split_articles(F.col("block")).alias("parts"))
+    return renumber(parts.select("doc_id", "block_idx", F.posexplode("parts").alias("pos", "block")), "block_idx", "pos")
 
 
 def mark_duplicates(built: DataFrame) -> DataFrame:

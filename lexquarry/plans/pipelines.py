@@ -40,8 +40,8 @@ class CorpusPipeline:
     config: EngineConfig = EngineConfig()
 
     def __post_init__(self):
-        # Lines that come as such are cleaned where they are read, and dealt by document after that.
-        self.cleaned = C.dealt(C.clean(self.docs)) if "line_no" in self.docs.columns else C.clean(C.lines(C.dealt(self.docs)))
+        # Lines are cleaned where they are read, and dealt by document after that.
+        self.cleaned = C.dealt(C.clean(self.docs if "line_no" in self.docs.columns else C.lines(self.docs)))
         self.marked = C.mark_duplicates(C.split_articles(C.blocks(self.cleaned))).persist()
         self.unique = C.unique_blocks(self.marked)
         self.scored = C.scored(self.unique)

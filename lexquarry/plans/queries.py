@@ -34,13 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cleaned(spark, d, deal=lambda docs: docs) -> DataFrame:
-    raw = C.lines(deal(table(spark, d, "documents").select("doc_id", "text")))
+def _cleaned(spark, d) -> DataFrame:
+    raw = C.lines(table(spark, d, "documents").select("doc_id", "text"))
     return C.clean(raw.select("doc_id", "line_no", F.expr(O.DECORATED).alias("line")))
 
 
 def _blocks(spark, d) -> DataFrame:
-    return C.blocks(_cleaned(spark, d, C.dealt))
+    return C.blocks(_cleaned(spark, d))
 
 
 def _split(spark, d) -> DataFrame:
@@ -149,7 +149,7 @@ def quality_report(spark, d):
     )
 )
 def corpus_report(spark, d):
-    cleaned = materialize(_cleaned(spark, d, C.dealt), "cleaned")
+    cleaned = materialize(_cleaned(spark, d), "cleaned")
     marked = materialize(C.mark_duplicates(C.split_articles(C.blocks(cleaned))), "marked")
     rows = materialize(C.scored(C.unique_blocks(marked)), "scored")
     one = cleaned.agg(F.count("*").alias("total_lines"), F.count("reason").alias("removed_lines"))
