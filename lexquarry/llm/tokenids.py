@@ -36,8 +36,9 @@ PERCENTILE = 90
 FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
 #: Blocks packed or read at once.
 SPAN = 256
-#: Words whose ids are kept within a worker, and bytes of text encoded at once.
-CACHED, BATCH_BYTES = 500_000, 4_000_000
+#: Words after which a worker begins a new table of ids, beside the one before; words asked of the library as one text; and
+#: bytes of text encoded at once.
+CACHED, TOGETHER, BATCH_BYTES = 500_000, 250, 4_000_000
 END_ID = 1
 HEAD, COUNTS, TAIL = struct.Struct("<IBBH"), struct.Struct("<QQQ"), struct.Struct("<QI8s")
 MANIFEST = "file string, part int, seq int, n_docs long, n_ids long, n_bytes long"
@@ -47,19 +48,20 @@ class WordEncoder:
     """Ids of whole texts as packed little-endian 32-bit integers, as `tokenizers` gives them for a vocabulary whose words
     end at white space.
 
-    Its splits never cross ASCII white space, nor the place between an ASCII letter or digit and the marks in TRAILING
-    after it, and ASCII letters are lower-cased (unless a combining mark or a special token's name comes in between); so
+    Its splits never cross ASCII white space, nor the place between a letter below U+0100 or an ASCII digit and the marks
+    in TRAILING after it, and ASCII letters are lower-cased (unless a combining mark or a special token's name comes in between); so
     the library is asked once for each different word. A word of letters below U+0100 is one to it too: these are given
     as one text, and each ends where an id ends a word. The tests hold the ids equal to those of whole texts.
     """
 
-    TRAILING = re.compile(rb"(?<=[0-9a-z])([.,;:!?]++)(?=[ \t\n\x0b\x0c\r]|\Z)")
+    #: A search goes from mark to mark, as it begins with one.
+    TRAILING = re.compile(rb"[.,;:!?#$%&*)](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#$%&*)]*+(?=[ \t\n\x0b\x0c\r]|\Z)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -67,12 +69,12 @@ class WordEncoder:
     def split(self, text: bytes) -> list[bytes]:
         if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
             return text.split()
-        return self.TRAILING.sub(rb" \1", text.lower()).split()
+        return self.TRAILING.sub(rb" \g<0>", text.lower()).split()
 
     def learn(self, new: set[bytes]) -> None:
         whole = [w for w in new if w.isalpha() or (t := w.decode()).isalpha() and max(t) < "Ā"]
-        for at in range(0, len(whole), 5000):
-            own = whole[at : at + 5000]
+        for at in range(0, len(whole), TOGETHER):
+            own = whole[at : at + TOGETHER]
             ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             data = ids.tobytes()
@@ -84,10 +86,11 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [self.split(t) for t in texts]
         own = set().union(*words)
-        if len(new := own - self.known.keys()) + len(self.known) > CACHED:
-            self.known.clear()
-            new = own
-        self.learn(new)
+        if len(new := own - self.known.keys()) + len(self.known) > CACHED:  # words still in use come over from the last table
+            self.known, self.before, new = {}, self.known, own
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self.learn(new - again)
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 

@@ -90,3 +90,24 @@ def test_a_broken_file_is_told(tmp_path):
     (tmp_path / "a.ids").write_bytes(data)
     with pytest.raises(ValueError):
         T.FileReader(path)
+
+
+def test_words_in_use_are_asked_for_once(monkeypatch):
+    monkeypatch.setattr(T, "CACHED", 50)
+    words, plain, asked = T.WordEncoder(PATH), Tokenizer.from_file(PATH), []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: (asked.extend(new), learn(new)))
+    for i in range(40):
+        text = "the law, of " + " ".join(f"x{chr(97 + i % 26)}{chr(97 + j)}{'z' * (i // 26)}" for j in range(20))
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == plain_ids(plain, text)[:-1]
+    assert len(words.known) + len(words.before) <= 2 * 50
+    assert asked.count(b"the") == asked.count(b"law") == asked.count(b",") == 1
+
+
+def test_marks_after_letters_are_words_of_their_own():
+    words, plain = T.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    assert words.split("Anvition&&& doqueó, 7.%%% (É) a×, b÷* «x».".encode()) == "anvition &&& doqueó , 7 .%%% (É ) a×, b÷* «x».".encode().split()
+    rng = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(rng.choices([*"aZé7ÉßÿªºÞ×÷«»½²' \n", *".,;:!?#$%&*)", "...", "'s", "µ", "Ā", "中"], k=rng.randint(0, 30)))
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == plain_ids(plain, text)[:-1], text
