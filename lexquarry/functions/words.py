@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 LETTERS = b" 0123456789abcdefghijklmnopqrstuvwxyz"
-_KEPT = bytes(b if b in LETTERS else 32 for b in range(256))
+_KEPT = bytes(b if b in LETTERS else 32 for b in bytes(range(256)).lower())
 _CODES = bytes(max(0, LETTERS.find(bytes([b]))) for b in range(256))
 N = len(LETTERS)
 #: Numbers for windows of three letters; after them those of texts of two letters and of one.
@@ -19,14 +19,20 @@ TRIGRAMS = N**3 + N**2 + N
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("ascii", "replace").translate(_KEPT).split()
+    text = text or ""
+    if not text.isascii():  # the two other characters that have an ASCII letter in lower case
+        text = text.replace("\u0130", "i?").replace("\u212a", "k")
+    return text.encode("ascii", "replace").translate(_KEPT).split()
 
 
 def trigrams(tokens: list[bytes]) -> np.ndarray:
-    """The numbers of the different trigrams of these words with a space between them."""
+    """The numbers of the different trigrams of these words with a space between them, in order."""
     code = np.frombuffer(b" ".join(tokens).translate(_CODES), np.uint8).astype(np.uint16)
     if len(code) > 2:
-        return np.unique(code[:-2] * np.uint16(N * N) + code[1:-1] * np.uint16(N) + code[2:]).astype(np.int32)
+        every = np.sort(code[:-2] * np.uint16(N * N) + code[1:-1] * np.uint16(N) + code[2:], kind="stable")  # by radix
+        first = np.ones(len(every), bool)
+        np.not_equal(every[1:], every[:-1], out=first[1:])
+        return every[first].astype(np.int32)
     if len(code) == 2:
         return np.array([N**3 + N * int(code[0]) + int(code[1])], np.int32)
     return np.array([N**3 + N**2 + int(c) for c in code], np.int32)

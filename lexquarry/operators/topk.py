@@ -95,14 +95,14 @@ def sure_pairs(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None
 
 
 def best_candidates(parsed: DataFrame, articles: DataFrame, vectors: DataFrame | None = None, limits: search.SearchLimits = search.SearchLimits()) -> DataFrame:
-    """As search.candidates, without the pairs that can't be among the top_k of their tier or don't reach min_score."""
+    """As search.candidates, without the pairs that can't be among the top_k of their tier or don't reach min_score. vectors
+    may also have tier and id in place of ord."""
     send = search.sender(parsed, limits)
     if (few := block_of(parsed, limits)) is not None:
-        sure = sure_pairs(parsed, articles, vectors, send)
-        scores = scored(parsed, articles, few, sure, (CITED, FREE), 2 * SLACK, limits)
-        if vectors is not None:
-            scores = scores.join(vectors, ["query_id", "ord"], "left")
+        scores = scored(parsed, articles, few, vectors, ((*CITED, 0.10, 0.55), (*FREE, 0.45, 0.05)), 2 * SLACK, limits, send)
         return materialize(search.fused_pairs(scores, parsed, articles.drop("text"), vectors is not None, send), "scores")
+    if vectors is not None and "ord" not in vectors.columns:
+        vectors = materialize(articles.select("ord", "tier", "id").join(vectors, ["tier", "id"]).select("query_id", "ord", "vector"), "vectors")
     known = materialize(facts(articles), "facts")
     words = words_of(parsed, "query_id", "expanded").groupBy("query_id", "unit").agg(F.count("*").alias("n"))
     asked_grams = materialize(grams_of(parsed, "query_id", "expanded"), "asked-grams")

@@ -200,13 +200,13 @@ def trigram_jaccard(spark, d):
 
 
 def _vectors(spark, d) -> DataFrame:
+    """query_id, tier, id, vector: articles of a tier that share an id share it."""
     held, articles = table(spark, d, "embeddings"), _indexed(spark, d).select("ord", "tier", "id")
     asked = _view(spark, d, "benchmark", O.ASKED)
     queries = held.join(asked, F.col("vec_id") == F.col("vec")).select("query_id", "embedding")
     graded = held.withColumnRenamed("vec_id", "ord").join(articles.select("ord", "tier"), "ord")
     near = V.nearest(queries, graded, S.SearchLimits().vector_candidates, part="tier")
-    best = V.scores_by_id(near.join(articles.select("ord", "id"), "ord"))
-    return articles.join(best, ["tier", "id"]).select("query_id", "ord", "vector")
+    return V.scores_by_id(near.join(articles.select("ord", "id"), "ord"))
 
 
 def _top(spark, d) -> DataFrame:
@@ -312,7 +312,8 @@ def history_window(spark, d):
 
 @query(O.search(8, rf"""SELECT query_id, final_rank AS rank, '[' || final_rank || '] Art. ' || article_number || ' | tier=' || tier || ' | score=' || fused || chr(10) || CASE WHEN length(text) > 900 THEN regexp_replace(left(text, 900), '{P.WS}+$', '') || '...' ELSE text END AS context FROM selected JOIN indexed USING (ord, id, article_number, tier)"""))
 def context_blocks(spark, d):
-    return A.context_blocks(_selected(spark, d), _indexed(spark, d)).select("query_id", "rank", "context")
+    # Written first: of so few rows Spark knows the size, and sends them to the texts.
+    return A.context_blocks(materialize(_selected(spark, d), "selected"), _indexed(spark, d)).select("query_id", "rank", "context")
 
 
 def _nearest(spark, d, metric: str) -> DataFrame:
@@ -344,7 +345,7 @@ def vector_topk_l2(spark, d):
 
 @query(O.search(4, f"SELECT query_id, ord, {O.round_to('vector', 5)} AS vector FROM indexed JOIN byid USING (tier, id)"))
 def vector_scores(spark, d):
-    return _vectors(spark, d).select("query_id", "ord", rounded(F.col("vector"), 5).alias("vector"))
+    return _indexed(spark, d).select("ord", "tier", "id").join(_vectors(spark, d), ["tier", "id"]).select("query_id", "ord", rounded(F.col("vector"), 5).alias("vector"))
 
 
 _FINGER = "indexed AS ({}), lines AS (SELECT tier, ord, id || '|' || article_number || '|' || sha256(text) AS line FROM indexed)".format(O.INDEXED)
