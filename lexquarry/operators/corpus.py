@@ -47,7 +47,12 @@ def clean_stats(cleaned: DataFrame) -> DataFrame:
 
 
 def blocks(cleaned: DataFrame) -> DataFrame:
-    """doc_id, block_idx, block: paragraphs rebuilt from lines.
+    """doc_id, block_idx, block: paragraphs rebuilt from lines."""
+    return renumber(rebuilt(cleaned), "part")
+
+
+def rebuilt(cleaned: DataFrame) -> DataFrame:
+    """doc_id, part, block: paragraphs, in the order of part.
 
     Blank lines and lines that open a block cut a document into islands; an island is cut again after text that has become
     a heading, which a scan over the lines tells. What a line adds to its block depends on the next line alone.
@@ -61,13 +66,29 @@ def blocks(cleaned: DataFrame) -> DataFrame:
     after = F.when(F.lead("part").over(order) == F.col("part"), F.lead("line").over(order))
     pieces = told.select("doc_id", "part", "line_no", T.joined_to(line, after).alias("piece"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "")
-    built = pieces.groupBy("doc_id", "part").agg(whole.alias("block")).withColumn("block", T.normalize_spaces(F.col("block")))
-    return renumber(built.where("block <> ''"), "part")
+    built = made_once(pieces.groupBy("doc_id", "part").agg(whole.alias("_block")), "block", T.normalize_spaces(F.col("_block")))
+    return built.where("block <> ''").drop("_block")
 
 
 def renumber(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with block_idx, by their order; what was told of a block (TOLD) goes along."""
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    return rows.select("doc_id", idx.cast("long").alias("block_idx"), "block")
+    return rows.select("doc_id", idx.cast("long").alias("block_idx"), "block", *(c for c in TOLD if c in rows.columns))
+
+
+#: Columns that split_blocks makes of a block, for what comes later.
+TOLD = ("hash", "counts")
+
+
+def split_blocks(cleaned: DataFrame) -> DataFrame:
+    """As split_articles(blocks(cleaned)), with hash and counts. All that Python makes of a block comes before one numbering,
+    so that blocks are dealt once more and later windows by document find them dealt."""
+    parts = rebuilt(cleaned).select("doc_id", "part", F.posexplode(spacing.split_articles(F.col("block"))).alias("pos", "block"))
+    return renumber(parts.withColumn("hash", block_hash(F.col("block"))).withColumn("counts", token_counts(F.col("block"))), "part", "pos")
+
+
+def block_hash(block: Column) -> Column:
+    return T.digest(T.canonical(block))
 
 
 def split_articles(built: DataFrame) -> DataFrame:
@@ -78,7 +99,7 @@ def split_articles(built: DataFrame) -> DataFrame:
 
 def mark_duplicates(built: DataFrame) -> DataFrame:
     """Adds hash (of the canonical form) and first_idx, the first block of the document with that hash."""
-    hashed = built.withColumn("hash", T.digest(T.canonical(F.col("block"))))
+    hashed = built if "hash" in built.columns else built.withColumn("hash", block_hash(F.col("block")))
     return hashed.withColumn("first_idx", F.min("block_idx").over(Window.partitionBy("doc_id", "hash")))
 
 
@@ -92,7 +113,7 @@ def duplicate_log(marked: DataFrame) -> DataFrame:
 
 
 def scored(unique: DataFrame) -> DataFrame:
-    counted = unique.withColumn("counts", token_counts(F.col("block")))
+    counted = unique if "counts" in unique.columns else unique.withColumn("counts", token_counts(F.col("block")))
     measured = made_once(counted, "m", ocr_measures(F.col("block"), F.col("counts")))
     return made_once(measured, "q", ocr_score(F.col("m"), F.col("block"))).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
 

@@ -44,7 +44,7 @@ def _blocks(spark, d) -> DataFrame:
 
 
 def _split(spark, d) -> DataFrame:
-    return C.split_articles(_blocks(spark, d))
+    return C.split_blocks(_cleaned(spark, d))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -78,12 +78,12 @@ def block_reconstruct(spark, d):
 
 @query(O.corpus(4, "SELECT doc_id, block_idx, block FROM split"))
 def block_split_articles(spark, d):
-    return _split(spark, d)
+    return _split(spark, d).select("doc_id", "block_idx", "block")
 
 
 @query(O.corpus(5, "SELECT doc_id, block_idx, block FROM uniq"))
 def exact_dedup(spark, d):
-    return C.unique_blocks(C.mark_duplicates(_split(spark, d)))
+    return C.unique_blocks(C.mark_duplicates(_split(spark, d))).select("doc_id", "block_idx", "block")
 
 
 @query(O.corpus(5, "SELECT doc_id, block_idx AS duplicate_block_index, first_idx AS first_seen_block_index, hash, left(block, 220) AS preview FROM marked WHERE block_idx > first_idx"))
