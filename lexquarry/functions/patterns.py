@@ -18,6 +18,17 @@ HEADING = rf"(?iu)^{WS}*(?:{HEADINGS})\b"
 #: Eight words at most; possessive, so long texts fail after the ninth.
 FEW_WORDS = rf"^{WS}*+(?:[^{WS[1:-1]}]++{WS}++){{0,7}}+[^{WS[1:-1]}]*+{WS}*+$"
 BULLET = rf"^{WS}*(?:{DIGIT}+[°).-]|-{WS}|[a-zA-Z]\))"
+#: What a text begins with if one of the patterns before can fit it (its first FRONT characters are enough to tell): a
+#: pattern is looked for from every place of a text, though it can only fit the first one.
+FRONT = 3
+PAGE_FRONT = rf"^(?:#|{WS})"
+ORPHAN_FRONT = rf"^(?:{DIGIT}|{WS})"
+ARTICLE_FRONT = rf"(?iu)^(?:art|{WS})"
+HEADING_FRONT = rf"(?iu)^(?:{'|'.join(sorted({x[:3] for x in HEADINGS.split('|')}))}|{WS})"
+BULLET_FRONT = rf"^(?:{DIGIT}|-|[a-zA-Z]\)|{WS})"
+#: More than eight words among the first MANY_FRONT characters, so that no more are looked at.
+MANY_FRONT = 160
+MANY_WORDS = rf"^{WS}*+(?:[^{WS[1:-1]}]++{WS}++){{8}}[^{WS[1:-1]}]"
 REFERENCE = rf"(?iu)\bart(?:icle)?\.?{WS}*([0-9]+(?:{WS}*(?:bis|ter|quater))?)\b"
 TOKEN = rf"[{LATIN}']+"
 CONSONANTS = "[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{5,}"

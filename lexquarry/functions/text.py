@@ -45,10 +45,15 @@ def digest(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
+def opens_as(x: Column, pattern: str, front: str) -> Column:
+    """Whether pattern, which only fits at the front of a text, fits; front: what its first characters have to fit then."""
+    return F.rlike(F.substring(x, 1, P.FRONT), F.lit(front)) & F.rlike(x, F.lit(pattern))
+
+
 def article_number(block: Column) -> Column:
     """Base, suffix and sub-number of a block that opens an article, else null."""
     part = lambda i: F.nullif(F.regexp_extract(block, P.ARTICLE, i), F.lit(""))
-    return F.when(F.rlike(block, F.lit(P.ARTICLE)), F.concat_ws(" ", part(1), F.lower(part(2)), part(3)))
+    return F.when(opens_as(block, P.ARTICLE, P.ARTICLE_FRONT), F.concat_ws(" ", part(1), F.lower(part(2)), part(3)))
 
 
 def slug(number: Column) -> Column:
@@ -109,8 +114,8 @@ def drop_reason(line: Column, line_no: Column) -> Column:
     """Why a typographically normalised line goes: the first that holds, else null."""
     cover = (line_no <= P.COVER_LINES) & reduce(lambda a, b: a | b, (F.startswith(line, F.lit(p)) for p in P.COVER_PREFIXES))
     return (
-        F.when(F.rlike(line, F.lit(P.PAGE)), "page_marker")
-        .when(F.rlike(line, F.lit(P.ORPHAN)), "orphan")
+        F.when(opens_as(line, P.PAGE, P.PAGE_FRONT), "page_marker")
+        .when(opens_as(line, P.ORPHAN, P.ORPHAN_FRONT), "orphan")
         .when(line.isin(P.EDITORIAL) | cover, "editorial")
         .when(line == "", "blank")
     )
@@ -120,10 +125,14 @@ def drop_reason(line: Column, line_no: Column) -> Column:
 MOST_WORDS, LEAST_LETTERS = 8, 8
 
 
+def few_words(x: Column) -> Column:
+    return ~F.rlike(F.substring(x, 1, P.MANY_FRONT), F.lit(P.MANY_WORDS)) & F.rlike(x, F.lit(P.FEW_WORDS))
+
+
 def heading_counts(x: Column) -> tuple[Column, Column, Column]:
     """Words, letters and capitals: what tells if a text without a heading's opening word is one. A text of more than
     MOST_WORDS words never is: of it only that is told, and its letters aren't looked at."""
-    few = F.rlike(x, F.lit(P.FEW_WORDS))
+    few = few_words(x)
     letters = F.regexp_replace(x, f"[^{P.LATIN}]++", "")
     upper = F.length(F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]++", ""))
     words = F.when(few, F.regexp_count(x, F.lit(f"[^{P.WS[1:-1]}]++"))).otherwise(MOST_WORDS + 1)
@@ -133,17 +142,18 @@ def heading_counts(x: Column) -> tuple[Column, Column, Column]:
 def is_heading(line: Column) -> Column:
     """A heading's opening word, or few words nearly all in capitals; the cheap test comes first."""
     _, letters, upper = heading_counts(line)
-    shouted = F.rlike(line, F.lit(P.FEW_WORDS)) & (letters >= LEAST_LETTERS) & (upper * 5 >= letters * 4)
-    return F.rlike(line, F.lit(P.HEADING)) | shouted
+    shouted = few_words(line) & (letters >= LEAST_LETTERS) & (upper * 5 >= letters * 4)
+    return opens_as(line, P.HEADING, P.HEADING_FRONT) | shouted
 
 
 def starts_block(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.rlike(line, F.lit(p)) for p in (P.ARTICLE, P.HEADING, P.BULLET)))
+    fronts = {P.ARTICLE: P.ARTICLE_FRONT, P.HEADING: P.HEADING_FRONT, P.BULLET: P.BULLET_FRONT}
+    return reduce(lambda a, b: a | b, (opens_as(line, p, front) for p, front in fronts.items()))
 
 
 def closes_up(before: Column, line: Column) -> Column:
     """Whether a line goes on with a word that was cut at the hyphen before it."""
-    return F.endswith(before, F.lit("-")) & F.rlike(line, F.lit(r"^\p{Ll}"))
+    return F.endswith(before, F.lit("-")) & F.rlike(F.substring(line, 1, 1), F.lit(r"^\p{Ll}"))
 
 
 def joined_to(line: Column, after: Column) -> Column:
@@ -161,7 +171,7 @@ def hierarchy_level(block: Column) -> Column:
     low, short = F.lower(block), F.length(block) <= 90
     test = F.lit(None).cast("string")
     for level in reversed(P.LEVELS):
-        fits = F.startswith(low, F.lit(level)) & short
+        fits = short & F.startswith(low, F.lit(level))
         if level in ("section", "chapitre"):
             fits &= ~F.contains(strip(block), F.lit(" ")) | F.rlike(block, F.lit(rf"(?iu)^{P.WS}*{level}\b"))
         test = F.when(fits, level).otherwise(test)

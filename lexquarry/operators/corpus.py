@@ -16,10 +16,12 @@ from lexquarry.operators.numbering import numbered
 from lexquarry.operators.reflow import heading_cuts
 
 
-def dealt(cleaned: DataFrame) -> DataFrame:
-    """Clean lines dealt by document. A plan that stores them for several uses deals them once; else the windows do it. Spark
-    keeps no dealing over a Python function, so all that lines need of such is done before."""
-    return cleaned.repartition("doc_id")
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by document. Whole texts are dealt before they are taken apart: a file whose texts are in one part (a
+    Parquet row group) would else be split and cleaned by one task, however large it is. A plan that stores clean lines for
+    several uses deals them once; else the windows do it. Spark keeps no dealing over a Python function, so all that lines
+    need of such is done before."""
+    return rows.repartition("doc_id")
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -83,7 +85,7 @@ TOLD = ("hash", "counts")
 def split_blocks(cleaned: DataFrame) -> DataFrame:
     """As split_articles(blocks(cleaned)), with hash and counts. All that Python makes of a block comes before one numbering,
     so that blocks are dealt once more and later windows by document find them dealt."""
-    parts = rebuilt(cleaned).select("doc_id", "part", F.posexplode(spacing.split_articles(F.col("block"))).alias("pos", "block"))
+    parts = rebuilt(cleaned).select("doc_id", "part", spacing.split_articles(F.col("block")).alias("parts")).select("doc_id", "part", F.posexplode("parts").alias("pos", "block"))
     return renumber(parts.withColumn("hash", block_hash(F.col("block"))).withColumn("counts", token_counts(F.col("block"))), "part", "pos")
 
 
@@ -104,7 +106,7 @@ def mark_duplicates(built: DataFrame) -> DataFrame:
 
 
 def unique_blocks(marked: DataFrame) -> DataFrame:
-    return renumber(marked.where("block_idx = first_idx"), "block_idx")
+    return renumber(marked.where("block_idx = first_idx").drop("hash"), "block_idx")
 
 
 def duplicate_log(marked: DataFrame) -> DataFrame:

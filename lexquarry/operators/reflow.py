@@ -88,5 +88,5 @@ def heading_cuts(nth: Column, island: Column, line: Column) -> Column:
     document's lines, a document at a time, as a window over them leaves them."""
     words, letters, upper = T.heading_counts(line)
     end = F.when(F.endswith(line, F.lit("-")), "-").when(F.endswith(line, F.lit("'")), "'").otherwise("")
-    lower = F.rlike(line, F.lit(r"^\p{Ll}"))
+    lower = F.rlike(F.substring(line, 1, 1), F.lit(r"^\p{Ll}"))
     return _cuts.asNondeterministic()(nth, island, F.substring(line, 1, FRONT), words, letters, upper, end, lower)

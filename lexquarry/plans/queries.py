@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cleaned(spark, d) -> DataFrame:
-    raw = C.lines(table(spark, d, "documents").select("doc_id", "text"))
+    raw = C.lines(C.dealt(table(spark, d, "documents").select("doc_id", "text")))
     return C.clean(raw.select("doc_id", "line_no", F.expr(O.DECORATED).alias("line")))
 
 
