@@ -99,7 +99,7 @@ def token_counts(text: Column) -> Column:
 
 
 def ocr_measures(text: Column, counts: Column) -> Column:
-    """Struct: n (tokens), single, vowelless, cluster, bad (ratios). counts: the text's token_counts."""
+    """Struct: n (tokens), single, vowelless, cluster, bad (ratios), heading. counts: the text's token_counts."""
     n, clusters = counts["n"], counts["clusters"]
     some = F.greatest(n, F.lit(1)).cast("double")
     return F.struct(
@@ -109,21 +109,22 @@ def ocr_measures(text: Column, counts: Column) -> Column:
         clusters.alias("clusters"),
         (clusters / F.greatest(some / 35.0, F.lit(1.0))).alias("cluster"),
         (counts["bad"] / F.greatest(F.length(text), F.lit(1)).cast("double")).alias("bad"),
+        is_heading(text).alias("heading"),
     )
 
 
 def ocr_quality(text: Column) -> Column:
-    return ocr_score(ocr_measures(text, token_counts(text)), text)
+    return ocr_score(ocr_measures(text, token_counts(text)))
 
 
-def ocr_score(m: Column, text: Column) -> Column:
+def ocr_score(m: Column) -> Column:
     """Struct score, reasons. Texts without letters, and headings, are perfect; very short ones nearly so."""
     loss = 0.7 * m["single"] + 1.3 * m["cluster"] + 1.0 * m["vowelless"] + 1.4 * m["bad"]
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.least(F.lit(1.0), loss)))
     flags = zip(P.REASONS, (m["single"] > 0.22, m["cluster"] > 0.18, m["vowelless"] > 0.08, m["bad"] > 0.015), strict=True)
     reasons = F.array_compact(F.array(*(F.when(test, name) for name, test in flags)))
     none = F.array().cast("array<string>")
-    perfect, short = (m["n"] == 0) | is_heading(text), (m["n"] <= 5) & (m["clusters"] == 0)
+    perfect, short = (m["n"] == 0) | m["heading"], (m["n"] <= 5) & (m["clusters"] == 0)
     return F.struct(
         F.when(perfect, 1.0).when(short, 0.95).otherwise(score).alias("score"),
         F.when(perfect | short, none).otherwise(reasons).alias("reasons"),

@@ -117,7 +117,7 @@ def duplicate_log(marked: DataFrame) -> DataFrame:
 def scored(unique: DataFrame) -> DataFrame:
     counted = unique if "counts" in unique.columns else unique.withColumn("counts", token_counts(F.col("block")))
     measured = made_once(counted, "m", ocr_measures(F.col("block"), F.col("counts")))
-    return made_once(measured, "q", ocr_score(F.col("m"), F.col("block"))).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
+    return made_once(measured, "q", ocr_score(F.col("m"))).select("doc_id", "block_idx", "block", "q.score", "q.reasons")
 
 
 def suspicious(rows: DataFrame, limits: TierLimits = TierLimits()) -> DataFrame:

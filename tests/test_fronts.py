@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import patterns as P
 from lexquarry.functions import spacing as S
 from lexquarry.functions import text as T
+from lexquarry.operators import corpus as C
 from lexquarry.plans import queries as Q
 
 SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace()]
@@ -58,3 +59,10 @@ def test_one_row_group_is_cleaned_by_many_tasks(spark, tmp_path):
         steps = re.findall(r"ArrowEvalPython|RepartitionByExpression|Exchange", rows._jdf.queryExecution().executedPlan().toString())
         assert steps[-1] != "ArrowEvalPython", "texts are taken apart before they are dealt"
     assert steps.count("ArrowEvalPython") == 5  # lines, typography, cuts, spaces, then articles: none is made twice
+
+
+def test_a_block_is_asked_once_if_it_is_a_heading(spark):
+    blocks = spark.createDataFrame([(1, 0, "TITRE I"), (1, 1, "le b c d e mot"), (1, 2, "\\ ~ texte tout ordinaire de mots")], "doc_id long, block_idx long, block string")
+    scored = C.scored(blocks)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count(P.HEADING) == 1
+    assert [r["score"] < 1 for r in scored.orderBy("block_idx").collect()] == [False, True, True]
