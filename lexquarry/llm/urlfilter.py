@@ -21,6 +21,8 @@ from lexquarry.llm.common import ASCII_LOWER, ASCII_UPPER, fresh, materialize, t
 
 #: Bytes of strings, rules and probes, that one task holds, about.
 GROUP_BYTES = 32_000_000
+#: Bytes of rules that fit some url, counted, up to which they are sent to all tasks.
+SENT_BYTES = 2_000_000
 #: Rules of the production query, as stated for it: action and host/path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: The method's own list, for urls that no rule fits, is of the hosts that name themselves: those with one of these words as
@@ -109,6 +111,10 @@ def fits(urls: DataFrame, rules: DataFrame) -> DataFrame:
     size = sum(df.agg(F.sum(F.octet_length("rule"))).first()[0] or 0 for df in (frame, wanted))
     group = F.pmod(F.xxhash64("rule"), F.lit(-(-size // GROUP_BYTES) or 1))
     hits = wanted.groupBy(group).cogroup(frame.groupBy(group)).applyInPandas(probe, "rule string, given boolean, listed boolean")
+    hits = materialize(hits, "hits")
+    few = (hits.agg(F.sum(F.octet_length("rule") + 32)).first()[0] or 0) <= SENT_BYTES
+    # Spark takes each for as large as the compressed file that it is made of, and would send all its rows through the driver.
+    hits = F.broadcast(hits) if few else hits.hint("merge")
     return each.join(hits, "rule").groupBy("h", "p").agg(F.collect_list(F.struct("rule", "given", "listed")).alias("fits"))
 
 
