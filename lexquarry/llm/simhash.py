@@ -32,6 +32,15 @@ FRONTIER = 1_000_000
 SHINGLE_CHUNK = 65_536
 
 
+def voted(chunks: Iterator[np.ndarray]) -> int:
+    """The bits that over half of these 64-bit hashes have."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     """64-bit SimHash of a text's word shingles; zero without words."""
     tokens = text.encode().lower().split()
@@ -42,12 +51,9 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(tokens))
     begin, stop = starts[: len(tokens) - span + 1].tolist(), ends[span - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(begin), SHINGLE_CHUNK):
-        part = range(at, min(at + SHINGLE_CHUNK, len(begin)))
-        hashes = np.fromiter((digest(joined[begin[i] : stop[i]], seed) for i in part), ">u8", len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(begin)).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    parts = (range(at, min(at + SHINGLE_CHUNK, len(begin))) for at in range(0, len(begin), SHINGLE_CHUNK))
+    return voted(np.fromiter((digest(joined[begin[i] : stop[i]], seed) for i in part), np.uint64, len(part)) for part in parts)
 
 
 def fingerprints(text: Column, words: int = 3) -> Column:
